@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.standins import (FLOWS_SQL, NETFLOWS_SQL, flows, halves, netflows, r6, raw_vector, table)
+from catalog.standins import FLOWS_SQL, NETFLOWS_SQL, halves, netflows, r6, raw_vector, table
 from flowwarden.functions import scoring
 from flowwarden.operators import calibration, knn, threats
 from flowwarden.plans import classify, preprocessing, similar
@@ -288,7 +288,7 @@ def softmax_confidence(spark, sf_dir):
 
 @query("index_metadata", f"""
 WITH {FLOWS_SQL}
-SELECT traffic_class, n AS num_samples, 3 AS feature_dim, nlist, least(10, nlist) AS nprobe,
+SELECT traffic_class, n AS num_samples, 3 AS feature_dim, nlist, CASE WHEN nlist IS NOT NULL THEN least(10, nlist) END AS nprobe,
        CASE WHEN traffic_class = 'benign' THEN 'IVFFlat' WHEN n < 1000 THEN 'Flat'
             ELSE 'IVFFlat_nlist' || CAST(nlist AS VARCHAR) END AS index_type
 FROM (SELECT traffic_class, count(*) AS n,
