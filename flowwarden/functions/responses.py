@@ -158,18 +158,26 @@ def _struct(fields: dict[str, Column]) -> Column:
     return F.struct(*[fields[n].alias(n) for n in FIELDS])
 
 
-def fallback_analysis(response: Column, flow: dict[str, Column] | None = None) -> Column:
-    """Used when the answer holds no usable JSON; keeps the first 500 characters of it."""
+def _fallback_fields(response: Column, flow: dict[str, Column] | None) -> dict[str, Column]:
     fields = _template(FALLBACK, F.lit(FALLBACK_RISK), "fallback_parsed", flow or _flow())
     text = F.when(response == "", FALLBACK["technical_analysis"]).otherwise(response)
     fields["technical_analysis"] = F.substring(F.coalesce(text, F.lit(FALLBACK["technical_analysis"])), 1,
                                                FALLBACK_CHARS)
-    return _struct(fields)
+    return fields
+
+
+def fallback_analysis(response: Column, flow: dict[str, Column] | None = None) -> Column:
+    """Used when the answer holds no usable JSON; keeps the first 500 characters of it."""
+    return _struct(_fallback_fields(response, flow))
+
+
+def _error_fields(source: str, flow: dict[str, Column] | None) -> dict[str, Column]:
+    return _template(ERROR, F.lit(ERROR_RISK), source, flow or _flow())
 
 
 def error_analysis(source: str = "fallback_analysis", flow: dict[str, Column] | None = None) -> Column:
     """Used when there is no answer at all."""
-    return _struct(_template(ERROR, F.lit(ERROR_RISK), source, flow or _flow()))
+    return _struct(_error_fields(source, flow))
 
 
 def simulated_analysis(flow_id: Column, flow: dict[str, Column] | None = None) -> Column:
@@ -185,10 +193,11 @@ def parse_response(response: Column, parsed: Column | None = None, flow: dict[st
     so that the text is parsed once per row."""
     v = parse_object(json_block(response)) if parsed is None else parsed
     good = {**validate(v), "response_source": F.lit("llm_parsed")}
-    return (
-        F.when(response.isNull(), error_analysis(error_source, flow))
-        .when(v.isNotNull(), _struct(good)).otherwise(fallback_analysis(response, flow))
-    )
+    error = _error_fields(error_source, flow)
+    fallback = _fallback_fields(response, flow)
+    # the choice is made per field, so a reader of one field computes that field only
+    return _struct({
+        n: F.when(response.isNull(), error[n]).when(v.isNotNull(), good[n]).otherwise(fallback[n]) for n in FIELDS})
 
 
 def quality(response: Column, technical_analysis: Column) -> dict[str, Column]:

@@ -151,14 +151,15 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
     """
     spark = refs.sparkSession
     kept = materialize(drop_surplus_copies(refs, copies), "vectors")
-    sizes = {r["grp"]: r["n"] for r in kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-             .limit(CELL_BUDGET + 1).collect()}
+    groups = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dim")) \
+        .limit(CELL_BUDGET + 1).collect()
+    sizes = {r["grp"]: r["n"] for r in groups}
     if len(sizes) > CELL_BUDGET:
         raise ValueError(f"more than {CELL_BUDGET} groups; search groups with an equi-join instead")
     if not sizes:
         return CellIndex(kept.select("grp", "row_id", "features", F.lit(0).alias("cell"), F.lit(0).alias("salt")),
                          copies)
-    dim = kept.select(F.size("features").alias("d")).first()["d"]
+    dim = max(r["dim"] for r in groups)
     cap = max(1, min(CELL_BUDGET, CENTRE_BYTES // (8 * dim)) // len(sizes))
     wanted = {g: max(1, min(cap, n, (cells_for or (lambda _g, m: default_cells(m, cap)))(g, n)))
               for g, n in sizes.items()}
@@ -178,14 +179,18 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
     )
     # per cell: size, radius and the smallest centre distances of distinct vectors, one bounded row per cell
     rank = Window.partitionBy("cell").orderBy("pd")
-    near = {
-        r["cell"]: r["near"]
-        for r in assigned.where("copy = 1").select("cell", "pd", F.row_number().over(rank).alias("r"))
+    near_rows = (
+        assigned.where("copy = 1").select("cell", "pd", F.row_number().over(rank).alias("r"))
         .where(F.col("r") <= copies)
-        .groupBy("cell").agg(F.sort_array(F.collect_list("pd")).alias("near")).collect()
-    }
-    stats = {r["cell"]: r for r in assigned.groupBy("cell")
-             .agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("radius")).collect()}
+        .groupBy("cell").agg(F.sort_array(F.collect_list("pd")).alias("near"))
+    )
+    sized = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("radius"))
+    near, stats = {}, {}
+    for r in sized.unionByName(near_rows, allowMissingColumns=True).collect():
+        if r["near"] is None:
+            stats[r["cell"]] = r
+        else:
+            near[r["cell"]] = r["near"]
     for g, c in index.cells.items():
         k = len(c["cell"])
         c["radius"], c["near"] = np.full(k, -1.0), np.full((k, copies), np.inf)
@@ -206,15 +211,22 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
 
 
 def _per_cell(spark: SparkSession, values: dict[int, int], name: str) -> DataFrame:
-    return spark.createDataFrame(list(values.items()), f"cell int, {name} int")
+    return _local_table(spark, {"cell": pa.array(list(values), pa.int32()),
+                                name: pa.array(list(values.values()), pa.int32())})
+
+
+def _local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small driver-side table as a local relation (no job to read it)."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def _train_centres(spark, kept, sizes, wanted, train, seed) -> dict[str, np.ndarray]:
     per_centre = {"sample": 8, "kmeans": 256}[train]
     scale = 1 << 30
-    thresholds = spark.createDataFrame(
-        [(g, int(min(1.0, per_centre * wanted[g] / n + 64 / n) * scale)) for g, n in sizes.items()],
-        "grp string, threshold int")
+    thresholds = _local_table(spark, {
+        "grp": pa.array(list(sizes)),
+        "threshold": pa.array([int(min(1.0, per_centre * wanted[g] / n + 64 / n) * scale)
+                               for g, n in sizes.items()], pa.int64())})
     pool = (
         kept.where("copy = 1").join(F.broadcast(thresholds), "grp")
         .withColumn("h", F.xxhash64(F.col("row_id"), F.lit(seed)))
@@ -293,7 +305,8 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10,
         T.StructField("zeros", T.LongType()), T.StructField("nearest", T.DoubleType()),
     ])
     local = _run_units(index, queries, _Probe(index, 2, None), query_block, _summary_kernel(result), result)
-    sizes = index.spark.createDataFrame(list(index.sizes.items()) or [], "grp string, group_rows bigint")
+    sizes = _local_table(index.spark, {"grp": pa.array(list(index.sizes), pa.string()),
+                                       "group_rows": pa.array(list(index.sizes.values()), pa.int64())})
     merged = (local.repartition("query_id").groupBy("query_id", "grp")
               .agg(F.sum("zeros").alias("zeros"), F.min("nearest").alias("nearest_positive")))
     return merged.join(F.broadcast(sizes), "grp").select(
