@@ -33,8 +33,10 @@ from flowwarden.session import materialize
 ALL = "all"
 CELL_BUDGET = 16384  # centres over all groups; bounds what is broadcast
 CENTRE_BYTES = 64 << 20
-BLOCK_ROWS = 4096  # reference rows per work unit
-QUERY_ROWS = 4096  # queries per work unit
+BLOCK_BYTES = 16 << 20  # reference vectors per work unit
+QUERY_ROWS = 16384  # queries per work unit
+PRUNED_CELLS = 1000  # most cells named in a partition filter on the stored index
+NOT_FINITE = 1e6
 SCAN_QUERIES = 1000  # most queries the scan plan broadcasts
 MATRIX_CELLS = 2_000_000  # largest distance block held by one kernel step
 
@@ -50,7 +52,7 @@ def reference_rows(df: DataFrame, row_id: str, features: str | Column, group: st
         F.coalesce(grp.cast("string"), F.lit("unknown")).alias("grp"),
         F.col(row_id).alias("row_id"),
         _vector(features, metric).alias("features"),
-    )
+    ).where(F.col("features").isNotNull())
 
 
 def query_rows(df: DataFrame, query_id: str, features: str | Column, group: str | Column | None = None,
@@ -60,7 +62,7 @@ def query_rows(df: DataFrame, query_id: str, features: str | Column, group: str
     if group is not None:
         grp = F.col(group) if isinstance(group, str) else group
         cols.append(F.coalesce(grp.cast("string"), F.lit("unknown")).alias("grp"))
-    return df.select(*cols)
+    return df.select(*cols).where(F.col("features").isNotNull())
 
 
 def _vector(features: str | Column, metric: str) -> Column:
@@ -142,7 +144,7 @@ def default_cells(n: int, cap: int) -> int:
 
 
 def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str = "sample", seed: int = 42,
-                block_rows: int = BLOCK_ROWS) -> CellIndex:
+                block_rows: int | None = None) -> CellIndex:
     """Build a :class:`CellIndex` from ``(grp, row_id, features)``.
 
     ``cells_for(group, rows)`` sets the number of cells, capped by the budget.  ``train`` is ``"sample"``
@@ -160,6 +162,7 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
         return CellIndex(kept.select("grp", "row_id", "features", F.lit(0).alias("cell"), F.lit(0).alias("salt")),
                          copies)
     dim = max(r["dim"] for r in groups)
+    block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim))
     cap = max(1, min(CELL_BUDGET, CENTRE_BYTES // (8 * dim)) // len(sizes))
     wanted = {g: max(1, min(cap, n, (cells_for or (lambda _g, m: default_cells(m, cap)))(g, n)))
               for g, n in sizes.items()}
@@ -245,17 +248,19 @@ def _train_centres(spark, kept, sizes, wanted, train, seed) -> dict[str, np.ndar
     missed = [g for g in sizes if g not in out]
     if missed:
         dim = kept.select(F.size("features")).first()[0]
-        means = [F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(dim)]
+        means = [F.avg(F.nanvl(F.col("features")[i], F.lit(0.0))).alias(f"m{i}") for i in range(dim)]
         for r in kept.where(F.col("grp").isin(missed)).groupBy("grp").agg(*means).collect():
             out[r["grp"]] = [[r[f"m{i}"] for i in range(dim)]]
-    return {g: np.array(v, dtype=float) for g, v in out.items()}
+    return {g: _finite(np.array(v, dtype=float)) for g, v in out.items()}
 
 
 def _kmeans_centres(pool: DataFrame, wanted: dict[str, int], seed: int) -> dict[str, np.ndarray]:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    pool = materialize(pool.select("grp", array_to_vector("features").alias("v")), "kmeans")
+    finite = F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(
+        F.least(F.greatest(x, F.lit(-NOT_FINITE)), F.lit(NOT_FINITE))))
+    pool = materialize(pool.select("grp", array_to_vector(finite).alias("v")), "kmeans")
     out = {}
     for g, k in sorted(wanted.items()):
         part = pool.where(F.col("grp") == g)
@@ -340,8 +345,12 @@ def _run_units(index: CellIndex, queries: DataFrame, plan: "_Probe", query_block
         queries.mapInArrow(_pack_kernel(plan, splits), packed_schema)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     )
+    vectors = index.vectors
+    if len(splits) <= PRUNED_CELLS and len(splits) < sum(len(c["cell"]) for c in index.cells.values()):
+        # few cells visited: name them, so that an index stored by cell is read only where needed
+        vectors = vectors.where(F.col("cell").isin(sorted(splits)))
     right = (
-        index.vectors.join(F.broadcast(_per_cell(spark, splits, "splits")), "cell")
+        vectors.join(F.broadcast(_per_cell(spark, splits, "splits")), "cell")
         .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
     )
     key = ["cell", "salt", "qsalt"]
@@ -394,14 +403,21 @@ def with_score(neighbours: DataFrame) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    """list<double> column to a 2-d array."""
+    """list<double> column to a 2-d array; a missing or NaN component is 0, an infinite one is large.
+
+    Every kernel reads vectors here, so all of them see the same numbers.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
     n = len(column)
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float)
-    return flat.reshape(n, -1)
+    return _finite(flat).reshape(n, -1)
+
+
+def _finite(x: np.ndarray) -> np.ndarray:
+    return x if np.isfinite(x).all() else np.nan_to_num(x, nan=0.0, posinf=NOT_FINITE, neginf=-NOT_FINITE)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

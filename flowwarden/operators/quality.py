@@ -88,10 +88,14 @@ def index_health(expected: DataFrame, vectors: DataFrame, group: str = "grp", co
         column, n.alias("vectors"), F.when(n == 0, "missing").otherwise("ok").alias("status"))
 
 
-def system_stats(flows: DataFrame, order: str = "ts") -> DataFrame:
-    """Flows, seconds between first and last, flows per second (null when no time passed)."""
+def system_stats(flows: DataFrame, order: str = "ts", analyses: DataFrame | None = None) -> DataFrame:
+    """Flows, seconds between first and last, flows per second (null when no time passed), stored analyses."""
     seconds = F.unix_micros(F.max(F.col(order).cast("timestamp"))) / 1e6 - F.unix_micros(
         F.min(F.col(order).cast("timestamp"))) / 1e6
     out = flows.agg(F.count(F.lit(1)).alias("flows"), seconds.alias("uptime_seconds"))
-    return out.withColumn("flows_per_second", F.when(
+    out = out.withColumn("flows_per_second", F.when(
         (F.col("uptime_seconds") > 0) & (F.col("flows") > 0), F.col("flows") / F.col("uptime_seconds")))
+    if analyses is None:
+        return out
+    stored = analyses.agg(F.count(F.lit(1)).alias("stored_analyses"))  # one row each
+    return out.join(F.broadcast(stored), F.lit(True), "left")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowwarden.functions.hashing import digest, draw
+from flowwarden.functions.hashing import digest, digest_int, draw
+
+SAMPLED_GROUPS = 10_000  # most groups whose sizes are held on the driver
 
 
 def is_test_row(group: Column, row_id: Column, test_frac: float = 0.5, seed: int = 42) -> Column:
@@ -29,11 +32,54 @@ def split_counts(df: DataFrame, group: str) -> DataFrame:
     )
 
 
+def split_summary(counts: DataFrame, test_frac: float = 0.5, seed: int = 42, group: str = "attack_type",
+                  source: str = "", output_dir: str = "") -> DataFrame:
+    """One document: split settings, totals and counts per class.  ``counts`` as from :func:`split_counts`."""
+    per_class = F.map_from_entries(F.collect_list(F.when(F.col("traffic_class").isNotNull(), F.struct(
+        "traffic_class", F.struct(F.col("index_rows").alias("index"), F.col("test_rows").alias("test"),
+                                  F.col("total_rows").alias("total"))))))  # one entry per class
+    total = {n: F.max(F.when(F.col("traffic_class").isNull(), F.col(c))) for n, c in
+             (("total", "total_rows"), ("index_total", "index_rows"), ("test_total", "test_rows"))}
+    config = F.struct(F.lit(source).alias("input"), F.lit(output_dir).alias("output_dir"),
+                      F.lit(test_frac).alias("test_frac"), F.lit(seed).alias("seed"), F.lit(group).alias("group"))
+    return counts.agg(*[c.alias(n) for n, c in total.items()], per_class.alias("per_class")).select(
+        config.alias("config"), F.struct("total", "index_total", "test_total", "per_class").alias("counts"))
+
+
+def read_split_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per class from a split summary document, in the shape of :func:`split_counts`."""
+    entry = "struct<index: bigint, test: bigint, total: bigint>"
+    schema = f"counts struct<total: bigint, index_total: bigint, test_total: bigint, per_class: map<string, {entry}>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = doc.select(F.explode("counts.per_class").alias("traffic_class", "c")).select(
+        "traffic_class", F.col("c.index").alias("index_rows"), F.col("c.test").alias("test_rows"),
+        F.col("c.total").alias("total_rows"))
+    grand = doc.select(F.lit(None).cast("string").alias("traffic_class"), F.col("counts.index_total"),
+                       F.col("counts.test_total"), F.col("counts.total"))
+    return rows.union(grand)
+
+
 def sample_per_group(df: DataFrame, group: str, row_id: str, size: int = 3000, seed: int = 42) -> DataFrame:
-    """At most ``size`` rows per group without replacement, always the same ones.
+    """At most ``size`` rows per group without replacement, always the same ones: the smallest digests.
 
-    Ranked by digest; the rank limit runs before the shuffle, so each input partition ships at most
-    ``size`` rows per group.
+    Groups are counted first; a group much larger than ``size`` is then filtered by a digest threshold that
+    leaves about four times ``size`` rows, so ranking never sorts the table.  Should a threshold have left
+    too few (it is checked), the unfiltered table is ranked, so the result does not depend on it.
     """
-    w = Window.partitionBy(group).orderBy(digest(F.lit(str(seed)), F.col(row_id)), row_id)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= size).drop("_rank")
+    key = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
+    drawn = df.withColumns({"_h": digest(F.lit(str(seed)), F.col(row_id)), "_g": key})
+    counts = drawn.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).limit(SAMPLED_GROUPS + 1).collect()
+    large = {r["_g"]: r["n"] for r in counts if r["n"] > 8 * size}
+    if large and len(counts) <= SAMPLED_GROUPS:
+        limits = {g: int(4 * size / n * (1 << 32)) for g, n in large.items()}
+        table = df.sparkSession.createDataFrame(
+            pa.table({"_g": pa.array(list(limits)), "_limit": pa.array(list(limits.values()), pa.int64())}))
+        few = drawn.join(F.broadcast(table), "_g", "left").where(
+            F.col("_limit").isNull() | (digest_int(F.col("_h")) < F.col("_limit"))).drop("_limit")
+        left = {r["_g"]: r["n"] for r in few.where(F.col("_g").isin(list(limits)))
+                .groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(left.get(g, 0) >= size for g in limits):
+            drawn = few
+    w = Window.partitionBy("_g").orderBy("_h", row_id)
+    return (drawn.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= size)
+            .drop("_rank", "_h", "_g"))

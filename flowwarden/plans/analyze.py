@@ -11,8 +11,8 @@ from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, embe
 from flowwarden.functions.responses import json_block, parse_object, parse_response
 from flowwarden.functions.text import (FULL_TEXT, PREVIEW, analysis_prompt, document_metadata, document_text,
                                        search_text, shorten)
+from flowwarden.functions.times import to_epoch
 from flowwarden.operators import history
-from flowwarden.schemas import ANALYSIS
 from flowwarden.session import materialize
 
 CONTEXT_K = 3
@@ -88,9 +88,10 @@ def analysis_payload(results: DataFrame) -> DataFrame:
     default_actions = F.array(F.concat(F.lit("Block source IP "), F.col("src_ip")),
                               F.lit("Monitor for similar patterns"), F.lit("Alert security team"))
     rag = F.coalesce(a["rag_assisted"], F.lit(False))
+    seconds = F.coalesce("inference_time", F.lit(0.0)) if "inference_time" in results.columns else F.lit(0.0)
     details = F.struct(
         F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.col("protocol").alias("protocol"),
-        rag.alias("rag_assisted"), F.coalesce("rag_context_used", F.lit(False)).alias("rag_context_used"))
+        seconds.alias("analysis_time"), rag.alias("rag_assisted"), F.coalesce("rag_context_used", F.lit(False)).alias("rag_context_used"))
     return results.select(
         F.struct(F.col("flow_id").alias("id"), "src_ip", "dst_ip", "protocol", "attack_type", "timestamp").alias("flow"),
         F.struct(
@@ -109,7 +110,7 @@ def analysis_payload(results: DataFrame) -> DataFrame:
 def history_documents(results: DataFrame, at: str = "ts", embedder: EmbedderFactory = hashing_embedder) -> DataFrame:
     """Analyses as history documents without their number: text, metadata, embedding, time."""
     text = document_text(F.col("attack_type"), F.col("analysis"))
-    meta = document_metadata(F.col("attack_type"), F.col("analysis"), F.unix_micros(F.col(at)) / 1e6)
+    meta = document_metadata(F.col("attack_type"), F.col("analysis"), to_epoch(F.col(at)))
     docs = results.select(F.col("flow_id"), text.alias("text"), meta.alias("metadata"), F.col(at).alias("ts"))
     return docs.withColumn("embedding", embed(F.col("text"), embedder))
 
@@ -125,7 +126,3 @@ def ingest_analyses(results: DataFrame, stored: DataFrame | None = None, at: str
 def analysis_id(attack_type: Column, *parts: Column) -> Column:
     """Id of an analysis: type plus content hash, so that analyses of one second do not collide."""
     return F.concat_ws("_", F.coalesce(attack_type, F.lit("unknown")), F.substring(stable_id("a", *parts), 3, 24))
-
-
-def null_analysis() -> Column:
-    return F.lit(None).cast(ANALYSIS)

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from flowwarden.functions.responses import quality
 from flowwarden.functions.text import shorten
+from flowwarden.functions.times import from_stamp, to_stamp
 from flowwarden.operators.recency import KEEP_LOGS, keep_newest
 from flowwarden.schemas import RESPONSE_LOG
 
 REPORTED = 10
-STAMP = "yyyyMMdd_HHmmss"
 
 
 def log_records(answers: DataFrame, request_type: str, at: str = "ts") -> DataFrame:
     """Log rows from ``flow_id, prompt, response, parsed_result`` and a time column."""
     return answers.select(
-        F.date_format(at, STAMP).alias("timestamp"), F.lit(request_type).alias("request_type"), "flow_id",
+        to_stamp(F.col(at)).alias("timestamp"), F.lit(request_type).alias("request_type"), "flow_id",
         F.length("prompt").cast("bigint").alias("prompt_length"),
         F.length("response").cast("bigint").alias("response_length"),
         F.col("response").alias("full_response"), "parsed_result")
@@ -35,7 +35,7 @@ def read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     )
     return df.select("*", F.col("_metadata.file_name").alias("file_name")).withColumns({
         "request_type": F.coalesce("request_type", F.lit("analysis")),
-        "logged_at": F.try_to_timestamp("timestamp", F.lit(STAMP))})
+        "logged_at": from_stamp(F.col("timestamp"))})
 
 
 def report(log: DataFrame, n: int = REPORTED, order: str = "timestamp", row_id: str = "file_name") -> DataFrame:
