@@ -40,16 +40,16 @@ def answers(spark, sf_dir):
     shapes = [s.replace("VARCHAR", "STRING") for s in SHAPES]
     whens = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(shapes))
     flows = netflows(spark, sf_dir).withColumn("k", F.col("packets_count").cast("string"))
-    return flows.withColumn("response", F.expr(f"CASE event_id % 9 {whens} END")).withColumn(
-        "object", resp.parse_object(resp.json_block(F.col("response"))))
+    return flows.withColumn("response", F.expr(f"CASE event_id % 9 {whens} END"))
 
 
 @query("json_extract", f"""
 WITH {RESPONSES_SQL}
 SELECT event_id, block, j IS NOT NULL AS valid FROM objects""")
 def json_extract(spark, sf_dir):
-    return answers(spark, sf_dir).select("event_id", resp.json_block(F.col("response")).alias("block"),
-                                         F.col("object").isNotNull().alias("valid"))
+    block = resp.json_block(F.col("response"))
+    return answers(spark, sf_dir).select("event_id", block.alias("block"),
+                                         resp.parse_object(block).isNotNull().alias("valid"))
 
 
 def _pick(name, default):
@@ -71,10 +71,11 @@ analyses AS (
   SELECT event_id, timestamp, attack_type, src_ip, dst_ip, response, 'llm_parsed' AS response_source,
          CASE WHEN json_extract_string(j, '$.threat_level') IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL')
               THEN json_extract_string(j, '$.threat_level') ELSE 'HIGH' END AS threat_level,
-         CAST(coalesce(least(100, greatest(0, trunc(
-           CASE WHEN json_type(j, '$.risk_score') <> 'VARCHAR' OR
-                     regexp_full_match(trim(json_extract_string(j, '$.risk_score')), '[+-]?[0-9]+')
-                THEN TRY_CAST(trim(json_extract_string(j, '$.risk_score')) AS DOUBLE) END))), 80) AS INTEGER) AS risk_score,
+         CASE WHEN json_type(j, '$.risk_score') <> 'VARCHAR' OR
+                   regexp_full_match(trim(json_extract_string(j, '$.risk_score')), '[+-]?[0-9]+')
+              THEN CAST(least(100, greatest(0, trunc(
+                     CAST(trim(json_extract_string(j, '$.risk_score')) AS DOUBLE)))) AS INTEGER)
+              ELSE 80 END AS risk_score,
          {_pick('attack_vector', _D['attack_vector'])} AS attack_vector,
          {_pick('potential_impact', _D['potential_impact'])} AS potential_impact,
          {_pick('technical_analysis', _D['technical_analysis'])} AS technical_analysis,
@@ -106,7 +107,7 @@ _SHOWN = ["threat_level", "risk_score", "attack_vector", "potential_impact", "te
 
 
 def analyses(spark, sf_dir):
-    return answers(spark, sf_dir).withColumn("analysis", resp.parse_response(F.col("response"), F.col("object")))
+    return resp.parse_responses(answers(spark, sf_dir))
 
 
 def _flat(df, *keep):

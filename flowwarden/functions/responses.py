@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.functions.hashing import digest, digest_int
@@ -70,69 +70,82 @@ def parse_object(block: Column) -> Column:
     return F.when(single, F.try_variant_get(items, "$[0]", "variant"))
 
 
-def _kind(v: Column, name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+CHECKED = ["threat_level", "risk_score", *ANALYSIS_TEXTS, *ANALYSIS_LISTS, "rag_assisted"]
 
 
-def _text(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "string")
+class _Parsed:
+    """Fields of a parsed object held as flat columns: type name, text, list of each checked key.
 
+    Each extraction is computed once per row and read by several rules; as nested expressions the same
+    work would be repeated in every rule and outgrow one generated method.
+    """
 
-def _items(v: Column, name: str) -> Column:
-    return F.size(F.try_variant_get(v, f"$.{name}", "array<variant>"))
+    def __init__(self, prefix: str = "_a"):
+        self.prefix = prefix
 
+    def columns(self, v: Column) -> dict[str, Column]:
+        out = {}
+        for n in CHECKED:
+            out[f"{self.prefix}_kind_{n}"] = F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant"))
+            out[f"{self.prefix}_text_{n}"] = F.try_variant_get(v, f"$.{n}", "string")
+        for n in ANALYSIS_LISTS:
+            out[f"{self.prefix}_list_{n}"] = F.try_variant_get(v, f"$.{n}", "array<string>")
+        return out
 
-def _blank(v: Column, name: str) -> Column:
-    """Missing, null, empty text or empty list."""
-    kind = _kind(v, name)
-    empty_list = F.coalesce(_items(v, name) == 0, F.lit(False))
-    empty_text = (kind == "STRING") & (_text(v, name) == "")
-    return kind.isNull() | (kind == "VOID") | empty_text | empty_list
+    def kind(self, name: str) -> Column:
+        return F.col(f"{self.prefix}_kind_{name}")
 
+    def text(self, name: str) -> Column:
+        return F.col(f"{self.prefix}_text_{name}")
 
-def _risk(v: Column) -> Column:
-    kind, text = _kind(v, "risk_score"), F.trim(_text(v, "risk_score"))
-    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)").cast("double"))
-    number = F.try_variant_get(v, "$.risk_score", "double")
+    def items(self, name: str) -> Column:
+        return F.col(f"{self.prefix}_list_{name}")
+
+    def blank(self, name: str) -> Column:
+        """Missing, null, empty text or empty list."""
+        kind, text = self.kind(name), self.text(name)
+        return kind.isNull() | (kind == "VOID") | (kind == "STRING") & (text == "") | \
+            kind.startswith("ARRAY") & (text == "[]")
+
+
+def _risk(p: _Parsed) -> Column:
+    kind, text = p.kind("risk_score"), F.trim(p.text("risk_score"))
+    number = text.try_cast("double")
     value = (
-        F.when(kind == "STRING", whole)
+        F.when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), number))
         .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
         .when(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), number)
     )
-    cut = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
-    return F.coalesce(clip(cut, 0, 100).cast("int"), F.lit(DEFAULTS["risk_score"]))
+    cut = F.when(value < 0, F.ceil(value).cast("double")).otherwise(F.floor(value).cast("double"))
+    return F.coalesce(clip(F.when(F.abs(value) < 1e15, cut).otherwise(value), 0.0, 100.0).cast("int"),
+                      F.lit(DEFAULTS["risk_score"]))
 
 
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
 
-def _list(v: Column, name: str) -> Column:
-    items = F.try_variant_get(v, f"$.{name}", "array<string>")
-    return F.coalesce(items, F.array(_text(v, name)))
-
-
-def _truth(v: Column, name: str) -> Column:
-    kind, text = _kind(v, name), _text(v, name)
-    number = F.try_variant_get(v, f"$.{name}", "double")
+def _truth(p: _Parsed, name: str) -> Column:
+    kind, text = p.kind(name), p.text(name)
     return (
-        F.when(_blank(v, name), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", True)
-        .when(kind.startswith("ARRAY"), True).when(kind.startswith("OBJECT"), kind != "OBJECT<>")
-        .otherwise(F.coalesce(number != 0, F.lit(True)))
+        F.when(p.blank(name), False).when(kind == "BOOLEAN", text == "true")
+        .when(kind.startswith("OBJECT"), text != "{}").when(kind.startswith("ARRAY") | (kind == "STRING"), True)
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
     )
 
 
-def validate(v: Column) -> dict[str, Column]:
+def _validated(p: _Parsed) -> dict[str, Column]:
     """Analysis fields of a parsed object with defaults, ranges and enumerations enforced."""
     out: dict[str, Column] = {}
-    level = F.when(_kind(v, "threat_level") == "STRING", _text(v, "threat_level"))
+    level = F.when(p.kind("threat_level") == "STRING", p.text("threat_level"))
     out["threat_level"] = F.when(level.isin(THREAT_LEVELS), level).otherwise("HIGH")
-    out["risk_score"] = F.when(_blank(v, "risk_score"), F.lit(DEFAULTS["risk_score"])).otherwise(_risk(v))
+    out["risk_score"] = F.when(p.blank("risk_score"), F.lit(DEFAULTS["risk_score"])).otherwise(_risk(p))
     for name in ANALYSIS_TEXTS:
-        out[name] = F.when(_blank(v, name), DEFAULTS[name]).otherwise(_text(v, name))
+        out[name] = F.when(p.blank(name), DEFAULTS[name]).otherwise(p.text(name))
     for name in ANALYSIS_LISTS:
-        out[name] = F.when(_blank(v, name), _strings(DEFAULTS[name])).otherwise(_list(v, name))
-    out["rag_assisted"] = _truth(v, "rag_assisted")
+        out[name] = F.when(p.blank(name), _strings(DEFAULTS[name])).otherwise(
+            F.coalesce(p.items(name), F.array(p.text(name))))
+    out["rag_assisted"] = _truth(p, "rag_assisted")
     return out
 
 
@@ -187,17 +200,21 @@ def simulated_analysis(flow_id: Column, flow: dict[str, Column] | None = None) -
     return _struct(_template(SIMULATED, risk, "simulated_analysis", flow or _flow()))
 
 
-def parse_response(response: Column, parsed: Column | None = None, flow: dict[str, Column] | None = None,
-                   error_source: str = "fallback_analysis") -> Column:
-    """Analysis struct of a response.  ``parsed`` may pass ``parse_object(json_block(response))`` as a column,
-    so that the text is parsed once per row."""
-    v = parse_object(json_block(response)) if parsed is None else parsed
-    good = {**validate(v), "response_source": F.lit("llm_parsed")}
-    error = _error_fields(error_source, flow)
-    fallback = _fallback_fields(response, flow)
+def parse_responses(df: DataFrame, response: str = "response", out: str = "analysis",
+                    flow: dict[str, Column] | None = None, error_source: str = "fallback_analysis") -> DataFrame:
+    """Add the analysis struct of each response: parsed and validated, or a replacement.
+
+    Three projections - find and parse, extract, decide - so each text is parsed once per row.
+    """
+    text, p = F.col(response), _Parsed()
+    parsed = df.withColumn("_object", parse_object(json_block(text)))
+    extracted = parsed.withColumns(p.columns(F.col("_object")))
+    good = {**_validated(p), "response_source": F.lit("llm_parsed")}
+    error, fallback = _error_fields(error_source, flow), _fallback_fields(text, flow)
+    usable = F.col("_object").isNotNull()
     # the choice is made per field, so a reader of one field computes that field only
-    return _struct({
-        n: F.when(response.isNull(), error[n]).when(v.isNotNull(), good[n]).otherwise(fallback[n]) for n in FIELDS})
+    fields = {n: F.when(text.isNull(), error[n]).when(usable, good[n]).otherwise(fallback[n]) for n in FIELDS}
+    return extracted.withColumn(out, _struct(fields)).drop("_object", *p.columns(F.col("_object")))
 
 
 def quality(response: Column, technical_analysis: Column) -> dict[str, Column]:

@@ -14,7 +14,8 @@ DEFAULT_TEMPERATURE = 0.35
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    # least and greatest skip nulls, which would turn a missing value into a bound
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def distance_similarity(d: Column) -> Column:
@@ -25,7 +26,7 @@ def distance_similarity(d: Column) -> Column:
         .when(d > NEAR, 0.3 + 0.4 * F.exp(-d / 50.0))
         .otherwise(0.7 + 0.3 * F.exp(-d / 5.0))
     )
-    return F.when(d.isNotNull(), clip(banded, 0.0, 1.0))
+    return F.when(d.isNotNull(), F.least(F.greatest(banded, F.lit(0.0)), F.lit(1.0)))
 
 
 def neighbour_score(all_zero: Column, nearest_positive: Column, zero_distance: str = "reference") -> Column:

@@ -67,7 +67,7 @@ def number_text(x: Column) -> Column:
     power = parts[1].cast("int")
     scientific = F.concat(
         F.regexp_replace(parts[0], r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(power).cast("string"), 2, "0"))
+        F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     return (
         F.when((magnitude == 0) | ((magnitude >= 1e-3) & (magnitude < 1e7)), plain)
         .when((magnitude >= 1e-4) & (magnitude < 1e16), trimmed)

@@ -258,8 +258,8 @@ def _kmeans_centres(pool: DataFrame, wanted: dict[str, int], seed: int) -> dict[
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    finite = F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(
-        F.least(F.greatest(x, F.lit(-NOT_FINITE)), F.lit(NOT_FINITE))))
+    finite = F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), 0.0).when(
+        F.abs(x) == float("inf"), F.signum(x) * NOT_FINITE).otherwise(x))
     pool = materialize(pool.select("grp", array_to_vector(finite).alias("v")), "kmeans")
     out = {}
     for g, k in sorted(wanted.items()):

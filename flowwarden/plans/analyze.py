@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowwarden.functions.hashing import stable_id
 from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, embed, generate, hashing_embedder,
                                          template_generator)
-from flowwarden.functions.responses import json_block, parse_object, parse_response
+from flowwarden.functions.responses import parse_responses
 from flowwarden.functions.text import (FULL_TEXT, PREVIEW, analysis_prompt, document_metadata, document_text,
                                        search_text, shorten)
 from flowwarden.functions.times import to_epoch
@@ -67,11 +67,8 @@ def analyze_threats(threats: DataFrame, docs: DataFrame | None = None, flow_id:
     similar = F.col("similar_flows") if "similar_flows" in threats.columns else None
     answered = work.withColumn("prompt", analysis_prompt(context, similar))
     answered = materialize(answered.withColumn("response", generate(F.col("prompt"), generator)), "answers")
-    parsed = answered.withColumn("_object", parse_object(json_block(F.col("response"))))
-    return with_response_fields(
-        parsed.withColumn("analysis", parse_response(F.col("response"), F.col("_object"),
-                                                     error_source="error_fallback")).drop("_object"),
-        F.size(context) > 0 if context is not None else F.lit(False))
+    parsed = parse_responses(answered, error_source="error_fallback")
+    return with_response_fields(parsed, F.size(context) > 0 if context is not None else F.lit(False))
 
 
 def with_response_fields(df: DataFrame, context_used: Column) -> DataFrame:

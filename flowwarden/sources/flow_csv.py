@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +68,20 @@ def size_mb(size: Column) -> Column:
 
 
 def list_csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, file_name, size_mb, category, traffic_class)`` of every CSV below ``path``; contents unread."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv").load(path)
-    )
+    """``(path, file_name, size_mb, category, traffic_class)`` of every CSV below ``path``; contents unread.
+
+    Listed through the file system, because Spark's readers leave out empty files.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    paths, lengths = [], []
+    while found.hasNext():
+        entry = found.next()
+        if entry.getPath().getName().endswith(".csv"):
+            paths.append(entry.getPath().toString())
+            lengths.append(entry.getLen())
+    files = spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string()),
+                                            "length": pa.array(lengths, pa.int64())}))
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         "path", name.alias("file_name"), size_mb(F.col("length")).alias("size_mb"),
