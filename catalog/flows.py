@@ -9,6 +9,7 @@ from flowwarden.operators import calibration, knn, threats
 from flowwarden.plans import classify, preprocessing, similar
 from flowwarden.plans.reference_index import reconcile_counts
 from flowwarden.operators.splitting import split_counts
+from flowwarden.session import spread_small
 
 # squared distances in the raw space, every test flow against every index flow of each class
 NEIGHBOURS_SQL = f"""
@@ -50,7 +51,8 @@ def _raw_refs(spark, sf_dir):
 
 
 def _raw_queries(spark, sf_dir, group=None):
-    return knn.query_rows(halves(spark, sf_dir).where("split = 'test'"), "flow_id", raw_vector(), group)
+    held_out = spread_small(halves(spark, sf_dir).where("split = 'test'"), "flow_id")
+    return knn.query_rows(held_out, "flow_id", raw_vector(), group)
 
 
 def _round_result(df):
@@ -93,7 +95,8 @@ def classify_flows_scaled(spark, sf_dir):
     space = preprocessing.fit(index_half.drop("flow_id", "ts", "user_id"), categorical=["weekday"])
     refs = knn.reference_rows(space.featurize(index_half, ["flow_id", "traffic_class"]), "flow_id", "features",
                               "traffic_class")
-    queries = knn.query_rows(space.featurize(both.where("split = 'test'"), ["flow_id"]), "flow_id", "features")
+    held_out = spread_small(both.where("split = 'test'"), "flow_id")
+    queries = knn.query_rows(space.featurize(held_out, ["flow_id"]), "flow_id", "features")
     return _round_result(classify.classify_flows(knn.build_cells(refs), queries))
 
 

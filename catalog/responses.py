@@ -8,6 +8,7 @@ from flowwarden.functions import responses as resp
 from flowwarden.functions import text as txt
 from flowwarden.operators import history as hist
 from flowwarden.plans import analyze, similar
+from flowwarden.session import spread_small
 from flowwarden.sources import response_log
 
 # one answer per event, in nine shapes: good, cut off, no JSON, odd types, two objects, blanks, absent, ...
@@ -39,7 +40,7 @@ objects AS (SELECT *, CASE WHEN json_valid(block) THEN block END AS j FROM block
 def answers(spark, sf_dir):
     shapes = [s.replace("VARCHAR", "STRING") for s in SHAPES]
     whens = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(shapes))
-    flows = netflows(spark, sf_dir).withColumn("k", F.col("packets_count").cast("string"))
+    flows = spread_small(netflows(spark, sf_dir), "event_id").withColumn("k", F.col("packets_count").cast("string"))
     return flows.withColumn("response", F.expr(f"CASE event_id % 9 {whens} END"))
 
 
@@ -253,9 +254,7 @@ def prompt_context(spark, sf_dir):
 def _context(spark, sf_dir):
     docs = history(spark, sf_dir)
     queries = docs.select(F.col("doc_index").alias("query_id"), "embedding")
-    found = hist.search(docs, queries, 3, strategy="cells")
-    return found.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "score", "text", "doc_index"))).alias("context"))
+    return analyze.context_of(hist.search(docs, queries, 3, strategy="cells", attach=False), docs)
 
 
 _SIMILAR_SQL = """CASE WHEN packets_count > 50 THEN 'Similar Attack Patterns:' || chr(10) || '- Pattern 1: similarity='
@@ -340,11 +339,11 @@ SELECT event_id AS flow_id, 'HIGH' AS threat_level, 'Template answer' AS attack_
 FROM netflows WHERE classification = 'malicious'""")
 def analyze_threats(spark, sf_dir):
     """Whole chain with the stand-in model: retrieve, render, call, parse."""
-    from flowwarden.functions.models import embed
+    from flowwarden.functions.models import embed, spread
     from flowwarden.operators.threats import route
 
     threats = route(netflows(spark, sf_dir)).withColumnRenamed("event_id", "flow_id")
-    docs = history(spark, sf_dir).withColumn("embedding", embed(F.col("text")))
+    docs = spread(history(spark, sf_dir), "doc_index").withColumn("embedding", embed(F.col("text")))
     out = analyze.analyze_threats(threats, docs, strategy="cells")
     return out.select("flow_id", "analysis.threat_level", "analysis.attack_vector", "analysis.response_source",
                       "rag_context_used", "analysis.rag_assisted", F.col("response").isNull().alias("failed"))

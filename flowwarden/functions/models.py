@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EmbedderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -29,9 +29,8 @@ def hashing_embedder() -> Callable[[list[str]], np.ndarray]:
         out = np.zeros((len(texts), DIMENSION))
         out[:, 0] = 1.0
         for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
-                out[i, 1 + h % (DIMENSION - 1)] += 1.0 if h & 0x80000000 else -1.0
+            h = np.array([zlib.crc32(w.encode()) for w in re.findall(r"\w+", text.lower())], dtype=np.int64)
+            out[i] += np.bincount(1 + h % (DIMENSION - 1), np.where(h & 0x80000000, 1.0, -1.0), DIMENSION)
         return out
 
     return embed
@@ -53,6 +52,17 @@ def template_generator() -> Callable[[list[str]], list[str]]:
     return generate
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores before model calls.
+
+    Calls cost far more than moving their input; a fixed partition count keeps the adaptive planner from
+    merging a small but expensive input into one task.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
 def embed(text: Column, factory: EmbedderFactory = hashing_embedder, batch: int = BATCH) -> Column:
     """Unit-length embedding of ``text``; nulls embed as the empty text."""
 

@@ -24,8 +24,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` scaled to length 1; an all-zero vector stays zero."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x))
+    # the length is an argument, not part of the lambda, which would recompute it for every element
+    length = F.array_repeat(norm(v), F.size(v))
+    return F.zip_with(v, length, lambda x, n: F.when(n > 0, x / n).otherwise(x))
 
 
 def all_zero(v: Column) -> Column:

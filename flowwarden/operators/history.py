@@ -35,8 +35,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, attack_type:
     elif recent_only and docs.select("doc_index").limit(RECENT_WINDOW + 1).count() > RECENT_WINDOW:
         keys = newest(docs.select("ts", "doc_index"), "ts", "doc_index", RECENT_WINDOW)
         pool = docs.join(F.broadcast(keys.select("doc_index")), "doc_index", "left_semi")  # 100 ids
-    refs = knn.reference_rows(pool, "doc_index", "embedding", metric="cosine")
-    asked = knn.query_rows(queries, "query_id", "embedding", metric="cosine")
+    refs = knn.reference_rows(pool, "doc_index", "embedding")
+    asked = knn.query_rows(queries, "query_id", "embedding")
     found = knn.with_score(knn.knn_join(asked, refs, k, "cosine", strategy))
     found = found.select("query_id", F.col("row_id").alias("doc_index"), "rank", "score")
     return found.join(docs.drop("embedding"), "doc_index") if attach else found
@@ -45,8 +45,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, attack_type:
 def search_within_types(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, strategy: str = "auto") -> DataFrame:
     """Each query searches the documents of its own ``attack_type``; an unknown type finds nothing."""
     key = type_key(F.col("attack_type"))
-    refs = knn.reference_rows(docs, "doc_index", "embedding", key, "cosine")
-    asked = knn.query_rows(queries, "query_id", "embedding", key, "cosine")
+    refs = knn.reference_rows(docs, "doc_index", "embedding", key)
+    asked = knn.query_rows(queries, "query_id", "embedding", key)
     found = knn.with_score(knn.knn_join(asked, refs, k, "cosine", strategy))
     return found.select("query_id", F.col("grp").alias("attack_type"), F.col("row_id").alias("doc_index"),
                         "rank", "score")

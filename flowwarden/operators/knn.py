@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowwarden.functions.vectors import as_double, unit
+from flowwarden.functions.vectors import as_double
 from flowwarden.session import materialize
 
 ALL = "all"
+METRICS = ("l2", "cosine")
 CELL_BUDGET = 16384  # centres over all groups; bounds what is broadcast
 CENTRE_BYTES = 64 << 20
 BLOCK_BYTES = 16 << 20  # reference vectors per work unit
@@ -38,40 +39,36 @@ QUERY_ROWS = 16384  # queries per work unit
 PRUNED_CELLS = 1000  # most cells named in a partition filter on the stored index
 NOT_FINITE = 1e6
 SCAN_QUERIES = 1000  # most queries the scan plan broadcasts
+DENSE = 0.1  # share of candidate pairs from which a block is computed as a whole
 MATRIX_CELLS = 2_000_000  # largest distance block held by one kernel step
 
 
 # --------------------------------------------------------------------------------------------- input
 
 
-def reference_rows(df: DataFrame, row_id: str, features: str | Column, group: str | Column | None = None,
-                   metric: str = "l2") -> DataFrame:
+def reference_rows(df: DataFrame, row_id: str, features: str | Column,
+                   group: str | Column | None = None) -> DataFrame:
     """Project a table to the reference contract ``(grp, row_id, features)``."""
     grp = F.lit(ALL) if group is None else (F.col(group) if isinstance(group, str) else group)
     return df.select(
         F.coalesce(grp.cast("string"), F.lit("unknown")).alias("grp"),
         F.col(row_id).alias("row_id"),
-        _vector(features, metric).alias("features"),
+        _vector(features).alias("features"),
     ).where(F.col("features").isNotNull())
 
 
-def query_rows(df: DataFrame, query_id: str, features: str | Column, group: str | Column | None = None,
-               metric: str = "l2") -> DataFrame:
+def query_rows(df: DataFrame, query_id: str, features: str | Column,
+               group: str | Column | None = None) -> DataFrame:
     """Project a table to the query contract ``(query_id, features[, grp])``; ``grp`` restricts the search."""
-    cols = [F.col(query_id).alias("query_id"), _vector(features, metric).alias("features")]
+    cols = [F.col(query_id).alias("query_id"), _vector(features).alias("features")]
     if group is not None:
         grp = F.col(group) if isinstance(group, str) else group
         cols.append(F.coalesce(grp.cast("string"), F.lit("unknown")).alias("grp"))
     return df.select(*cols).where(F.col("features").isNotNull())
 
 
-def _vector(features: str | Column, metric: str) -> Column:
-    v = as_double(F.col(features) if isinstance(features, str) else features)
-    if metric == "l2":
-        return v
-    if metric == "cosine":
-        return unit(v)
-    raise ValueError(f"unknown metric {metric!r}")
+def _vector(features: str | Column) -> Column:
+    return as_double(F.col(features) if isinstance(features, str) else features)
 
 
 def drop_surplus_copies(refs: DataFrame, copies: int) -> DataFrame:
@@ -97,6 +94,7 @@ class CellIndex:
 
     vectors: DataFrame
     copies: int
+    metric: str = "l2"
     centres: dict[str, np.ndarray] = field(default_factory=dict)
     cells: dict[str, dict[str, np.ndarray]] = field(default_factory=dict)
     sizes: dict[str, int] = field(default_factory=dict)  # kept rows per group
@@ -112,9 +110,10 @@ class CellIndex:
             for i in range(len(c["cell"])):
                 near = [float(x) for x in c["near"][i] if math.isfinite(x)]
                 rows.append((g, int(c["cell"][i]), [float(x) for x in self.centres[g][i]],
-                             float(c["radius"][i]), near, int(c["salts"][i]), self.sizes[g], self.copies))
+                             float(c["radius"][i]), near, int(c["salts"][i]), self.sizes[g], self.copies,
+                             self.metric))
         schema = ("grp string, cell int, centre array<double>, radius double, near array<double>, "
-                  "salts int, group_rows bigint, copies int")
+                  "salts int, group_rows bigint, copies int, metric string")
         return self.spark.createDataFrame(rows, schema)
 
     @staticmethod
@@ -123,7 +122,7 @@ class CellIndex:
         by_group: dict[str, list] = {}
         for row in cell_table.orderBy("cell").limit(CELL_BUDGET + 1).collect():
             by_group.setdefault(row["grp"], []).append(row)
-            index.copies = row["copies"]
+            index.copies, index.metric = row["copies"], row["metric"]
         for g, rows in by_group.items():
             near = np.full((len(rows), index.copies), np.inf)
             for i, r in enumerate(rows):
@@ -144,13 +143,16 @@ def default_cells(n: int, cap: int) -> int:
 
 
 def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str = "sample", seed: int = 42,
-                block_rows: int | None = None) -> CellIndex:
+                block_rows: int | None = None, metric: str = "l2") -> CellIndex:
     """Build a :class:`CellIndex` from ``(grp, row_id, features)``.
 
     ``cells_for(group, rows)`` sets the number of cells, capped by the budget.  ``train`` is ``"sample"``
     (centres are hash-sampled vectors) or ``"kmeans"`` (MLlib k-means on a bounded sample).  Results of
-    exact searches do not depend on either.
+    exact searches do not depend on either.  With ``metric="cosine"`` vectors are scaled to length 1 wherever
+    they are read, and neighbours rank by inner product.
     """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
     spark = refs.sparkSession
     kept = materialize(drop_surplus_copies(refs, copies), "vectors")
     groups = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dim")) \
@@ -160,15 +162,17 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
         raise ValueError(f"more than {CELL_BUDGET} groups; search groups with an equi-join instead")
     if not sizes:
         return CellIndex(kept.select("grp", "row_id", "features", F.lit(0).alias("cell"), F.lit(0).alias("salt")),
-                         copies)
+                         copies, metric)
     dim = max(r["dim"] for r in groups)
     block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim))
     cap = max(1, min(CELL_BUDGET, CENTRE_BYTES // (8 * dim)) // len(sizes))
     wanted = {g: max(1, min(cap, n, (cells_for or (lambda _g, m: default_cells(m, cap)))(g, n)))
               for g, n in sizes.items()}
     centres = _train_centres(spark, kept, sizes, wanted, train, seed)
+    if metric == "cosine":
+        centres = {g: _unit(c) for g, c in centres.items()}
 
-    index = CellIndex(kept, copies, centres, sizes=sizes)
+    index = CellIndex(kept, copies, metric, centres, sizes=sizes)
     offset = 0
     for g in sorted(centres):
         index.cells[g] = {"cell": np.arange(offset, offset + len(centres[g]), dtype=np.int32)}
@@ -177,7 +181,7 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
                               + [T.StructField("cell", T.IntegerType()), T.StructField("pd", T.DoubleType())])
     assigned = materialize(
         kept.select("grp", "row_id", "features", "copy")
-        .mapInArrow(_assign_kernel(centres, {g: c["cell"] for g, c in index.cells.items()}), out_schema),
+        .mapInArrow(_assign_kernel(centres, {g: c["cell"] for g, c in index.cells.items()}, metric), out_schema),
         "assigned",
     )
     # per cell: size, radius and the smallest centre distances of distinct vectors, one bounded row per cell
@@ -277,7 +281,7 @@ def _kmeans_centres(pool: DataFrame, wanted: dict[str, int], seed: int) -> dict[
 # -------------------------------------------------------------------------------------------- search
 
 
-def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, metric: str = "l2",
+def search_cells(index: CellIndex, queries: DataFrame, k: int = 10,
                  nprobe: int | dict[str, int] | None = None, query_block: int = QUERY_ROWS) -> DataFrame:
     """Top-k of each query in each group of ``index`` (or in its own ``grp`` if the queries carry one)."""
     if k > index.copies:
@@ -288,7 +292,7 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, metric: str
         T.StructField("row_id", index.vectors.schema["row_id"].dataType), T.StructField("dist", T.DoubleType()),
     ])
     local = _run_units(index, queries, _Probe(index, k, nprobe), query_block,
-                       _unit_kernel(k, metric, result), result)
+                       _unit_kernel(k, index.metric, result), result)
     return _ranked(local, k)
 
 
@@ -303,8 +307,8 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10,
     """
     if k > index.copies:
         raise ValueError(f"index keeps {index.copies} copies per vector; k={k} needs a larger index")
-    if index.copies < 2:
-        raise ValueError("nearest_summary needs an index with copies >= 2")
+    if index.copies < 2 or index.metric != "l2":
+        raise ValueError("nearest_summary needs an l2 index with copies >= 2")
     result = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("grp", T.StringType()),
         T.StructField("zeros", T.LongType()), T.StructField("nearest", T.DoubleType()),
@@ -384,7 +388,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int = 10, metric: str = "l2
         return search_scan(refs, queries, k, metric)
     if strategy != "cells":
         raise ValueError(strategy)
-    return search_cells(build_cells(refs, copies=k, **build), queries, k, metric, nprobe)
+    return search_cells(build_cells(refs, copies=k, metric=metric, **build), queries, k, nprobe)
 
 
 def _ranked(local: DataFrame, k: int) -> DataFrame:
@@ -402,8 +406,8 @@ def with_score(neighbours: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------- kernels
 
 
-def _matrix(column) -> np.ndarray:
-    """list<double> column to a 2-d array; a missing or NaN component is 0, an infinite one is large.
+def _matrix(column, metric: str = "l2") -> np.ndarray:
+    """list<double> column to a 2-d array, rows of length 1 for cosine; a missing or NaN component is 0, an infinite one is large.
 
     Every kernel reads vectors here, so all of them see the same numbers.
     """
@@ -413,7 +417,17 @@ def _matrix(column) -> np.ndarray:
             column = pa.concat_arrays(column.chunks)
     n = len(column)
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float)
-    return _finite(flat).reshape(n, -1)
+    return _shaped(flat, n, metric)
+
+
+def _shaped(flat: np.ndarray, rows: int, metric: str) -> np.ndarray:
+    x = _finite(flat).reshape(rows, -1)
+    return _unit(x) if metric == "cosine" else x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(length > 0, length, 1.0)
 
 
 def _finite(x: np.ndarray) -> np.ndarray:
@@ -431,11 +445,11 @@ def _steps(rows: int, width: int):
         yield start, min(rows, start + size)
 
 
-def _assign_kernel(centres, cell_ids):
+def _assign_kernel(centres, cell_ids, metric):
     def kernel(batches):
         for batch in batches:
             groups = np.asarray(batch.column("grp").to_pylist(), dtype=object)
-            x = _matrix(batch.column("features"))
+            x = _matrix(batch.column("features"), metric)
             cell, pd_ = np.zeros(len(x), np.int32), np.zeros(len(x))
             for g in set(groups.tolist()):
                 rows = np.flatnonzero(groups == g)
@@ -457,6 +471,7 @@ class _Probe:
 
     def __init__(self, index: CellIndex, k: int, nprobe):
         self.centres, self.cells, self.k, self.nprobe = index.centres, index.cells, k, nprobe
+        self.metric = index.metric
 
     def visits(self, x: np.ndarray, g: str):
         """Yield ``(query rows, cell positions, squared bounds)`` pairs for group ``g``."""
@@ -521,7 +536,7 @@ def _count_kernel(plan: _Probe):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            for g, _, cells, _ in plan.batches(batch, _matrix(batch.column("features"))):
+            for g, _, cells, _ in plan.batches(batch, _matrix(batch.column("features"), plan.metric)):
                 ids, n = np.unique(plan.cells[g]["cell"][cells], return_counts=True)
                 for i, m in zip(ids.tolist(), n.tolist()):
                     total[i] = total.get(i, 0) + m
@@ -545,7 +560,7 @@ def _pack_kernel(plan: _Probe, splits: dict[int, int]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column("features"))
+            x = _matrix(batch.column("features"), plan.metric)
             h = batch.column("h").to_numpy(zero_copy_only=False)
             ids = batch.column("query_id")
             for g, rows, cells, bounds in plan.batches(batch, x):
@@ -570,11 +585,40 @@ def _pack_kernel(plan: _Probe, splits: dict[int, int]):
     return kernel
 
 
+def _exact(q: np.ndarray, r: np.ndarray, qi: np.ndarray, ri: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of chosen pairs, summed dimension by dimension: exact copies are at 0 and ties are true ties."""
+    out = np.zeros(len(qi))
+    for j in range(q.shape[1]):
+        x, y = np.take(np.ascontiguousarray(q[:, j]), qi), np.take(np.ascontiguousarray(r[:, j]), ri)
+        if metric == "l2":
+            x -= y
+            x *= x
+            out += x
+        else:
+            x *= y
+            out -= x
+    return out
+
+
+def _exact_all(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """The same sums for all pairs of a block."""
+    out, step = np.zeros((len(q), len(r))), np.empty((len(q), len(r)))
+    for j in range(q.shape[1]):
+        if metric == "l2":
+            np.subtract.outer(q[:, j], r[:, j], out=step)
+            step *= step
+            out += step
+        else:
+            np.multiply.outer(q[:, j], r[:, j], out=step)
+            out -= step
+    return out
+
+
 def _block_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric: str):
     """Top-k of each row of ``q`` among ``r``: positions in q, positions in r, distances.
 
-    Matrix products pick candidates with a slack for rounding; the reported distance is then summed
-    dimension by dimension from the inputs, so exact copies are at distance 0 and ties are true ties.
+    Matrix products pick candidates with a slack for rounding; only those are computed exactly.  Where ties
+    make most pairs candidates, the block is computed exactly as a whole.
     """
     centre = r.mean(0)
     qc, rc = q - centre, r - centre
@@ -585,24 +629,35 @@ def _block_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric
         d2 = qn[a:b, None] + rn[None, :] - 2.0 * (qc[a:b] @ rc.T)
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         slack = 1e-11 * (qn[a:b] + rn.max()) + 1e-300
-        qi, ri = np.nonzero(d2 <= (np.minimum(kth, bounds[a:b]) + slack)[:, None])
+        near = d2 <= (np.minimum(kth, bounds[a:b]) + slack)[:, None]
+        if np.count_nonzero(near) > DENSE * near.size + 64:
+            dist = _exact_all(q[a:b], r, metric)
+            cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+            below, tied = dist < cut, dist == cut
+            tied &= tied.cumsum(1) <= kk - below.sum(1, keepdims=True)  # r is sorted by id: first ties win
+            qi, ri = np.nonzero(below | tied)
+            dist = dist[qi, ri]
+            order = np.lexsort((ri, dist, qi))
+            out.append((qi[order] + a, ri[order], dist[order]))
+            continue
+        qi, ri = np.nonzero(near)
         qi = qi + a
-        dist = np.zeros(len(qi))
-        for j in range(q.shape[1]):
-            if metric == "l2":
-                diff = q[qi, j] - r[ri, j]
-                dist += diff * diff
-            else:
-                dist -= q[qi, j] * r[ri, j]
+        dist = _exact(q, r, qi, ri, metric)
         order = np.lexsort((ri, dist, qi))
         qi, ri, dist = qi[order], ri[order], dist[order]
-        first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.zeros(0, int)
-        position = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
-        keep = position < kk
+        keep = _position(qi) < kk
         out.append((qi[keep], ri[keep], dist[keep]))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def _position(keys: np.ndarray) -> np.ndarray:
+    """0-based position of each element within its run of equal keys."""
+    if not len(keys):
+        return np.zeros(0, int)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return np.arange(len(keys)) - np.repeat(first, np.diff(np.r_[first, len(keys)]))
+
+
 def _result_arrow(result: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -628,7 +683,7 @@ def _unit_kernel(k: int, metric: str, result: T.StructType):
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         right = _sorted_by(right.select(["grp", "row_id", "features"]), "row_id")
-        r = _matrix(right.column("features"))
+        r = _matrix(right.column("features"), metric)
         ids = _flat(left.column("ids"))
         bounds = _flat(left.column("bounds")).to_numpy(zero_copy_only=False)
         q = _flat(left.column("vectors")).to_numpy(zero_copy_only=False).reshape(len(ids), -1)
@@ -653,12 +708,15 @@ def _block_summary(q: np.ndarray, r: np.ndarray, bounds: np.ndarray):
         maybe_copy = d2 <= slack
         best = np.where(maybe_copy, np.inf, d2).min(1)
         limit = np.minimum(best, bounds[a:b])[:, None] + slack
-        qi, ri = np.nonzero(maybe_copy | (d2 <= limit))
+        near = maybe_copy | (d2 <= limit)
+        if np.count_nonzero(near) > DENSE * near.size + 64:
+            dist = _exact_all(q[a:b], r, "l2")
+            zeros[a:b] = (dist == 0).sum(1)
+            nearest[a:b] = np.where(dist > 0, dist, np.inf).min(1)
+            continue
+        qi, ri = np.nonzero(near)
         qi = qi + a
-        dist = np.zeros(len(qi))
-        for j in range(q.shape[1]):
-            diff = q[qi, j] - r[ri, j]
-            dist += diff * diff
+        dist = _exact(q, r, qi, ri, "l2")
         np.add.at(zeros, qi[dist == 0], 1)
         np.minimum.at(nearest, qi[dist > 0], dist[dist > 0])
     return zeros, nearest
@@ -690,7 +748,7 @@ def _scan_kernel(queries: pa.Table, by_group: bool, k: int, metric: str, result:
     queries = queries.combine_chunks()
 
     def kernel(batches):
-        q_all = _matrix(queries.column("features"))
+        q_all = _matrix(queries.column("features"), metric)
         q_groups = np.asarray(queries.column("grp").to_pylist(), dtype=object) if by_group else None
         best: dict[str, pa.Table] = {}
         for batch in batches:
@@ -703,7 +761,7 @@ def _scan_kernel(queries: pa.Table, by_group: bool, k: int, metric: str, result:
                 rows = table.take(pa.array(np.flatnonzero(groups == g)))
                 # earlier winners compete again, so state stays at k rows per query and group
                 part = _sorted_by(rows, "row_id")
-                qi, ri, dist = _block_topk(q_all[pick], _matrix(part.column("features")),
+                qi, ri, dist = _block_topk(q_all[pick], _matrix(part.column("features"), metric),
                                            np.full(len(pick), np.inf), k, metric)
                 found = pa.Table.from_arrays(
                     [pa.array(pick[qi], pa.int64()), part.column("row_id").take(pa.array(ri)), pa.array(dist)],
@@ -711,9 +769,7 @@ def _scan_kernel(queries: pa.Table, by_group: bool, k: int, metric: str, result:
                 if g in best:
                     found = pa.concat_tables([best[g], found.cast(best[g].schema)])
                 found = found.sort_by([("q", "ascending"), ("dist", "ascending"), ("row_id", "ascending")])
-                q = found.column("q").to_numpy()
-                first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                position = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+                position = _position(found.column("q").to_numpy())
                 best[g] = found.take(pa.array(np.flatnonzero(position < k))).combine_chunks()
         for g, found in best.items():
             ids = queries.column("query_id").take(found.column("q"))

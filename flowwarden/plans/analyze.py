@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from flowwarden.functions.hashing import stable_id
 from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, embed, generate, hashing_embedder,
-                                         template_generator)
+                                         spread, template_generator)
 from flowwarden.functions.responses import parse_responses
-from flowwarden.functions.text import (FULL_TEXT, PREVIEW, analysis_prompt, document_metadata, document_text,
+from flowwarden.functions.text import (FULL_TEXT, PREVIEW, SNIPPET, analysis_prompt, document_metadata, document_text,
                                        search_text, shorten)
 from flowwarden.functions.times import to_epoch
 from flowwarden.operators import history
@@ -36,6 +36,13 @@ def standard_fields(df: DataFrame, keep: list[str] = ("flow_id", "attack_type",
     return df.select(*out)
 
 
+def context_of(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(query_id, context)`` from ranked hits.  Only the part of a text a prompt shows is carried along."""
+    shown = docs.select("doc_index", F.substring("text", 1, SNIPPET).alias("text"))
+    return found.join(shown, "doc_index").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "score", "text", "doc_index"))).alias("context"))  # k entries
+
+
 def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_id", k: int = CONTEXT_K,
                      embedder: EmbedderFactory = hashing_embedder, strategy: str = "auto") -> DataFrame:
     """Threats with ``context array<struct<rank, score, text, doc_index>>`` of the k closest past analyses.
@@ -43,12 +50,11 @@ def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_i
     Flows that render the same search text share one embedding call and one search.
     """
     asked = threats.withColumn("search_text", search_text()).withColumn("search_key", F.md5("search_text"))
-    texts = asked.select("search_key", "search_text").distinct()
+    texts = spread(asked.select("search_key", "search_text").distinct(), "search_key")
     queries = materialize(texts.select(F.col("search_key").alias("query_id"),
                                        embed(F.col("search_text"), embedder).alias("embedding")), "queries")
-    found = history.search(docs, queries, k, strategy=strategy)
-    context = found.groupBy(F.col("query_id").alias("search_key")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "score", "text", "doc_index"))).alias("context"))
+    context = context_of(history.search(docs, queries, k, strategy=strategy, attach=False), docs).withColumnRenamed(
+        "query_id", "search_key")
     joined = asked.join(context, "search_key", "left").drop("search_key")
     empty = F.array().cast("array<struct<rank:int,score:double,text:string,doc_index:bigint>>")
     return joined.withColumn("context", F.coalesce("context", empty))
@@ -65,7 +71,7 @@ def analyze_threats(threats: DataFrame, docs: DataFrame | None = None, flow_id:
     work = threats if docs is None else retrieve_context(threats, docs, flow_id, embedder=embedder, strategy=strategy)
     context = F.col("context") if docs is not None else None
     similar = F.col("similar_flows") if "similar_flows" in threats.columns else None
-    answered = work.withColumn("prompt", analysis_prompt(context, similar))
+    answered = spread(work.withColumn("prompt", analysis_prompt(context, similar)), flow_id)
     answered = materialize(answered.withColumn("response", generate(F.col("prompt"), generator)), "answers")
     parsed = parse_responses(answered, error_source="error_fallback")
     return with_response_fields(parsed, F.size(context) > 0 if context is not None else F.lit(False))
@@ -109,7 +115,7 @@ def history_documents(results: DataFrame, at: str = "ts", embedder: EmbedderFact
     text = document_text(F.col("attack_type"), F.col("analysis"))
     meta = document_metadata(F.col("attack_type"), F.col("analysis"), to_epoch(F.col(at)))
     docs = results.select(F.col("flow_id"), text.alias("text"), meta.alias("metadata"), F.col(at).alias("ts"))
-    return docs.withColumn("embedding", embed(F.col("text"), embedder))
+    return spread(docs, "flow_id").withColumn("embedding", embed(F.col("text"), embedder))
 
 
 def ingest_analyses(results: DataFrame, stored: DataFrame | None = None, at: str = "ts",

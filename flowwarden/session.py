@@ -55,6 +55,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table stored in fewer files than there are cores.
+
+    For expensive per-row work on small inputs.  A large table has more files than cores and is returned as
+    it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def release_materialized(spark: SparkSession) -> int:
     """Delete the tables this process wrote with :func:`materialize`."""
     jvm = spark.sparkContext._jvm
