@@ -36,6 +36,7 @@ CELL_BUDGET = 16384  # centres over all groups; bounds what is broadcast
 CENTRE_BYTES = 64 << 20
 BLOCK_BYTES = 16 << 20  # reference vectors per work unit
 QUERY_ROWS = 16384  # queries per work unit
+TWO_ROUND_ROWS = 50_000  # group size from which the home cell is searched first
 PRUNED_CELLS = 1000  # most cells named in a partition filter on the stored index
 NOT_FINITE = 1e6
 SCAN_QUERIES = 1000  # most queries the scan plan broadcasts
@@ -282,22 +283,28 @@ def _kmeans_centres(pool: DataFrame, wanted: dict[str, int], seed: int) -> dict[
 
 
 def search_cells(index: CellIndex, queries: DataFrame, k: int = 10,
-                 nprobe: int | dict[str, int] | None = None, query_block: int = QUERY_ROWS) -> DataFrame:
+                 nprobe: int | dict[str, int] | None = None, query_block: int = QUERY_ROWS,
+                 rounds: int | None = None) -> DataFrame:
     """Top-k of each query in each group of ``index`` (or in its own ``grp`` if the queries carry one)."""
     if k > index.copies:
         raise ValueError(f"index keeps {index.copies} copies per vector; k={k} needs a larger index")
-    query_type = queries.schema["query_id"].dataType
     result = T.StructType([
-        T.StructField("query_id", query_type), T.StructField("grp", T.StringType()),
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("grp", T.StringType()),
         T.StructField("row_id", index.vectors.schema["row_id"].dataType), T.StructField("dist", T.DoubleType()),
+        T.StructField("cell", T.IntegerType()),
     ])
-    local = _run_units(index, queries, _Probe(index, k, nprobe), query_block,
-                       _unit_kernel(k, index.metric, result), result)
-    return _ranked(local, k)
-
-
-def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10,
-                    query_block: int = QUERY_ROWS) -> DataFrame:
+    kernel = _unit_kernel(k, index.metric, result)
+    if nprobe is None and _rounds(index, rounds) == 2:
+        squared = F.col("dist") if index.metric == "l2" else 2 + 2 * F.col("dist")
+        kth = F.get(F.sort_array(F.collect_list(squared)), F.lit(k - 1))  # k entries per unit of the home cell
+        local = _two_rounds(index, queries, k, query_block, kernel, result, kth)
+    else:
+        local = _run_units(index, queries, _Probe(index, k, nprobe), query_block, kernel, result)
+    return _ranked(local.drop("cell"), k)
+
+
+def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10, query_block: int = QUERY_ROWS,
+                    rounds: int | None = None) -> DataFrame:
     """``(query_id, grp, all_zero, nearest_positive)``: what scoring needs of the k nearest neighbours.
 
     The k neighbours are all exact copies iff at least min(k, group size) copies exist, and otherwise
@@ -312,8 +319,12 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10,
     result = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("grp", T.StringType()),
         T.StructField("zeros", T.LongType()), T.StructField("nearest", T.DoubleType()),
+        T.StructField("cell", T.IntegerType()),
     ])
-    local = _run_units(index, queries, _Probe(index, 2, None), query_block, _summary_kernel(result), result)
+    if _rounds(index, rounds) == 2:
+        local = _two_rounds(index, queries, 2, query_block, _summary_kernel(result), result, F.min("nearest"))
+    else:
+        local = _run_units(index, queries, _Probe(index, 2, None), query_block, _summary_kernel(result), result)
     sizes = _local_table(index.spark, {"grp": pa.array(list(index.sizes), pa.string()),
                                        "group_rows": pa.array(list(index.sizes.values()), pa.int64())})
     merged = (local.repartition("query_id").groupBy("query_id", "grp")
@@ -323,12 +334,34 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10,
         "nearest_positive")
 
 
+def _rounds(index: CellIndex, rounds: int | None) -> int:
+    """Two rounds pay off once a group is large enough for cells to differ in usefulness."""
+    return rounds or (2 if max(index.sizes.values(), default=0) >= TWO_ROUND_ROWS else 1)
+
+
+def _two_rounds(index: CellIndex, queries: DataFrame, k: int, query_block: int, kernel, result: T.StructType,
+                bound: Column) -> DataFrame:
+    """Search the home cell of each query first, then only the cells that can beat what was found there.
+
+    The distance found at home is close to the true one (the centre table alone bounds it several times too
+    high), so the second round visits a fraction of the cells.  ``bound`` aggregates the squared bound per
+    query and group from first-round rows.  The home cell travels with it and is not visited again.
+    """
+    first = materialize(_run_units(index, queries, _Probe(index, k, None, "home"), query_block, kernel, result), "home")
+    known = (
+        first.groupBy("query_id", "grp").agg(bound.alias("bound"), F.max("cell").alias("cell"))
+        .groupBy("query_id").agg(F.collect_list(F.struct("grp", "bound", "cell")).alias("known"))  # one per group
+    )
+    asked = materialize(queries.join(known, "query_id", "left"), "asked")
+    rest = _run_units(index, asked, _Probe(index, k, None, "rest"), query_block, kernel, result)
+    return first.unionByName(rest)
+
+
 def _run_units(index: CellIndex, queries: DataFrame, plan: "_Probe", query_block: int, kernel,
                result: T.StructType) -> DataFrame:
     spark = index.spark
     query_type = queries.schema["query_id"].dataType
-    by_group = "grp" in queries.columns
-    cols = ["query_id", "features"] + (["grp"] if by_group else [])
+    cols = [c for c in ("query_id", "features", "grp", "known") if c in queries.columns]
     queries = queries.select(*cols, F.xxhash64("query_id").alias("h"))
 
     # pass 1 measures the probes per cell; pass 2 ships the vectors, split by the measured sizes
@@ -469,11 +502,12 @@ def _assign_kernel(centres, cell_ids, metric):
 class _Probe:
     """Which cells a batch of queries must visit, and an upper bound on each k-th distance."""
 
-    def __init__(self, index: CellIndex, k: int, nprobe):
+    def __init__(self, index: CellIndex, k: int, nprobe=None, mode: str = "all"):
+        self.mode = mode  # all: every useful cell; home: the nearest one; rest: useful ones but the known home
         self.centres, self.cells, self.k, self.nprobe = index.centres, index.cells, k, nprobe
         self.metric = index.metric
 
-    def visits(self, x: np.ndarray, g: str):
+    def visits(self, x: np.ndarray, g: str, known: np.ndarray | None = None, home_cell: np.ndarray | None = None):
         """Yield ``(query rows, cell positions, squared bounds)`` pairs for group ``g``."""
         c, info = self.centres[g], self.cells[g]
         filled = info["salts"] > 0
@@ -482,7 +516,11 @@ class _Probe:
             q = x[a:b]
             d = _distances(q, c)
             slack = 1e-6 * (1.0 + np.sqrt((q * q).sum(1)) + np.abs(c).max())
-            if limit is not None:
+            if self.mode == "home":
+                hit = np.zeros(d.shape, bool)
+                hit[np.arange(len(q)), np.where(filled, d, np.inf).argmin(1)] = filled.any()
+                bound = np.full(len(q), np.inf)
+            elif limit is not None:
                 order = np.argsort(np.where(filled, d, np.inf), axis=1, kind="stable")[:, :limit]
                 hit = np.zeros(d.shape, bool)
                 np.put_along_axis(hit, order, True, axis=1)
@@ -490,6 +528,8 @@ class _Probe:
                 bound = np.full(len(q), np.inf)
             else:
                 bound = self._bound(d, info["near"]) + slack
+                if known is not None:
+                    bound = np.minimum(bound, np.sqrt(np.maximum(known[a:b], 0.0)) + slack)
                 home = d.argmin(1)
                 ids, pos = np.unique(home, return_inverse=True)
                 between = _distances(c[ids], c)[pos]
@@ -498,6 +538,9 @@ class _Probe:
                 plane = np.where(between > 0, plane, 0.0)
                 lower = np.maximum(d - info["radius"], plane)
                 hit = (lower <= (bound + slack)[:, None]) & filled
+                if home_cell is not None:
+                    seen = np.flatnonzero(home_cell[a:b] >= 0)
+                    hit[seen, np.searchsorted(info["cell"], home_cell[a:b][seen])] = False
             rows, cells = np.nonzero(hit)
             yield rows + a, cells, (bound * bound)[rows]
 
@@ -525,10 +568,33 @@ class _Probe:
             chosen = [(g, np.flatnonzero(groups == g)) for g in sorted(set(groups.tolist())) if g in self.centres]
         else:
             chosen = [(g, np.arange(len(features))) for g in sorted(self.centres)]
+        found = self._found(batch) if self.mode == "rest" else {}
         for g, rows in chosen:
-            for part, cells, bounds in self.visits(features[rows], g):
+            known, home = found.get(g, (None, None))
+            extra = (known[rows], home[rows]) if known is not None else ()
+            for part, cells, bounds in self.visits(features[rows], g, *extra):
                 yield g, rows[part], cells, bounds
 
+    @staticmethod
+    def _found(batch) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Per group: squared bound (inf if none) and home cell (-1 if none) of each row of the batch."""
+        import pyarrow.compute as pc
+
+        column = batch.column("known")
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(column)), lengths)
+        flat = column.flatten()
+        groups = np.asarray(flat.field("grp").to_pylist(), dtype=object)
+        bounds = pc.fill_null(flat.field("bound"), np.inf).to_numpy(zero_copy_only=False)
+        cells = flat.field("cell").to_numpy(zero_copy_only=False)
+        out = {}
+        for g in set(groups.tolist()):
+            mine = groups == g
+            known, home = np.full(len(column), np.inf), np.full(len(column), -1, np.int64)
+            known[rows[mine]], home[rows[mine]] = bounds[mine], cells[mine]
+            out[g] = known, home
+        return out
+
 
 def _count_kernel(plan: _Probe):
     def kernel(batches):
@@ -670,6 +736,11 @@ def _flat(column) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
+def _repeat(table, name: str, n: int) -> pa.Array:
+    """The table's (single) value of a key column, n times."""
+    return pa.array(np.full(n, table.column(name)[0].as_py(), np.int32))
+
+
 def _sorted_by(table, name):
     import pyarrow.compute as pc
 
@@ -691,7 +762,7 @@ def _unit_kernel(k: int, metric: str, result: T.StructType):
         pos = pa.array(ri)
         return pa.Table.from_arrays(
             [ids.take(pa.array(qi)), right.column("grp").take(pos).cast(schema.field("grp").type),
-             right.column("row_id").take(pos), pa.array(dist)], schema=schema)
+             right.column("row_id").take(pos), pa.array(dist), _repeat(left, "cell", len(qi))], schema=schema)
 
     return kernel
 
@@ -737,8 +808,8 @@ def _summary_kernel(result: T.StructType):
         grp = pa.array([right.column("grp")[0].as_py()] * len(keep), schema.field("grp").type)
         near = nearest[keep]
         return pa.Table.from_arrays(
-            [ids.take(pa.array(keep)), grp, pa.array(zeros[keep]), pa.array(near, mask=~np.isfinite(near))],
-            schema=schema)
+            [ids.take(pa.array(keep)), grp, pa.array(zeros[keep]), pa.array(near, mask=~np.isfinite(near)),
+             _repeat(left, "cell", len(keep))], schema=schema)
 
     return kernel
 

@@ -52,14 +52,14 @@ def skewed(seed=1, n=600, dim=4):
     return queries, refs
 
 
-@pytest.mark.parametrize("train", ["sample", "kmeans"])
-def test_cells_equal_brute_force_on_skewed_data(spark, train):
+@pytest.mark.parametrize("train, rounds", [("sample", 1), ("kmeans", 1), ("sample", 2)])
+def test_cells_equal_brute_force_on_skewed_data(spark, train, rounds):
     queries, refs = skewed()
     q, r = frames(spark, queries, refs)
     index = knn.build_cells(r, copies=10, train=train, block_rows=16)
     # tiny blocks force both salts
     assert max(c["salts"].max() for c in index.cells.values()) > 1
-    got = collected(knn.search_cells(index, q, 10, query_block=8))
+    got = collected(knn.search_cells(index, q, 10, query_block=8, rounds=rounds))
     assert got == brute(queries, refs, 10)
 
 
@@ -72,12 +72,13 @@ def test_copies_beyond_k_are_dropped_without_changing_results(spark):
     assert "WindowGroupLimit" in kept._jdf.queryExecution().toString()
 
 
-def test_summary_agrees_with_neighbours(spark):
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_summary_agrees_with_neighbours(spark, rounds):
     queries, refs = skewed()
     q, r = frames(spark, queries, refs)
     index = knn.build_cells(r, copies=10, block_rows=16)
     got = {(x["query_id"], x["grp"]): (x["all_zero"], x["nearest_positive"])
-           for x in knn.nearest_summary(index, q, 10, query_block=8).collect()}
+           for x in knn.nearest_summary(index, q, 10, query_block=8, rounds=rounds).collect()}
     for key, hits in brute(queries, refs, 10).items():
         zero = all(d == 0 for _, d in hits)
         assert got[key][0] == zero
@@ -91,6 +92,7 @@ def test_scan_equals_cells_and_respects_groups(spark):
     q, r = frames(spark, queries, refs)
     want = brute(queries, refs, 4)
     assert collected(knn.search_scan(r, q, 4)) == want
+    assert collected(knn.search_cells(knn.build_cells(r, 4), q, 4, rounds=2)) == want
     assert collected(knn.knn_join(q, r, 4, strategy="cells")) == want
     assert collected(knn.knn_join(q, r, 4)) == want
 
@@ -108,8 +110,10 @@ def test_cosine(spark):
     refs = [("all", i, unit(rng.normal(size=16))) for i in range(150)]
     queries = [(i, unit(rng.normal(size=16))) for i in range(30)]
     q, r = frames(spark, queries, refs)
-    got = collected(knn.knn_join(q, r, 5, "cosine", "cells"))
     want = brute(queries, refs, 5, "cosine")
+    got = collected(knn.knn_join(q, r, 5, "cosine", "cells"))
+    two = collected(knn.search_cells(knn.build_cells(r, 5, metric="cosine"), q, 5, rounds=2))
+    assert {k: [x for x, _ in v] for k, v in two.items()} == {k: [x for x, _ in v] for k, v in want.items()}
     assert {k: [x for x, _ in v] for k, v in got.items()} == {k: [x for x, _ in v] for k, v in want.items()}
 
 
@@ -140,6 +144,7 @@ def test_empty_sides(spark):
     assert knn.knn_join(q, r.where("false"), 3, strategy="cells").count() == 0
     assert knn.knn_join(q.where("false"), r, 3, strategy="cells").count() == 0
     assert knn.knn_join(q.where("false"), r, 3).count() == 0
+    assert knn.search_cells(knn.build_cells(r), q.where("false"), 3, rounds=2).count() == 0
 
 
 def test_index_must_keep_enough_copies(spark):
