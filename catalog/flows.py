@@ -117,8 +117,7 @@ SELECT query_id AS flow_id,
 FROM per_query""")
 def classify_flows_legacy(spark, sf_dir):
     index = knn.build_cells(_raw_refs(spark, sf_dir))
-    neighbours = knn.search_cells(index, _raw_queries(spark, sf_dir), classify.LEGACY_K_BENIGN)
-    return _round_result(classify.classify_neighbours_legacy(neighbours))
+    return _round_result(classify.classify_flows_legacy(index, _raw_queries(spark, sf_dir)))
 
 
 @query("knn_flows", f"""
@@ -172,7 +171,7 @@ def similar_flows(spark, sf_dir):
 SELECT query_id, grp, row_id, rank, round(1 / (1 + dist), 6) AS similarity FROM top""")
 def similar_flows_legacy(spark, sf_dir):
     index = knn.build_cells(_raw_refs(spark, sf_dir))
-    found = similar.similar_flows(index, _raw_queries(spark, sf_dir, "traffic_class"), 5)
+    found = similar.similar_flows_legacy(index, _raw_queries(spark, sf_dir, "traffic_class"), 5)
     return found.select("query_id", "grp", "row_id", "rank", r6(F.col("similarity")).alias("similarity"))
 
 

@@ -18,7 +18,7 @@ asked AS (
   FROM conversations WHERE role = 'user'),
 stored AS (
   SELECT CAST(conv_id AS VARCHAR) AS flow_id, min(turn) AS ts, min(text) AS attack_vector
-  FROM conversations WHERE role = 'assistant' AND conv_id % 5 <> 1 GROUP BY conv_id),
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 clean AS (SELECT id, turn, trim(question, ' ' || chr(9) || chr(10) || chr(13)) AS question, trim(flow_id) AS flow_id
           FROM asked)
 """
@@ -36,7 +36,7 @@ def asked(spark, sf_dir):
 
 
 def stored(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant' AND conv_id % 5 <> 1")
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     a = c.groupBy(F.col("conv_id").cast("string").alias("flow_id")).agg(
         F.min("turn").alias("ts"), F.min("text").alias("attack_vector"))
     values = {"attack_vector": F.col("attack_vector"), "risk_score": F.col("ts").cast("int"),

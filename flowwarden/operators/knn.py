@@ -691,11 +691,16 @@ def _block_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric
     qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
     kk = min(k, len(r))
     out = []
+    flipped = -2.0 * rc.T
     for a, b in _steps(len(q), len(r)):
-        d2 = qn[a:b, None] + rn[None, :] - 2.0 * (qc[a:b] @ rc.T)
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        d2 = qc[a:b] @ flipped
+        d2 += rn
+        d2 += qn[a:b, None]
         slack = 1e-11 * (qn[a:b] + rn.max()) + 1e-300
-        near = d2 <= (np.minimum(kth, bounds[a:b]) + slack)[:, None]
+        near = d2 <= (bounds[a:b] + slack)[:, None]
+        if np.count_nonzero(near) > 4 * kk * (b - a):  # the bounds alone leave too many
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            near &= d2 <= (kth + slack)[:, None]
         if np.count_nonzero(near) > DENSE * near.size + 64:
             dist = _exact_all(q[a:b], r, metric)
             cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
@@ -773,13 +778,16 @@ def _block_summary(q: np.ndarray, r: np.ndarray, bounds: np.ndarray):
     qc, rc = q - centre, r - centre
     qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
     zeros, nearest = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
+    flipped = -2.0 * rc.T
     for a, b in _steps(len(q), len(r)):
-        d2 = qn[a:b, None] + rn[None, :] - 2.0 * (qc[a:b] @ rc.T)
+        d2 = qc[a:b] @ flipped
+        d2 += rn
+        d2 += qn[a:b, None]
         slack = (1e-11 * (qn[a:b] + rn.max()) + 1e-300)[:, None]
         maybe_copy = d2 <= slack
-        best = np.where(maybe_copy, np.inf, d2).min(1)
-        limit = np.minimum(best, bounds[a:b])[:, None] + slack
-        near = maybe_copy | (d2 <= limit)
+        best = (np.where(maybe_copy, np.inf, d2) if maybe_copy.any() else d2).min(1)
+        near = d2 <= np.minimum(best, bounds[a:b])[:, None] + slack
+        near |= maybe_copy
         if np.count_nonzero(near) > DENSE * near.size + 64:
             dist = _exact_all(q[a:b], r, "l2")
             zeros[a:b] = (dist == 0).sum(1)

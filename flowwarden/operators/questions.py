@@ -67,6 +67,12 @@ def answer(admitted_questions: DataFrame, factory: GeneratorFactory | None = Non
         "error": failed, "answer": F.coalesce("answer", F.lit("Error processing question: model call failed"))})
 
 
+def answer_questions(questions: DataFrame, analyses: DataFrame, factory: GeneratorFactory | None = None
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Payloads of the admitted questions, and the rejected ones with their reason."""
+    return payload(answer(admitted(questions, analyses), factory)), rejected(questions, analyses)
+
+
 def payload(answers: DataFrame) -> DataFrame:
     """The record shown to the requester."""
     return answers.select(

@@ -32,6 +32,11 @@ def similar_flows(index: CellIndex, queries: DataFrame, k: int = K, calibration:
     return out
 
 
+def similar_flows_legacy(index: CellIndex, queries: DataFrame, k: int = K, rows: DataFrame | None = None) -> DataFrame:
+    """Earlier variant: ``1/(1+d)`` for every class."""
+    return similar_flows(index, queries, k, None, rows)
+
+
 def attach_similar(flows: DataFrame, similar: DataFrame, flow_id: str = "flow_id", shown: int = 2) -> DataFrame:
     """Flows with ``similar_flows array<struct<rank, similarity>>`` of the first ``shown`` neighbours."""
     top = (

@@ -93,7 +93,8 @@ def read_flow_csv(spark: SparkSession, path: str, layout: str = "fixed", naming=
 
     Files whose name matches no class (a held-out stream file, say) are left out.  Columns stay text;
     :func:`flowwarden.operators.cleaning.clean_flows` types them.  ``layout="fixed"`` reads everything in
-    one scan and rejects files whose header differs from the standard one.  ``layout="by_header"`` accepts
+    one scan, by position, for files with the standard column order (a row of another width lands in
+    ``corrupt_record``; ``quality.file_profile`` shows each file's header).  ``layout="by_header"`` accepts
     missing, extra, reordered and blank-padded columns: files are grouped by header line and each group is
     one scan.
     """

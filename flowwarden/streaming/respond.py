@@ -59,9 +59,9 @@ def question_stream(asked: DataFrame, analyses: DataFrame, path: str, checkpoint
     def body(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            good = questions.answer(questions.admitted(batch, analyses), generator)
-            write_batch(questions.payload(good), f"{path}/answers", batch_id)
-            write_batch(questions.rejected(batch, analyses), f"{path}/rejects", batch_id)
+            answers, rejects = questions.answer_questions(batch, analyses, generator)
+            write_batch(answers, f"{path}/answers", batch_id)
+            write_batch(rejects, f"{path}/rejects", batch_id)
         finally:
             batch.unpersist()
 
