@@ -32,7 +32,7 @@ from flowwarden.session import materialize
 
 ALL = "all"
 METRICS = ("l2", "cosine")
-CELL_BUDGET = 16384  # centres over all groups; bounds what is broadcast
+CELL_BUDGET = 65536  # centres over all groups; with CENTRE_BYTES bounds what is broadcast
 CENTRE_BYTES = 64 << 20
 BLOCK_BYTES = 16 << 20  # reference vectors per work unit
 QUERY_ROWS = 16384  # queries per work unit

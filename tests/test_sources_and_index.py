@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,12 @@ def test_save_load_classify_and_similar(spark, built, tmp_path):
     attacks = [k for k, v in truth.items() if v != BENIGN]
     assert sum(first[k][2] == truth[k] for k in attacks) / len(attacks) > 0.9
 
+    one = spark.createDataFrame([("q", ref.index.vectors.first()["features"], "synscan")],
+                                "query_id string, features array<double>, grp string")
+    stored = reference_index.load(spark, path).index
+    plan = knn.search_cells(stored, one, 1, nprobe=1)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ (IN|=)", plan)  # only the probed cell is read
+
     found = similar.similar_flows(back.index, back.queries(held_out, "row_id", "traffic_class"), 3, back.calibration,
                                   back.rows).collect()
     assert len(found) == 3 * len(attacks)
