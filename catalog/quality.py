@@ -73,10 +73,11 @@ def index_health(spark, sf_dir):
 
 @query("system_stats", """
 SELECT count(*) AS flows, round(epoch(max(ts)) - epoch(min(ts)), 3) AS uptime_seconds,
-       round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS flows_per_second
+       round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS flows_per_second,
+       (SELECT count(*) FROM conversations) AS stored_analyses
 FROM events""")
 def system_stats(spark, sf_dir):
-    s = quality.system_stats(table(spark, sf_dir, "events"))
+    s = quality.system_stats(table(spark, sf_dir, "events"), analyses=table(spark, sf_dir, "conversations"))
     return s.withColumns({"uptime_seconds": F.round("uptime_seconds", 3),
                           "flows_per_second": r6(F.col("flows_per_second"))})
 

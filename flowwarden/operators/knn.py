@@ -36,7 +36,8 @@ CELL_BUDGET = 65536  # centres over all groups; with CENTRE_BYTES bounds what is
 CENTRE_BYTES = 64 << 20
 BLOCK_BYTES = 16 << 20  # reference vectors per work unit
 QUERY_ROWS = 16384  # queries per work unit
-TWO_ROUND_ROWS = 50_000  # group size from which the home cell is searched first
+# group sizes from which the home cell is searched first
+TWO_ROUND_TOPK, TWO_ROUND_SUMMARY = 20_000, 50_000
 PRUNED_CELLS = 1000  # most cells named in a partition filter on the stored index
 NOT_FINITE = 1e6
 SCAN_QUERIES = 1000  # most queries the scan plan broadcasts
@@ -294,7 +295,7 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 10,
         T.StructField("cell", T.IntegerType()),
     ])
     kernel = _unit_kernel(k, index.metric, result)
-    if nprobe is None and _rounds(index, rounds) == 2:
+    if nprobe is None and _rounds(index, rounds, TWO_ROUND_TOPK) == 2:
         squared = F.col("dist") if index.metric == "l2" else 2 + 2 * F.col("dist")
         kth = F.get(F.sort_array(F.collect_list(squared)), F.lit(k - 1))  # k entries per unit of the home cell
         local = _two_rounds(index, queries, k, query_block, kernel, result, kth)
@@ -321,7 +322,7 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10, query_blo
         T.StructField("zeros", T.LongType()), T.StructField("nearest", T.DoubleType()),
         T.StructField("cell", T.IntegerType()),
     ])
-    if _rounds(index, rounds) == 2:
+    if _rounds(index, rounds, TWO_ROUND_SUMMARY) == 2:
         local = _two_rounds(index, queries, 2, query_block, _summary_kernel(result), result, F.min("nearest"))
     else:
         local = _run_units(index, queries, _Probe(index, 2, None), query_block, _summary_kernel(result), result)
@@ -334,9 +335,9 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10, query_blo
         "nearest_positive")
 
 
-def _rounds(index: CellIndex, rounds: int | None) -> int:
-    """Two rounds pay off once a group is large enough for cells to differ in usefulness."""
-    return rounds or (2 if max(index.sizes.values(), default=0) >= TWO_ROUND_ROWS else 1)
+def _rounds(index: CellIndex, rounds: int | None, threshold: int) -> int:
+    """Two rounds pay off once a group is large; sooner for a top k, whose surplus rows are also sorted."""
+    return rounds or (2 if max(index.sizes.values(), default=0) >= threshold else 1)
 
 
 def _two_rounds(index: CellIndex, queries: DataFrame, k: int, query_block: int, kernel, result: T.StructType,
@@ -698,7 +699,7 @@ def _block_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric
         d2 += qn[a:b, None]
         slack = 1e-11 * (qn[a:b] + rn.max()) + 1e-300
         near = d2 <= (bounds[a:b] + slack)[:, None]
-        if np.count_nonzero(near) > 4 * kk * (b - a):  # the bounds alone leave too many
+        if np.count_nonzero(near) > kk * (b - a):  # the bounds alone leave more than k per query
             kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
             near &= d2 <= (kth + slack)[:, None]
         if np.count_nonzero(near) > DENSE * near.size + 64:

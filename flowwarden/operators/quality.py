@@ -97,5 +97,4 @@ def system_stats(flows: DataFrame, order: str = "ts", analyses: DataFrame | None
         (F.col("uptime_seconds") > 0) & (F.col("flows") > 0), F.col("flows") / F.col("uptime_seconds")))
     if analyses is None:
         return out
-    stored = analyses.agg(F.count(F.lit(1)).alias("stored_analyses"))  # one row each
-    return out.join(F.broadcast(stored), F.lit(True), "left")
+    return out.withColumn("stored_analyses", analyses.agg(F.count(F.lit(1))).scalar())
