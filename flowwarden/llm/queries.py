@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, sharding, topk, warc
+from flowwarden.llm import mixing, sharding, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
 
 
+@query("op2_copied_passages", r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS h FROM s),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE again),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+k AS (
+  SELECT p.doc_id, count(c.j) AS n_removed,
+         coalesce(string_agg(p.word, ' ' ORDER BY p.j) FILTER (WHERE c.j IS NULL), '') AS kept
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.j = c.j GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove_copies(table(spark, sf_dir, "documents")))
+
+
 @query("op4_uniform_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.uniform_shards(table(spark, sf_dir, "documents"), 24)
