@@ -77,13 +77,9 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     headers = records.select("page_id", "sha256", _header(
         F.col("page_id"), F.col("url"), F.col("record_type"), F.col("first"), F.col("payload_digest"),
         F.col("payload_bytes")).alias("header"))
-    # the payload of a digest is taken from its first record; null-safe, as the only id may be null
-    holders = records.where("page_id <=> first").select("page_id", "sha256").distinct()
-    bodies = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload"))
-    bodies = bodies.withColumn("sha256", F.sha2("payload", 256)).alias("b")
-    stored = (bodies.join(holders.alias("h"), F.expr("b.sha256 = h.sha256 and b.page_id <=> h.page_id"), "left_semi")
-              .groupBy("sha256").agg(F.first("payload").alias("payload"))
-              .withColumn("sha1", F.sha1("payload")))
+    # one copy of each payload leaves a map task, whatever the number of records that share it
+    stored = (pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).groupBy("sha256")
+              .agg(F.first("payload").alias("payload")).withColumn("sha1", F.sha1("payload")))
     return Archive(materialize(headers, "warc-headers"), materialize(stored, "warc-payloads"))
 
 
