@@ -9,6 +9,8 @@ only rows of one bucket are ordered together.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +19,6 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: Size classes for each doubling of the size.
 CLASSES = 8
-ROWS_PER_BUCKET = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,7 +61,8 @@ def mix(rows: DataFrame, seed: int = 11, weights: tuple[int, ...] = (1, 2, 3), m
     ``most`` times.
     """
     text = F.col(text_col).cast("string")
-    subs = 1 + rows.count() // ROWS_PER_BUCKET
+    # the number of buckets and the rows of each both grow with the root of the rows
+    subs = 1 + math.isqrt(rows.count()) // 64
     source = F.col(source_col).cast("string")
     sized = rows.select(
         F.struct(*[F.col(c) for c in keep] or [F.lit(1)]).alias("kept"), F.col(id_col).alias("id"),
