@@ -124,7 +124,7 @@ def _send(records: np.ndarray, marks: np.ndarray, blocks: int) -> pa.RecordBatch
 
 def _parse(window: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             found, later = _earliest(fragments(batch, window))
             many = _contents(found) > CONTENTS
             send = ~later & ~many
@@ -219,7 +219,7 @@ def _per_text(marks: DataFrame) -> DataFrame:
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 4 << 20):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             data, counts, removed, kept = data.tobytes(), [], [], []
             for low, high, marks in zip(offsets[:-1], offsets[1:], batch.column("marks")):
