@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, sharding, substring, topk, warc
+from flowwarden.llm import mixing, setsketch, sharding, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_setsketch_near_duplicates", r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(CASE WHEN len(w) < 2 THEN w ELSE list_slice(w, i, i + 1) END, ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (
+  SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)),
+pairs AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM d
+  UNION SELECT r.node, b.y FROM reach r JOIN pairs b ON b.x = r.seen),
+m AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.node = d.doc_id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 @query("op10_systematic_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
