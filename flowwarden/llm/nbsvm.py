@@ -2,7 +2,8 @@
 
 Features are byte n-grams hashed into a fixed number of slots, present or absent in a text.  Each is scaled by the log
 ratio of its smoothed frequencies in both classes, every text is brought to length one, and dual coordinate descent
-fits the support vector machine.  Scores are probabilities from a logistic curve over cross-validated margins.
+fits the support vector machine.  Scores are probabilities from a logistic curve over cross-validated margins, which
+also sees the length of the text and how much of it is new, as short and repetitive texts have uncertain margins.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from flowwarden.llm.words import slices, text_bytes
 #: Slots of the feature table (a power of two) and the lengths of the n-grams.
 SLOTS, ORDERS = 1 << 16, (1, 2, 3, 4)
 #: Bound of the fit: labelled rows used at most, those with the smallest hash of the id.
-MOST_ROWS = 4000
+MOST_ROWS = 3000
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -42,20 +43,23 @@ def slots(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weight of each slot (log-count ratio times model weight), their scale for the length, and the curve."""
+    """Weight of each slot (log-count ratio times model weight), their squared scale, and the logistic curve."""
 
     weights: np.ndarray
     squares: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray
 
-    def margin(self, seen: np.ndarray) -> float:
+    def signs(self, seen: np.ndarray, n_bytes: int) -> np.ndarray:
+        """What the curve sees: margin, one, shortness, margin of a short text, length, share of new n-grams."""
         length = np.sqrt(self.squares[seen].sum())
-        return float(self.weights[seen].sum() / length + self.bias) if length > 0 else self.bias
+        margin = self.weights[seen].sum() / length + self.bias if length > 0 else self.bias
+        short = 1 / np.sqrt(len(seen) + 1)
+        return np.array([margin, 1.0, short, margin * short, np.log(n_bytes + 1) / 10,
+                         np.log((len(seen) + 1) / (n_bytes + 1))])
 
-    def score(self, seen: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(seen) + self.offset, -500, 500))))
+    def score(self, seen: np.ndarray, n_bytes: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.signs(seen, n_bytes) @ self.curve, -500, 500))))
 
 
 def _descend(rows: list[np.ndarray], labels: np.ndarray, cost: float, rounds: int, seed: int) -> Model:
@@ -82,42 +86,42 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, cost: float, rounds: in
                 largest = max(largest, abs(step))
         if largest < 1e-3:
             break
-    return Model(weight * ratio, squares, bias, 1.0, 0.0)
+    return Model(weight * ratio, squares, bias, np.zeros(6))
 
 
-def _curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through the margins, by Newton's method with smoothed targets."""
+def _curve(signs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Logistic regression on the signs by Newton's method, with smoothed targets."""
     good, bad = (labels == 1).sum(), (labels == -1).sum()
     target = np.where(labels == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-    at = np.array([1.0, np.log((good + 1) / (bad + 1))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * at)
-        at -= step
+    at = np.zeros(signs.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(signs @ at, -500, 500)))
+        hessian = (signs * (p * (1 - p))[:, None]).T @ signs + 1e-2 * np.eye(len(at))
+        step = np.linalg.solve(hessian, signs.T @ (p - target) + 1e-2 * at)
+        at -= step * min(1.0, 2 / np.abs(step).max())
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(at[0], 1e-3)), float(at[1])
+    return at
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 30, folds: int = 3,
-          seed: int = 5) -> Model:
-    """Fit on the slots of each text and labels of -1 and 1.
+def train(rows: list[np.ndarray], sizes: list[int], labels: np.ndarray, cost: float = 1.0, rounds: int = 15,
+          folds: int = 3, seed: int = 5) -> Model:
+    """Fit on the slots and bytes of each text and labels of -1 and 1.
 
     Without rows of both classes every score is 0.5 (no rows), or the smoothed share of the only class.
     """
     if len(set(labels.tolist())) < 2:
         good = float((labels == 1).sum())
-        return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 1.0, float(np.log((good + 1) / (len(labels) - good + 1))))
-    margins, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
+        share = np.log((good + 1) / (len(labels) - good + 1))
+        return Model(np.zeros(SLOTS), np.zeros(SLOTS), 0.0, np.array([0.0, share, 0, 0, 0, 0]))
+    signs, fold = np.zeros((len(rows), 6)), np.arange(len(rows)) % folds
     for f in range(folds):
         inside = np.flatnonzero(fold != f)
         part = _descend([rows[i] for i in inside], labels[inside], cost, rounds, seed)
         for i in np.flatnonzero(fold == f):
-            margins[i] = part.margin(rows[i])
+            signs[i] = part.signs(rows[i], sizes[i])
     model = _descend(rows, labels, cost, rounds, seed)
-    model.slope, model.offset = _curve(margins, labels)
+    model.curve = _curve(signs, labels)
     return model
 
 
@@ -125,8 +129,9 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, offsets = text_bytes(batch.column("text"))
         found = [slots(data[a:b]).astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))],
-                                         ["id", "label", "slots"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("label"), pa.array(np.diff(offsets), pa.int64()),
+             pa.array(found, pa.list_(pa.int32()))], ["id", "label", "n_bytes", "slots"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
@@ -141,15 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if held_out_rest is not None:
         given = given.where(fold != held_out_rest)
     marked = (given.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other"))
-              .where("label = other").select("id", F.col("label").cast("int").alias("label")))
+              .where("label = other").select("id", F.col("label").cast("int").alias("label"))
+              .orderBy(F.xxhash64("id"), "id").limit(most_rows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = (docs.select(F.col(id_col).alias("id"), text.alias("text")).join(marked, "id")
-              .orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(most_rows))
-    rows = chosen.mapInArrow(_slots_of, "id long, label int, slots array<int>").toArrow().sort_by("id")
-    kept: dict[int, tuple[int, np.ndarray]] = {}
-    for i, label, seen in zip(rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("slots")):
-        kept.setdefault(i, (label, np.asarray(seen.values)))
-    return train([seen for _, seen in kept.values()], np.array([2 * label - 1 for label, _ in kept.values()], np.int64))
+    # the chosen ids are at most ``most_rows``, so that they may be broadcast at any size of the input
+    chosen = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(marked), "id")
+    rows = (chosen.mapInArrow(_slots_of, "id long, label int, n_bytes long, slots array<int>").toArrow()
+            .sort_by([("id", "ascending"), ("n_bytes", "ascending")]))
+    kept: dict[int, tuple[int, int, np.ndarray]] = {}
+    for i, label, size, seen in zip(*(rows.column(c).to_pylist() for c in ("id", "label", "n_bytes")), rows.column("slots")):
+        kept.setdefault(i, (label, size, np.asarray(seen.values, np.uint16 if SLOTS <= 1 << 16 else np.int32)))
+    return train([k[2] for k in kept.values()], [k[1] for k in kept.values()],
+                 np.array([2 * k[0] - 1 for k in kept.values()], np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +169,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
-            found = [model.score(slots(data[a:b])) for a, b in zip(offsets[:-1], offsets[1:])]
+            found = [model.score(slots(data[a:b]), b - a) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], ["id", "score"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
