@@ -54,8 +54,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     position = lambda v: v.bitwiseAND(_shift("shiftleft", F.lit(1).cast("long"), c("bits")) - 1)
 
     def element(v: Column, number: Column) -> Column:
-        """Bin, hash and position in one number: the upper bits of the element's hash, the position below."""
-        hashed = F.xxhash64(F.get(c("codes"), position(v).cast("int")), number)
+        """Bin, hash and position in one number: the upper bits of the element's hash (not negative), the position below."""
+        hashed = _shift("shiftrightunsigned", F.xxhash64(F.get(c("codes"), position(v).cast("int")), number), c("bits") + 1)
         return F.coalesce(_shift("shiftleft", hashed, c("bits")).bitwiseOR(position(v)), F.lit(0).cast("long"))
 
     runs = F.flatten(F.transform(c("starts"), lambda start, j: F.transform(
@@ -63,19 +63,16 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
         lambda v, n: element(v, n + 1))))
     df = add(df, "elements", F.sort_array(F.concat(
         F.transform(c("firsts"), lambda v: element(v, F.lit(0))), runs)))
-    bin_of = lambda v: _shift("shiftrightunsigned", v, 64 - _BIN_BITS)
+    bin_of = lambda v: _shift("shiftrightunsigned", v, 63 - _BIN_BITS)
     df = add(df, "kept", F.filter(c("elements"), lambda v, i: F.coalesce(
         (i < TUPLE) | (bin_of(v) != bin_of(F.get(c("elements"), i - TUPLE))), F.lit(False))))
 
     def entry(v: Column, i: Column) -> Column:
         """The bin's text if this is its first element: its kept hashes, ordered by position."""
-        mine = [F.struct(position(v).alias("at"), part(v).alias("hash"))] + [
-            F.when(bin_of(F.get(c("kept"), i + j)) == bin_of(v), F.struct(
-                position(F.get(c("kept"), i + j)).alias("at"), part(F.get(c("kept"), i + j)).alias("hash")))
-            for j in range(1, TUPLE)]
+        mine = [position(v)] + [F.when(bin_of(F.get(c("kept"), i + j)) == bin_of(v), position(F.get(c("kept"), i + j)))
+                                for j in range(1, TUPLE)]
         ordered = F.array_sort(F.filter(F.array(*mine), lambda x: x.isNotNull()))
-        # the code without its position bits differs between long and short texts: hash the element itself
-        names = F.transform(ordered, lambda x: F.get(c("codes"), x["at"].cast("int")))
+        names = F.transform(ordered, lambda at: F.get(c("codes"), at.cast("int")))
         text = F.concat(F.lpad(F.hex(bin_of(v)), 2, "0"),
                         F.lpad(F.hex(F.xxhash64(names).bitwiseAND(0xFFFFFFFF)), 8, "0"))
         return F.when((i == 0) | (bin_of(v) != bin_of(F.get(c("kept"), i - 1))), text)

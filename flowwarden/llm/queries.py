@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, nbsvm, setsketch, sharding, substring, topk, warc
+from flowwarden.llm import mixing, nbsvm, order_minhash, setsketch, sharding, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,6 +89,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_order_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query("op7_setsketch_near_duplicates", r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(
