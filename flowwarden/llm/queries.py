@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, nbsvm, order_minhash, setsketch, sharding, substring, topk, warc
+from flowwarden.llm import mixing, nbsvm, order_minhash, pii, setsketch, sharding, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_copies(table(spark, sf_dir, "documents")))
 
 
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS],
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query("op4_uniform_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.uniform_shards(table(spark, sf_dir, "documents"), 24)
