@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, nbsvm, order_minhash, pii, setsketch, sharding, substring, topk, warc
+from flowwarden.llm import mixing, nbsvm, order_minhash, pii, segmentation, setsketch, sharding, substring, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+#: Vocabulary of the token queries; see the README of that folder.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_sampled_segmentations")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    vocabulary = segmentation.Vocabulary.read(MODEL)
+    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, keep=("text_sha256",))
+    return segmentation.decode(drawn, vocabulary).select(
+        "doc_id", "rank", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"))
+
+
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

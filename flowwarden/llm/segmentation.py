@@ -27,7 +27,7 @@ from flowwarden.llm.words import BYTE_BASE, OTHER_BASE, WORD_BASE, mix, powers,
 #: Fixed value: the character that stands for a space inside pieces.
 SPACE = 0x2581
 _LITERAL = 0x110001  # the same character in a text, which must not become a space
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -112,124 +112,127 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct chunks, one after another; node of a position = position + number of the chunk."""
+    """The lattices of distinct chunks: nodes numbered by their distance from the end of their chunk, edges by node.
+
+    Of each edge: ``piece`` (below zero: a character's bytes), ``target``, ``chance`` among the edges of its node, its
+    ``log``, and ``upto``, the running sum of the chances, longest edge first.  All ends of chunks are one last node.
+    """
 
     def __init__(self, codes: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary):
-        n_chunks, lengths = len(bounds) - 1, np.diff(bounds)
-        chunk = np.repeat(np.arange(n_chunks), lengths)
-        total, ends = _prefix_sums(codes), bounds[1:][chunk]
-        sources, targets, pieces = [], [], []
-        open_ = np.arange(len(codes))
-        single = np.zeros(len(codes), bool)
-        for n in range(1, vocabulary.longest + 1):
-            open_ = open_[open_ + n <= ends[open_]]
-            known, piece = vocabulary.find(_span_hash(total, open_, open_ + n))
+        n, lengths = len(codes), np.diff(bounds)
+        total, ends = _prefix_sums(codes), np.repeat(bounds[1:], lengths)
+        away = ends - np.arange(n)
+        order = np.argsort(away, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        self.begin, self.last = rank[bounds[:-1]] if n else bounds[:-1], n
+        levels, open_ = [], np.arange(n)
+        for length in range(1, vocabulary.longest + 1):
+            open_ = open_[open_ + length <= ends[open_]]
+            known, piece = vocabulary.find(_span_hash(total, open_, open_ + length))
             open_, piece = open_[known], piece[known]
             real = piece >= 0
-            sources.append(open_[real])
-            targets.append(open_[real] + n)
-            pieces.append(piece[real])
-            if n == 1:
-                single[open_[real]] = True
-                open_ = np.arange(len(codes))[np.isin(np.arange(len(codes)), open_)] if False else open_
+            source, piece, weight = open_[real], piece[real], vocabulary.weight[piece[real]]
+            if length == 1:  # characters without a piece: their bytes
+                alone = np.ones(n, bool)
+                alone[source] = False
+                alone = np.flatnonzero(alone)
+                source, piece = np.r_[source, alone], np.r_[piece, -1 - codes[alone]]
+                weight = np.r_[weight, vocabulary.weight[vocabulary.byte_ids[0]] * _n_bytes(codes[alone])]
+            levels.append((length, source, piece, weight))
             if not len(open_):
                 break
-        alone = np.flatnonzero(~single)  # characters without a piece: their bytes
-        sources.append(alone)
-        targets.append(alone + 1)
-        pieces.append(-1 - codes[alone])
-        source, target, piece = map(np.concatenate, (sources, targets, pieces))
-        weight = np.where(piece >= 0, vocabulary.weight[np.maximum(piece, 0)],
-                          vocabulary.weight[vocabulary.byte_ids[0]] * _n_bytes(-1 - np.minimum(piece, -1)))
-        source, target = source + chunk[source], target + chunk[source]
-        to_end = (bounds[1:] + np.arange(n_chunks))[chunk]
-        node_end = np.empty(len(codes) + n_chunks, np.int64)
-        node_end[np.arange(len(codes)) + chunk] = to_end
-        node_end[bounds[1:] + np.arange(n_chunks)] = bounds[1:] + np.arange(n_chunks)
-        # sums from the end of each chunk, one distance from the end after another
-        beta = np.zeros(len(node_end))
-        order = np.lexsort((source, node_end[source] - source))
-        s, t, w = source[order], target[order], weight[order]
-        new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-        distance = (node_end[s] - s)[new]
-        layer = np.r_[np.flatnonzero(np.r_[True, distance[1:] != distance[:-1]]), len(new)] if len(new) else np.zeros(1, np.int64)
-        edges = np.r_[new, len(s)]
+        degree = np.zeros(n, np.int64)
+        for _, source, _, _ in levels:
+            degree[rank[source]] += 1
+        self.first = np.r_[0, np.cumsum(degree)]
+        size, fill = int(self.first[-1]), self.first[:-1].copy()
+        self.piece, self.target, value = np.empty(size, np.int64), np.empty(size, np.int64), np.empty(size)
+        for length, source, piece, weight in reversed(levels):
+            at = fill[rank[source]]
+            fill[rank[source]] += 1
+            self.piece[at], value[at] = piece, weight
+            to = source + length
+            self.target[at] = np.where(to < ends[source], rank[np.minimum(to, n - 1)], n)
+        # sums from the end of each chunk, one distance after another
+        beta = np.zeros(n + 1)
+        sorted_away = away[order]
+        layer = np.r_[np.flatnonzero(np.r_[True, sorted_away[1:] != sorted_away[:-1]]), n] if n else np.zeros(1, np.int64)
         for low, high in zip(layer[:-1], layer[1:]):
-            a, b = edges[low], edges[high]
-            beta[s[new[low:high]]] = np.logaddexp.reduceat(w[a:b] + beta[t[a:b]], new[low:high] - a)
-        chance = np.exp(np.minimum(w + beta[t] - beta[s], 0.0))
-        order = np.lexsort((piece[order], -chance, s))  # of each node the likeliest edge first
-        s, t, chance = s[order], t[order], chance[order]
-        self.piece = piece[np.lexsort((source, node_end[source] - source))][order] if len(s) else piece
-        self.target, self.log = t, np.log(np.maximum(chance, 1e-300))
-        self.chance = chance
-        self.first = np.searchsorted(s, np.arange(len(node_end) + 1))
-        total = np.cumsum(chance)
-        self.upto = total - np.repeat((total - chance)[self.first[:-1][np.diff(self.first) > 0]],
-                                      np.diff(self.first)[np.diff(self.first) > 0]) if len(s) else total
-        self.end = node_end
-        self.begin = bounds[:-1] + np.arange(n_chunks)
+            a, b = self.first[low], self.first[high]
+            value[a:b] += beta[self.target[a:b]]
+            beta[low:high] = np.logaddexp.reduceat(value[a:b], self.first[low:high] - a)
+        self.log = np.minimum(value - np.repeat(beta[:-1], degree), 0.0)
+        self.chance = np.exp(self.log)
+        self.upto = self.chance.copy()
+        more, k = np.flatnonzero(degree > 1), 1
+        while len(more):
+            at = self.first[more] + k
+            self.upto[at] += self.upto[at - 1]
+            k += 1
+            more = more[degree[more] > k]
 
     def sample(self, chunks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One path through each given chunk: pieces of all paths in order, where each path ends, log-probabilities."""
-        at, alive = self.begin[chunks].copy(), np.arange(len(chunks))
+        alive, at = np.arange(len(chunks)), self.begin[chunks]
         log, length = np.zeros(len(chunks)), np.zeros(len(chunks), np.int64)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         while len(alive):
-            node = at[alive]
-            low, last = self.first[node], self.first[node + 1] - 1
+            edge, last = self.first[at], self.first[at + 1] - 1
             u = _uniform(keys[alive], len(steps)) * self.upto[last]
-            edge = low
             behind = np.flatnonzero((self.upto[edge] <= u) & (edge < last))
             while len(behind):
                 edge[behind] += 1
-                behind = behind[(self.upto[edge[behind]] <= u[behind]) & (edge[behind] < last[behind])]
+                on = edge[behind]
+                behind = behind[(self.upto[on] <= u[behind]) & (on < last[behind])]
             steps.append((alive, self.piece[edge]))
             log[alive] += self.log[edge]
             length[alive] += 1
-            at[alive] = self.target[edge]
-            alive = alive[at[alive] != self.end[at[alive]]]
+            at = self.target[edge]
+            open_ = at != self.last
+            alive, at = alive[open_], at[open_]
         ends = np.cumsum(length)
         pieces = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
         for n, (who, piece) in enumerate(steps):
             pieces[ends[who] - length[who] + n] = piece
         return pieces, ends, log
 
+    def _edges(self, at: int) -> dict[int, tuple[float, float, int]]:
+        """Edges of a node: piece to probability, its log, and the node it leads to."""
+        edges = slice(self.first[at], self.first[at + 1])
+        return dict(zip(self.piece[edges].tolist(), zip(
+            self.chance[edges].tolist(), self.log[edges].tolist(), self.target[edges].tolist())))
+
     def other(self, chunk: int, excluded: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float]:
         """A path through one chunk that is none of ``excluded``, in proportion to probability, and its log-probability.
 
         At each node an edge has its probability less that of the excluded paths that go on through it.
         """
-        node, path, log = int(self.begin[chunk]), [], 0.0
+        at, path, log = int(self.begin[chunk]), [], 0.0
         key = np.array([key], np.uint64)
-        while node != self.end[node]:
-            edges = range(int(self.first[node]), int(self.first[node + 1]))
+        while at != self.last:
+            edges = self._edges(at)
             alike = [x for x in excluded if list(x[:len(path)]) == path]
-            free = []
-            for e in edges:
-                lost = sum(self._chance(node, x[len(path):]) for x in alike if x[len(path)] == self.piece[e])
-                rest = self.chance[e] - lost
-                free.append(rest if rest > 1e-15 * self.chance[e] else 0.0)
-            u = float(_uniform(key, 1000 + len(path))[0]) * sum(free)
-            pick = max(i for i, f in enumerate(free) if f > 0)
-            for i, f in enumerate(free):
-                u -= f
+            free = {}
+            for piece, (chance, *_) in edges.items():
+                rest = chance - sum(self._chance(at, x[len(path):]) for x in alike if x[len(path)] == piece)
+                if rest > 1e-15 * chance:
+                    free[piece] = rest
+            u = float(_uniform(key, 1000 + len(path))[0]) * sum(free.values())
+            for piece, rest in free.items():
+                u -= rest
                 if u < 0:
-                    pick = i
                     break
-            e = edges[pick]
-            path.append(int(self.piece[e]))
-            log += float(self.log[e])
-            node = int(self.target[e])
+            path.append(piece)
+            log += edges[piece][1]
+            at = edges[piece][2]
         return tuple(path), log
 
-    def _chance(self, node: int, path: tuple[int, ...]) -> float:
+    def _chance(self, at: int, path: tuple[int, ...]) -> float:
         out = 1.0
         for piece in path:
-            low, high = int(self.first[node]), int(self.first[node + 1])
-            e = low + int(np.flatnonzero(self.piece[low:high] == piece)[0])
-            out *= float(self.chance[e])
-            node = int(self.target[e])
+            chance, _, at = self._edges(at)[piece]
+            out *= chance
         return out
 
 
@@ -243,7 +246,7 @@ def _uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return ((mix(keys + np.uint64((step + 1) * BYTE_BASE & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def _gumbel_below(location: np.ndarray, top: float, keys: np.ndarray) -> np.ndarray:
+def _gumbel_below(location: np.ndarray, top: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Gumbel variables of the given locations, none above ``top``."""
     with np.errstate(over="ignore", divide="ignore"):
         return top - np.logaddexp(0.0, np.log(-np.log(_uniform(keys, 5000))) + top - location)
@@ -270,37 +273,49 @@ class _Text:
         best = max(range(len(self.queue)), key=lambda q: self.queue[q][0].max(initial=-np.inf), default=None)
         if best is None:
             return None
-        values, path, excluded_first, _ = self.queue[best]
+        values, path, first, excluded = self.queue[best]
         at = int(values.argmax()) if len(values) else 0
         if not len(values) or values[at] == -np.inf:
             return None
         value = float(values[at])
         values[at] = -np.inf
-        first, excluded = self.queue[best][2], self.queue[best][3]
-        chunk = first + at
-        return value, path, chunk, list(excluded) if at == 0 else []
-
-    def split(self, value: float, first: int, excluded: list) -> None:
-        """Put the rest of the set, of which the last path was sampled, into the queue as disjoint sets."""
-        pieces, ends, log = self.paths[-1]
-        number = len(self.paths) - 1
-        before = np.cumsum(log)[first:] - log[first:]
-        gone = log[first:].copy()
-        for x, x_log in excluded:
-            gone[0] = np.logaddexp(gone[0], x_log)
-        location = before + _rest(gone)
-        keys = np.uint64(self.key) ^ mix(np.arange(first, first + len(gone), dtype=np.uint64) * np.uint64(WORD_BASE)
-                                        + np.uint64(number + 1) * np.uint64(OTHER_BASE))
-        values = np.where(np.isfinite(location), _gumbel_below(np.where(np.isfinite(location), location, 0.0), value, keys), -np.inf)
-        mine = tuple(pieces[ends[first - 1] if first else 0:ends[first]].tolist())
-        # where chunk ``first`` differs, all paths seen there so far are excluded; later chunks only exclude this path's
-        self.queue.append((values, number, first, [*excluded, (mine, float(log[first]))]))
+        return value, path, first + at, list(excluded) if at == 0 else []
 
     def excluded_at(self, path: int, chunk: int) -> list:
         pieces, ends, log = self.paths[path]
         return [(tuple(pieces[ends[chunk - 1] if chunk else 0:ends[chunk]].tolist()), float(log[chunk]))]
 
 
+def _split(parts: list[tuple[_Text, float, int, list]]) -> None:
+    """Put the rest of each set, of which its text's last path was sampled, into the queue as disjoint sets.
+
+    Each part has the text, the set's value, the first chunk that may differ and the paths excluded there.
+    """
+    if not parts:
+        return
+    logs = [s.paths[-1][2][first:] for s, _, first, _ in parts]
+    sizes = np.array(list(map(len, logs)))
+    begin = np.cumsum(sizes) - sizes
+    log = np.concatenate(logs)
+    before = np.cumsum(log) - log
+    shared = np.array([s.paths[-1][2][:first].sum() for s, _, first, _ in parts])
+    before += np.repeat(shared - before[begin], sizes)
+    for at, (_, _, _, excluded) in zip(begin, parts):
+        for _, x_log in excluded:
+            log[at] = np.logaddexp(log[at], x_log)
+    location = before + _rest(log)
+    each = np.array([[s.key, len(s.paths) * OTHER_BASE & 0xFFFFFFFFFFFFFFFF, first] for s, _, first, _ in parts], np.uint64)
+    number = (np.arange(len(log)) - np.repeat(begin, sizes)).astype(np.uint64) + np.repeat(each[:, 2], sizes)
+    keys = np.repeat(each[:, 0], sizes) ^ mix(number * np.uint64(WORD_BASE) + np.repeat(each[:, 1], sizes))
+    top = np.repeat(np.array([value for _, value, _, _ in parts]), sizes)
+    finite = np.isfinite(location)
+    values = np.where(finite, _gumbel_below(np.where(finite, location, 0.0), top, keys), -np.inf)
+    for at, size, (s, _, first, excluded) in zip(begin, sizes, parts):
+        # where chunk ``first`` differs, all paths seen there so far are excluded; later chunks only exclude this path's
+        s.queue.append((values[at:at + size], len(s.paths) - 1, first,
+                        [*excluded, *s.excluded_at(len(s.paths) - 1, first)]))
+
+
 def _codes(text: str) -> np.ndarray:
     codes = np.frombuffer((chr(SPACE) + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     body = codes[1:]
@@ -311,6 +326,7 @@ def _codes(text: str) -> np.ndarray:
 
 def _to_ids(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Pieces with byte edges (negative) spelled out."""
+    pieces = np.where((pieces < 0) & (pieces >= -128), vocabulary.byte_ids[np.clip(-1 - pieces, 0, 127)], pieces)
     spelled = np.flatnonzero(pieces < 0)
     if not len(spelled):
         return pieces.astype(np.int32)
@@ -353,8 +369,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, sam
         own = pieces[piece_start[a]:piece_start[b]], ends[a:b] - piece_start[a], log[a:b]
         first = float(-np.log(-np.log(_uniform(np.array([key], np.uint64), 7000)))[0])
         state.append(_Text(kind[a:b], key, [own], [first], []))
-        if b > a:
-            state[-1].split(first, 0, [])
+    _split([(s, s.values[0], 0, []) for s in state if len(s.chunks)])
     for n in range(1, samples):
         taken = [(i, got) for i, s in enumerate(state) if len(s.paths) == n and (got := s.take())]
         # the chunks after the one that differs are sampled for all texts together
@@ -375,8 +390,9 @@ def sample_texts(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, sam
                             np.concatenate([old_ends[:chunk], [shared + len(new)], tail_ends + shared + len(new)]),
                             np.concatenate([old_log[:chunk], [new_log], fresh_log[low:high]])))
             s.values.append(value)
-            s.split(value, chunk, excluded)
             at = high
+        _split([(state[i], value, chunk, excluded or state[i].excluded_at(path, chunk))
+                for i, (value, path, chunk, excluded) in taken])
     out = []
     for s in state:
         left = max((float(v.max(initial=-np.inf)) for v, *_ in s.queue), default=-np.inf)
