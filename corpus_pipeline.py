@@ -1,7 +1,81 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A training corpus from ``documents``: quality filter, near-duplicates, personal data, mixing, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
+columns of ``documents``.  Other columns of the input are left out.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowwarden.llm import mixing, nbsvm, pii, segmentation, setsketch
+from flowwarden.llm.queries import MODEL
+from flowwarden.session import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose quality score is below this go.
+REJECTED_BELOW = 0.2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is not below ``REJECTED_BELOW``; the classifier learns from all usable labels.
+
+    Scores belong to texts: a row stays or goes by its own text, and rows without an id are scored like any other.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = nbsvm.fit(docs, labels, held_out_rest=None)
+    scored = nbsvm.score(docs, model, keep=COLUMNS)
+    return scored.where(F.col("score") >= REJECTED_BELOW).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8.
+
+    Rows that share their id count as one document and stay or go together; rows without an id stay.
+    """
+    found = setsketch.near_duplicates(docs)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes its kind in angle brackets; n_chars follows the new text."""
+    found = pii.find(docs, pii.fit(docs), keep=("lang", "source"))
+    return found.select("doc_id", F.col("masked").alias("text"), "lang", "source",
+                        F.length("masked").cast("long").alias("n_chars"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, no row if it does not."""
+    taken = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
+    return taken.where("copies > 0").withColumn("copy", copies).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every text into vocabulary pieces, each decoded again.
+
+    ``lossless`` tells that the pieces give the text back exactly.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    vocabulary = segmentation.Vocabulary.read(MODEL)
+    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, keep=("lang", "source", "text_sha256"))
+    decoded = segmentation.decode(drawn, vocabulary)
+    return decoded.select("doc_id", "lang", "source", "rank", "ids", "log_prob", "perturbed", "inclusion", (
+        F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix),
+          ("tokens", tokens)]
+
+#: The classifier, the network and the sampling have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -160,18 +160,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                  np.array([2 * k[0] - 1 for k in kept.values()], np.int64))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and score of every row, from the whole text alone; a null text counts as empty, a null id stays null.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
+    """Id, score and the columns ``keep`` of every row, scored from its whole text alone.
 
-    Rows that repeat get equal scores; an empty table gives an empty result; other columns are left out.
+    A null text counts as empty, a null id stays null.  Rows that repeat get equal scores; an empty table gives an
+    empty result; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
             found = [model.score(slots(data[a:b]), b - a) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64()), batch.column("kept")],
+                                             ["id", "score", "kept"])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return (docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-            .mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       F.struct(*[F.col(c) for c in keep] or [F.lit(1).alias("one")]).alias("kept"))
+    scored = rows.mapInArrow(run, f"id long, score double, kept {rows.schema['kept'].dataType.simpleString()}")
+    return scored.select(F.col("id").alias(id_col), "score", *[F.col("kept")[c].alias(c) for c in keep if c != id_col])
