@@ -32,10 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id: five-word shingles, similarity 0.8.
 
-    Rows that share their id count as one document and stay or go together; rows without an id stay.
+    Rows that share their id stay if any of them is kept; rows without an id stay.
     """
     found = setsketch.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

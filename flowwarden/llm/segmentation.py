@@ -27,7 +27,7 @@ from flowwarden.llm.words import BYTE_BASE, OTHER_BASE, WORD_BASE, mix, powers,
 #: Fixed value: the character that stands for a space inside pieces.
 SPACE = 0x2581
 _LITERAL = 0x110001  # the same character in a text, which must not become a space
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

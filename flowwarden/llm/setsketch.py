@@ -11,7 +11,7 @@ the share of equal registers grows with the Jaccard similarity, so that runs of
 4. Components of the confirmed links give every document its class.
 
 A group of g members is cut into blocks and every pair of blocks is one cell, so no task holds a large group; a cell
-returns a spanning forest of its links, never all pairs.
+returns one star for each part that its links connect, never all pairs.
 """
 
 from __future__ import annotations
@@ -115,20 +115,22 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), REGISTERS)
 
 
-def _forest(links: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of a symmetric boolean matrix."""
+def _stars(links: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect what a symmetric boolean matrix connects: from the smallest node of each part to the others.
+
+    Cells that overlap then mostly return the same edges.
+    """
     open_ = np.ones(len(links), bool)
-    for root in range(len(links)):
+    for root in np.argsort(node, kind="stable"):
         if not open_[root]:
             continue
         open_[root] = False
         queue = [root]
         while queue:
-            at = queue.pop()
-            found = np.flatnonzero(links[at] & open_)
+            found = np.flatnonzero(links[queue.pop()] & open_)
             open_[found] = False
             for other in found:
-                yield at, int(other)
+                yield int(node[root]), int(node[other])
             queue.extend(found)
 
 
@@ -150,7 +152,7 @@ def _by_cell(links_of: Callable[[pa.Table], np.ndarray]):
         if table.num_rows < 2:
             return []
         node = table.column("node").to_numpy()
-        return [(int(node[a]), int(node[b])) for a, b in _forest(links_of(table)) if node[a] != node[b]]
+        return [(a, b) for a, b in _stars(links_of(table), node) if a != b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -229,8 +231,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles
     (ASCII letters lower-cased, words unchanged otherwise).  A text with fewer words is one shingle; a null or empty
-    text has none and is linked with nothing.  Rows of one id are one document, whose sets all count.  A row with a
-    null id takes no part: its component is null and it is kept.  An empty table gives an empty result.  Other
+    text has none and is linked with nothing.  Rows that share an id are classed by their own texts; an id that stands for
+    several texts joins their classes.  A row with a null id takes no part: its component is null and it is kept.  An empty table gives an empty result.  Other
     columns are left out.  ``kept`` marks the row whose id is its component's.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -244,9 +246,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # candidates: a band value held by two representatives or more
     bands = nodes.mapInArrow(_bands, "band long, node long").distinct()
-    met = bands.withColumn("size", F.count("*").over(Window.partitionBy("band"))).where("size > 1")
+    # bands met by the same representatives are one group: their members' hashes add up alike
+    same_band = Window.partitionBy("band")
+    met = (bands.withColumn("size", F.count("*").over(same_band))
+           .withColumn("group", F.bit_xor(F.xxhash64("node")).over(same_band)).where("size > 1")
+           .select("group", "size", "node").distinct())
     margin = 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    cells = _cells(met.join(nodes.select("node", "n", "registers"), "node"), "band", "size")
+    cells = _cells(met.join(nodes.select("node", "n", "registers"), "node"), "group", "size")
     likely = components(cells.mapInArrow(_by_cell(_likely(percent / 100 - margin)), "a long, b long"))
 
     # exact comparison inside each group of candidates
