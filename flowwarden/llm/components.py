@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowwarden.session import materialize
 
@@ -15,8 +16,12 @@ def components(edges: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path.  Every round is written, which cuts lineage.
     Nodes without an edge are not returned.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct(),
-                       "links")
+    lined = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                        "edges")
+    # a node with several smaller neighbours keeps the smallest, which takes over its links to the others
+    least = lined.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    fewer = least.select(F.col("m").alias("a"), "b").union(least.where("m <> a").select("m", F.col("a").alias("b"))).distinct()
+    both = materialize(fewer.union(fewer.select("b", "a")), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
         near = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))

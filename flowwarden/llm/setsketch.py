@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # exact comparison inside each group of candidates
     sizes = likely.groupBy("label").agg(F.count("*").alias("size"))
     groups = likely.join(sizes, "label")
-    held = (keyed.join(groups, keyed["id"] == groups["node"]).select("node", "label", "size", "text")
+    # the groups grow with the documents, so they are not broadcast, whatever their size
+    held = (keyed.join(groups.hint("merge"), keyed["id"] == groups["node"]).select("node", "label", "size", "text")
             .mapInArrow(_members(width), "node long, label long, size long, members binary"))
     confirmed = components(_cells(held, "label", "size").mapInArrow(_by_cell(_exact(percent)), "a long, b long"))
 
