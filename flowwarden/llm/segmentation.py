@@ -448,15 +448,17 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for ids in batch.column("of"):
-                raw = None
-                if ids.is_valid:
-                    raw = b"".join([pieces[i] for i in ids.values.to_numpy().tolist()])
-                    raw = raw[1:] if raw[:1] == b" " else raw
-                texts.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.binary()).cast(pa.string())], ["kept", "text"])
-
-    given = rows.select(F.col(ids_col).alias("of"), F.struct(*rows.columns).alias("kept"))
+            for low in range(0, batch.num_rows, 500):
+                kept = batch.column("kept").slice(low, 500)
+                texts = []
+                for ids in kept.field(ids_col):
+                    raw = None
+                    if ids.is_valid:
+                        raw = b"".join([pieces[i] for i in ids.values.to_numpy().tolist()])
+                        raw = raw[1:] if raw[:1] == b" " else raw
+                    texts.append(raw)
+                yield pa.RecordBatch.from_arrays([kept, pa.array(texts, pa.binary()).cast(pa.string())], ["kept", "text"])
+
+    given = rows.select(F.struct(*rows.columns).alias("kept"))
     found = given.mapInArrow(run, f"kept {given.schema['kept'].dataType.simpleString()}, text string")
     return found.select(*[F.col("kept")[c].alias(c) for c in rows.columns], F.col("text").alias(out))
