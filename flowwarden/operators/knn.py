@@ -122,7 +122,10 @@ class CellIndex:
     def from_tables(vectors: DataFrame, cell_table: DataFrame) -> "CellIndex":
         index = CellIndex(vectors, 1)
         by_group: dict[str, list] = {}
-        for row in cell_table.orderBy("cell").limit(CELL_BUDGET + 1).collect():
+        stored = cell_table.orderBy("cell").limit(CELL_BUDGET + 1).collect()
+        if len(stored) > CELL_BUDGET:
+            raise ValueError(f"the stored index has more than {CELL_BUDGET} cells")
+        for row in stored:
             by_group.setdefault(row["grp"], []).append(row)
             index.copies, index.metric = row["copies"], row["metric"]
         for g, rows in by_group.items():

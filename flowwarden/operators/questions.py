@@ -29,9 +29,17 @@ def trimmed(questions: DataFrame) -> DataFrame:
 
 
 def admitted(questions: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Questions with text and a known flow id, each with its ``analysis``."""
+    """Questions with text and a known flow id, each with its ``analysis``.
+
+    Of several analyses of one flow the newest counts, if ``analyses`` has a ``timestamp``.
+    """
     good = trimmed(questions).where((F.col("question") != "") & (F.col("flow_id") != ""))
-    return good.join(analyses.select(F.col("flow_id").cast("string").alias("flow_id"), "analysis"), "flow_id")
+    flow = F.col("flow_id").cast("string").alias("flow_id")
+    if "timestamp" in analyses.columns:
+        known = analyses.groupBy(flow).agg(F.max_by("analysis", "timestamp").alias("analysis"))
+    else:
+        known = analyses.select(flow, "analysis")
+    return good.join(known, "flow_id")
 
 
 def rejected(questions: DataFrame, analyses: DataFrame) -> DataFrame:
