@@ -10,8 +10,10 @@ the share of equal registers grows with the Jaccard similarity, so that runs of
 3. Inside each connected group of candidates the whole sets are compared exactly.
 4. Components of the confirmed links give every document its class.
 
-A group of g members is cut into blocks and every pair of blocks is one cell, so no task holds a large group; a cell
-returns one star for each part that its links connect, never all pairs.
+Steps 2 and 3 take two rounds.  The first compares every member of a group with its hub, the smallest member (step 3
+also within blocks of the group); the second takes only groups that the first left in several parts.  There a group is
+cut into blocks, every pair of blocks is one cell, so no task holds a large group, and a cell returns links between
+different parts only, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +38,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.1, 20.0, 255
 #: Members of a block; a cell compares two blocks.
 BLOCK = 256
+EDGE = "a long, b long"
 
 _FACTOR = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(BYTE_BASE)) | np.uint64(1)
 _SHIFT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(WORD_BASE))
@@ -134,25 +137,46 @@ def _stars(links: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
             queue.extend(found)
 
 
-def _cells(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Send each row to the cells of its group: all pairs of its block with another block, or its only block."""
+def _cells(df: DataFrame, key: str, size: str, others: Callable[[Column, Column], Column]) -> DataFrame:
+    """Cut each group into blocks and send each row to the cells of its block with those blocks that ``others`` names."""
     blocks = F.ceil(F.col(size) / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = (df.withColumn("mine", mine).withColumn("other", F.explode(others(F.col("mine"), blocks)))
              .withColumn("cell", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")))
              .drop("mine", "other", key, size))
     return dealt.repartition("cell").sortWithinPartitions("cell")
 
 
+def _all(mine: Column, blocks: Column) -> Column:
+    return F.sequence(F.lit(0), blocks - 1)
+
+
+def _different(mine: Column, blocks: Column) -> Column:
+    return F.filter(_all(mine, blocks), lambda other: other != mine)
+
+
+def _in_parts(members: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """Members of those groups whose nodes lie in several parts (``node``, ``label``), with their ``part``."""
+    named = members.join(parts.select("node", F.col("label").alias("part")), "node", "left").withColumn(
+        "part", F.coalesce("part", "node"))
+    several = named.groupBy(key).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    return named.join(several.select(key), key, "left_semi")
+
+
 def _by_cell(links_of: Callable[[pa.Table], np.ndarray]):
-    """Rows sorted by cell, one cell at a time, to the edges of its links."""
+    """Rows sorted by cell, one cell at a time, to edges between the parts that its links connect."""
 
     def edges(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         table = pa.Table.from_batches(parts).combine_chunks()
         if table.num_rows < 2:
             return []
-        node = table.column("node").to_numpy()
-        return [(a, b) for a, b in _stars(links_of(table), node) if a != b]
+        part, code = np.unique(table.column("part").to_numpy(), return_inverse=True)
+        if len(part) < 2:
+            return []
+        joined = np.zeros((len(part), len(part)), bool)
+        a, b = np.nonzero(links_of(table))
+        joined[code[a], code[b]] = True
+        return list(_stars(joined, part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,6 +214,17 @@ def _likely(threshold: float):
     return links
 
 
+def _likely_pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mine, hubs = _stack(batch.column("registers")), _stack(batch.column("hub_registers"))
+                keep = may_reach(threshold, mine, batch.column("n").to_numpy(), hubs, batch.column("hub_n").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node")], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _exact(percent: int):
     def links(table: pa.Table) -> np.ndarray:
         sets = [np.frombuffer(s, np.uint64) for s in table.column("members").to_pylist()]
@@ -217,10 +252,9 @@ def _exact(percent: int):
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.tobytes() for s in shingle_sets(batch, width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("label"), batch.column("size"), pa.array(sets, pa.binary())],
-                ["node", "label", "size", "members"])
+            sets = pa.array([s.tobytes() for s in shingle_sets(batch, width)], pa.binary())
+            kept = ["node", "label", "size", "part"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], sets], [*kept, "members"])
 
     return run
 
@@ -248,20 +282,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     bands = nodes.mapInArrow(_bands, "band long, node long").distinct()
     # bands met by the same representatives are one group: their members' hashes add up alike
     same_band = Window.partitionBy("band")
-    met = (bands.withColumn("size", F.count("*").over(same_band))
+    met = (bands.withColumn("size", F.count("*").over(same_band)).withColumn("hub", F.min("node").over(same_band))
            .withColumn("group", F.bit_xor(F.xxhash64("node")).over(same_band)).where("size > 1")
-           .select("group", "size", "node").distinct())
-    margin = 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    cells = _cells(met.join(nodes.select("node", "n", "registers"), "node"), "group", "size")
-    likely = components(cells.mapInArrow(_by_cell(_likely(percent / 100 - margin)), "a long, b long"))
+           .select("group", "size", "hub", "node").distinct())
+    met = materialize(met, "met")
+    reach = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    sketch = nodes.select("node", "n", "registers")
+    hubs = sketch.select(*[F.col(c).alias(as_) for c, as_ in (("node", "hub"), ("n", "hub_n"), ("registers", "hub_registers"))])
+    pairs = met.where("hub <> node").select("hub", "node").distinct().join(sketch, "node").join(hubs, "hub")
+    likely = components(pairs.mapInArrow(_likely_pairs(reach), EDGE))
+    # a group of two is its hub's only pair
+    apart = _in_parts(met.where("size > 2").drop("hub"), "group", likely)
+    cells = _cells(apart.join(sketch, "node"), "group", "size", _all)
+    likely = components(likely.toDF("b", "a").unionByName(cells.mapInArrow(_by_cell(_likely(reach)), EDGE)))
 
     # exact comparison inside each group of candidates
     sizes = likely.groupBy("label").agg(F.count("*").alias("size"))
     groups = likely.join(sizes, "label")
     # the groups grow with the documents, so they are not broadcast, whatever their size
-    held = (keyed.join(groups.hint("merge"), keyed["id"] == groups["node"]).select("node", "label", "size", "text")
-            .mapInArrow(_members(width), "node long, label long, size long, members binary"))
-    confirmed = components(_cells(held, "label", "size").mapInArrow(_by_cell(_exact(percent)), "a long, b long"))
+    held = keyed.join(groups.hint("merge"), keyed["id"] == groups["node"]).select("node", "label", "size", "text")
+    held = materialize(held, "candidates")
+
+    def compared(members: DataFrame, others: Callable[[Column, Column], Column]) -> DataFrame:
+        sets = members.mapInArrow(_members(width), "node long, label long, size long, part long, members binary")
+        return _cells(sets, "label", "size", others).mapInArrow(_by_cell(_exact(percent)), EDGE)
+
+    own = lambda mine, blocks: F.when(F.col("node") == F.col("label"), _all(mine, blocks)).otherwise(F.array(mine))
+    confirmed = components(compared(held.withColumn("part", F.col("node")), own))
+    large = held.where(F.col("size") > BLOCK)
+    apart = materialize(_in_parts(large.select("node", "label").distinct(), "label", confirmed).select("node", "part"), "apart")
+    if not apart.isEmpty():
+        found = compared(large.join(apart, "node"), _different)
+        confirmed = components(confirmed.toDF("b", "a").unionByName(found))
 
     same = rows.select("id", "n", "class").join(classes, "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("id"))
