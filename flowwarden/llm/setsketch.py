@@ -11,9 +11,9 @@ the share of equal registers grows with the Jaccard similarity, so that runs of
 4. Components of the confirmed links give every document its class.
 
 Steps 2 and 3 take two rounds.  The first compares every member of a group with its hub, the smallest member (step 3
-also within blocks of the group); the second takes only groups that the first left in several parts.  There a group is
-cut into blocks, every pair of blocks is one cell, so no task holds a large group, and a cell returns links between
-different parts only, never all pairs.
+also within blocks of the group); the second takes only groups that the first left in several parts.  There the largest
+part and the rest are cut into blocks; a block of the rest and any other block are one cell, so no task holds a large
+group, and a cell returns links between different parts only, never all pairs.
 """
 
 from __future__ import annotations
@@ -137,30 +137,49 @@ def _stars(links: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
             queue.extend(found)
 
 
-def _cells(df: DataFrame, key: str, size: str, others: Callable[[Column, Column], Column]) -> DataFrame:
-    """Cut each group into blocks and send each row to the cells of its block with those blocks that ``others`` names."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (df.withColumn("mine", mine).withColumn("other", F.explode(others(F.col("mine"), blocks)))
-             .withColumn("cell", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")))
-             .drop("mine", "other", key, size))
-    return dealt.repartition("cell").sortWithinPartitions("cell")
+def _block(size: str) -> tuple[Column, Column]:
+    """Number of blocks of a group of that size, and the block of a row."""
+    blocks = F.greatest(F.ceil(F.col(size) / BLOCK).cast("int"), F.lit(1))
+    return blocks, F.pmod(F.xxhash64("node"), blocks).cast("int")
+
 
+def _own_blocks(df: DataFrame, key: str, size: str) -> DataFrame:
+    """One cell for each block of a group, which also gets the hub, the row whose node is the key."""
+    blocks, mine = _block(size)
+    mine = F.when(F.col("node") == F.col(key), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+    dealt = df.withColumn("block", F.explode(mine)).withColumn("cell", F.xxhash64(key, "block")).drop("block", key, size)
+    return dealt.repartition("cell").sortWithinPartitions("cell")
 
-def _all(mine: Column, blocks: Column) -> Column:
-    return F.sequence(F.lit(0), blocks - 1)
 
+def _across_parts(df: DataFrame, key: str) -> DataFrame:
+    """Cells in which every row meets all rows of its group but, where its part is the main one, the rows of that part.
 
-def _different(mine: Column, blocks: Column) -> Column:
-    return F.filter(_all(mine, blocks), lambda other: other != mine)
+    Blocks of the rest pair with blocks of the main part and with each other.  The main part thus costs no more
+    rows than it has times the blocks of the rest.
+    """
+    main_blocks, in_main = _block("main_n")
+    rest_blocks, in_rest = _block("rest_n")
+    rest = F.sequence(F.lit(0), rest_blocks - 1)
+    cell = lambda kind, a, b: F.xxhash64(F.col(key), F.lit(kind), a, b)
+    cells = F.when(F.col("part") == F.col("main"), F.transform(rest, lambda r: cell("main", in_main, r))).otherwise(F.concat(
+        F.transform(F.sequence(F.lit(0), main_blocks - 1), lambda m: cell("main", m, in_rest)),
+        F.transform(rest, lambda r: cell("rest", F.least(r, in_rest), F.greatest(r, in_rest)))))
+    dealt = df.withColumn("cell", F.explode(cells)).drop(key, "main", "main_n", "rest_n")
+    return dealt.repartition("cell").sortWithinPartitions("cell")
 
 
 def _in_parts(members: DataFrame, key: str, parts: DataFrame) -> DataFrame:
-    """Members of those groups whose nodes lie in several parts (``node``, ``label``), with their ``part``."""
+    """Members of those groups whose nodes lie in several parts (``node``, ``label``).
+
+    Each comes with its ``part``, the ``main`` (largest) part of its group, and how many members are in it and not.
+    """
     named = members.join(parts.select("node", F.col("label").alias("part")), "node", "left").withColumn(
         "part", F.coalesce("part", "node"))
-    several = named.groupBy(key).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
-    return named.join(several.select(key), key, "left_semi")
+    counts = named.groupBy(key, "part").agg(F.count("*").alias("n"))
+    several = counts.groupBy(key).agg(
+        F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("main_n"),
+        (F.sum("n") - F.max("n")).alias("rest_n")).where("rest_n > 0")
+    return named.join(several, key)
 
 
 def _by_cell(links_of: Callable[[pa.Table], np.ndarray]):
@@ -253,8 +272,8 @@ def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch, width)], pa.binary())
-            kept = ["node", "label", "size", "part"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], sets], [*kept, "members"])
+            kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            yield pa.RecordBatch.from_pydict(kept | {"members": sets})
 
     return run
 
@@ -292,8 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = met.where("hub <> node").select("hub", "node").distinct().join(sketch, "node").join(hubs, "hub")
     likely = components(pairs.mapInArrow(_likely_pairs(reach), EDGE))
     # a group of two is its hub's only pair
-    apart = _in_parts(met.where("size > 2").drop("hub"), "group", likely)
-    cells = _cells(apart.join(sketch, "node"), "group", "size", _all)
+    apart = _in_parts(met.where("size > 2").select("group", "node"), "group", likely)
+    cells = _across_parts(apart.join(sketch, "node"), "group")
     likely = components(likely.toDF("b", "a").unionByName(cells.mapInArrow(_by_cell(_likely(reach)), EDGE)))
 
     # exact comparison inside each group of candidates
@@ -303,16 +322,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     held = keyed.join(groups.hint("merge"), keyed["id"] == groups["node"]).select("node", "label", "size", "text")
     held = materialize(held, "candidates")
 
-    def compared(members: DataFrame, others: Callable[[Column, Column], Column]) -> DataFrame:
-        sets = members.mapInArrow(_members(width), "node long, label long, size long, part long, members binary")
-        return _cells(sets, "label", "size", others).mapInArrow(_by_cell(_exact(percent)), EDGE)
-
-    own = lambda mine, blocks: F.when(F.col("node") == F.col("label"), _all(mine, blocks)).otherwise(F.array(mine))
-    confirmed = components(compared(held.withColumn("part", F.col("node")), own))
+    sets = _members(width)
+    members = held.withColumn("part", F.col("node")).mapInArrow(
+        sets, "node long, label long, size long, part long, members binary")
+    confirmed = components(_own_blocks(members, "label", "size").mapInArrow(_by_cell(_exact(percent)), EDGE))
     large = held.where(F.col("size") > BLOCK)
-    apart = materialize(_in_parts(large.select("node", "label").distinct(), "label", confirmed).select("node", "part"), "apart")
+    apart = materialize(_in_parts(large.select("node", "label").distinct(), "label", confirmed).drop("label"), "apart")
     if not apart.isEmpty():
-        found = compared(large.join(apart, "node"), _different)
+        schema = "node long, label long, part long, main long, main_n long, rest_n long, members binary"
+        members = large.drop("size").join(apart, "node").mapInArrow(sets, schema)
+        found = _across_parts(members, "label").mapInArrow(_by_cell(_exact(percent)), EDGE)
         confirmed = components(confirmed.toDF("b", "a").unionByName(found))
 
     same = rows.select("id", "n", "class").join(classes, "class", "left")

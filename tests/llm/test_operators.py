@@ -281,6 +281,25 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got.select("component_id").distinct().collect()[0][0] == 1 and got.where("kept").count() == 1
 
 
+def test_groups_left_in_several_parts(spark, monkeypatch):
+    """A text that drifts word by word: hubs reach only part of a group, so blocks of its parts must meet."""
+    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    text, rows = [f"w{i}" for i in range(50)], []
+    for i in range(60):
+        text = list(text)
+        for at in rng.integers(0, 50, 3 if i % 20 == 19 else 1):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    sets = [{tuple(t.split()[j:j + 2]) for j in range(49)} for _, t in rows]
+    label = list(range(60))
+    for _ in range(60):
+        label = [min(label[b] for b in range(60) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+                 for a in range(60)]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
