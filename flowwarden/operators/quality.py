@@ -19,6 +19,11 @@ def status(rows: Column) -> Column:
     return F.when(rows == 0, "empty").when(rows < SMALL, "small").otherwise("ok")
 
 
+def _plain_path(path: Column) -> Column:
+    """A path with one slash after its scheme, as readers and the file listing differ in that."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def file_profile(spark: SparkSession, path: str, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
     """One row per CSV file: rows, columns, size, category, status, missing required columns.
 
@@ -35,11 +40,12 @@ def file_profile(spark: SparkSession, path: str, required: list[str] = REQUIRED_
         (F.count(F.lit(1)) - 1).alias("rows"), F.min_by("value", "at").alias("header"))
     names = F.transform(F.split("header", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
     counted = per_file.select(
-        F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "rows", F.size(names).alias("columns"),
+        _plain_path(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))).alias("at"), "rows", F.size(names).alias("columns"),
         F.slice(names, 1, 10).alias("sample_columns"),
         F.array_except(F.array(*[F.lit(c) for c in required]), names).alias("missing_columns"))
-    listed = list_csv_files(spark, path).select("file_name", "size_mb", "category", "traffic_class")
-    joined = listed.join(counted, "file_name", "left").withColumns({
+    listed = list_csv_files(spark, path).select(
+        _plain_path(F.col("path")).alias("at"), "file_name", "size_mb", "category", "traffic_class")
+    joined = listed.join(counted, "at", "left").drop("at").withColumns({
         "rows": F.coalesce("rows", F.lit(0)), "columns": F.coalesce("columns", F.lit(0))})
     return joined.withColumn("status", status(F.col("rows")))
 

@@ -47,6 +47,17 @@ def test_uneven_headers(spark, tmp_path):
     assert got[BENIGN]["dur"] == pytest.approx(sum(r["Dur"] for r in rows if r["Dur"] != "broken"))
 
 
+def test_profile_of_files_with_equal_names_and_blanks(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    for name, n in (("mon/benign.csv", 3), ("tue/benign.csv", 5), ("wed/udpscan a+b.csv", 4)):
+        write_csv(str(tmp_path / name), [flow_row(rng, BENIGN, i) for i in range(n)])
+    files = quality.file_profile(spark, str(tmp_path)).collect()
+    assert sorted((r["file_name"], r["rows"]) for r in files) == [
+        ("benign.csv", 3), ("benign.csv", 5), ("udpscan a+b.csv", 4)]
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("flows")
