@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.standins import FLOWS_SQL, HISTORY_SQL, flows, history, r6
+from catalog.standins import ALL_DOCS_SQL, FLOWS_SQL, HISTORY_SQL, all_documents, flows, history, r6
 from flowwarden.functions.models import embed
 from flowwarden.operators import history as hist
 from flowwarden.operators import recency
@@ -82,18 +82,18 @@ def history_recent(spark, sf_dir):
 
 
 @query("history_stats", f"""
-WITH {HISTORY_SQL}
+WITH {ALL_DOCS_SQL}
 SELECT attack_type, count(*) AS documents, max(ts) AS most_recent, min(ts) AS oldest
 FROM docs GROUP BY ROLLUP (attack_type)""")
 def history_stats(spark, sf_dir):
-    return hist.stats(history(spark, sf_dir))
+    return hist.stats(all_documents(spark, sf_dir))
 
 
 @query("type_listing", f"""
-WITH {HISTORY_SQL}
+WITH {ALL_DOCS_SQL}
 SELECT attack_type, count(*) AS documents FROM docs GROUP BY attack_type ORDER BY attack_type""")
 def type_listing(spark, sf_dir):
-    return hist.type_listing(history(spark, sf_dir))
+    return hist.type_listing(all_documents(spark, sf_dir))
 
 
 @query("type_index", "SELECT lower(source) AS attack_type, doc_id AS doc_index FROM documents")

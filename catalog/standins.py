@@ -116,6 +116,15 @@ unit AS (
 """
 
 
+ALL_DOCS_SQL = "docs AS (SELECT doc_id AS doc_index, text, lower(source) AS attack_type, doc_id AS ts FROM documents)"
+
+
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history without embeddings: every document."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("doc_index"), "text", F.lower("source").alias("attack_type"), F.col("doc_id").alias("ts"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     return docs.join(vectors, docs.doc_id == vectors.vec_id).select(
