@@ -128,6 +128,24 @@ def knn_flows(spark, sf_dir):
     return found.withColumn("dist", r6(F.col("dist")))
 
 
+@query("knn_flows_two_rounds", f"""
+WITH {NEIGHBOURS_SQL}
+SELECT query_id, grp, row_id, rank, round(dist, 6) AS dist FROM top""")
+def knn_flows_two_rounds(spark, sf_dir):
+    """The home cell first, as for large groups."""
+    index = knn.build_cells(_raw_refs(spark, sf_dir))
+    found = knn.search_cells(index, _raw_queries(spark, sf_dir), 10, rounds=2)
+    return found.withColumn("dist", r6(F.col("dist")))
+
+
+@query("classify_flows_two_rounds", f"""
+WITH {NEIGHBOURS_SQL}, {CLASSIFY_SQL}
+SELECT query_id AS flow_id, classification, round(confidence, 6) AS confidence, attack_type FROM decided""")
+def classify_flows_two_rounds(spark, sf_dir):
+    index = knn.build_cells(_raw_refs(spark, sf_dir))
+    return _round_result(classify.classify_flows(index, _raw_queries(spark, sf_dir), rounds=2))
+
+
 _SIMILAR = f"""
 WITH {FLOWS_SQL},
 pairs AS (

@@ -75,10 +75,10 @@ def history_by_type(spark, sf_dir):
 
 
 @query("history_recent", f"""
-WITH {HISTORY_SQL}
+WITH {ALL_DOCS_SQL}
 SELECT doc_index, attack_type, 1.0::DOUBLE AS score FROM docs ORDER BY ts DESC, doc_index LIMIT 10""")
 def history_recent(spark, sf_dir):
-    return hist.recent(history(spark, sf_dir)).select("doc_index", "attack_type", "score")
+    return hist.recent(all_documents(spark, sf_dir)).select("doc_index", "attack_type", "score")
 
 
 @query("history_stats", f"""
@@ -144,10 +144,10 @@ def evict_oldest(spark, sf_dir):
 
 
 @query("export_documents", f"""
-WITH {HISTORY_SQL}
+WITH {ALL_DOCS_SQL}
 SELECT doc_index AS index, text, attack_type AS metadata FROM docs""")
 def export_documents(spark, sf_dir):
-    return history_store.export_rows(history(spark, sf_dir).withColumn("metadata", F.col("attack_type")))
+    return history_store.export_rows(all_documents(spark, sf_dir).withColumn("metadata", F.col("attack_type")))
 
 
 @query("last_n_flows", f"""

@@ -331,8 +331,8 @@ def nearest_summary(index: CellIndex, queries: DataFrame, k: int = 10, query_blo
         local = _run_units(index, queries, _Probe(index, 2, None), query_block, _summary_kernel(result), result)
     sizes = _local_table(index.spark, {"grp": pa.array(list(index.sizes), pa.string()),
                                        "group_rows": pa.array(list(index.sizes.values()), pa.int64())})
-    merged = (local.repartition("query_id").groupBy("query_id", "grp")
-              .agg(F.sum("zeros").alias("zeros"), F.min("nearest").alias("nearest_positive")))
+    merged = local.groupBy("query_id", "grp").agg(
+        F.sum("zeros").alias("zeros"), F.min("nearest").alias("nearest_positive"))
     return merged.join(F.broadcast(sizes), "grp").select(
         "query_id", "grp", (F.col("zeros") >= F.least(F.lit(k), F.col("group_rows"))).alias("all_zero"),
         "nearest_positive")
@@ -429,10 +429,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int = 10, metric: str = "l2
 
 
 def _ranked(local: DataFrame, k: int) -> DataFrame:
-    """Merge local top-k lists.  Partitioning by query alone serves every later per-query step."""
+    """Merge local top-k lists.  Spark applies the rank limit in the map tasks too, so they ship k rows per query."""
     w = Window.partitionBy("query_id", "grp").orderBy("dist", "row_id")
-    return (local.repartition("query_id").withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def with_score(neighbours: DataFrame) -> DataFrame:

@@ -82,9 +82,10 @@ def answer_questions(questions: DataFrame, analyses: DataFrame, factory: Generat
 
 
 def payload(answers: DataFrame) -> DataFrame:
-    """The record shown to the requester."""
+    """The record shown to the requester, with the ``requester_id`` of the question if it carries one."""
+    requester = [c for c in ("requester_id",) if c in answers.columns]
     return answers.select(
-        "question_id", "flow_id", "question", "answer", "timestamp",
+        "question_id", "flow_id", "question", "answer", "timestamp", *requester,
         F.coalesce("inference_time", F.lit(0.0)).alias("inference_time"), F.coalesce("error", F.lit(False)).alias("error"))
 
 

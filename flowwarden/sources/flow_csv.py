@@ -91,7 +91,9 @@ def list_csv_files(spark: SparkSession, path: str) -> DataFrame:
 def read_flow_csv(spark: SparkSession, path: str, layout: str = "fixed", naming=class_from_file_name) -> DataFrame:
     """All flow CSVs below ``path`` as one frame with ``traffic_class``, ``file_name`` and ``row_id``.
 
-    Files whose name matches no class (a held-out stream file, say) are left out.  Columns stay text;
+    ``row_id`` is the file's path below ``path`` and the row's index; without an index, a digest of the row's
+    content, which equal rows of a file share.  Files whose name matches no class (a held-out stream file, say) are
+    left out.  Columns stay text;
     :func:`flowwarden.operators.cleaning.clean_flows` types them.  ``layout="fixed"`` reads everything in
     one scan, by position, for files with the standard column order (a row of another width lands in
     ``corrupt_record``; ``quality.file_profile`` shows each file's header).  ``layout="by_header"`` accepts
@@ -116,10 +118,20 @@ def read_flow_csv(spark: SparkSession, path: str, layout: str = "fixed", naming=
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     else:
         raise ValueError(layout)
-    df = df.withColumn("traffic_class", naming(F.col("file_name"))).where(F.col("traffic_class").isNotNull())
-    if INDEX_COLUMN in df.columns:
-        df = df.withColumn("row_id", F.concat_ws(":", "file_name", INDEX_COLUMN)).drop(INDEX_COLUMN)
-    return df
+    digest = F.md5(F.to_json(F.struct(*[f"`{c}`" for c in sorted(df.columns) if c not in ("file_path", INDEX_COLUMN)])))
+    number = F.coalesce(F.col(INDEX_COLUMN), digest) if INDEX_COLUMN in df.columns else digest
+    df = df.withColumns({"traffic_class": naming(F.col("file_name")),
+                         "row_id": F.concat_ws(":", _below(spark, path, F.col("file_path")), number)})
+    return df.where(F.col("traffic_class").isNotNull()).drop(INDEX_COLUMN, "file_path")
+
+
+def _below(spark: SparkSession, path: str, file_path: Column) -> Column:
+    """Path of a file below the folder that was read; the whole path if it is not below it (a pattern was read)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder)
+    start = folder.toUri().getRawPath().rstrip("/") + "/"
+    whole = F.regexp_replace(file_path, "^[^:/]+:(//[^/]*)?", "")
+    return F.when(whole.startswith(start), whole.substr(F.lit(len(start) + 1), F.length(whole))).otherwise(whole)
 
 
 def _scan(spark: SparkSession, paths: list[str], names: list[str], recursive: bool) -> DataFrame:
@@ -131,7 +143,8 @@ def _scan(spark: SparkSession, paths: list[str], names: list[str], recursive: bo
     )
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    return reader.csv(paths).select("*", F.col("_metadata.file_name").alias("file_name"))
+    return reader.csv(paths).select(
+        "*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"))
 
 
 def expected_classes(spark: SparkSession) -> DataFrame:

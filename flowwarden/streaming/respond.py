@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -49,17 +51,20 @@ def _before(spark, path: str, batch_id: int) -> DataFrame:
     return stored.where(folder.isNull() | (folder < batch_id))
 
 
-def question_stream(asked: DataFrame, analyses: DataFrame, path: str, checkpoint: str,
-                    generator: GeneratorFactory | None = None, available_now: bool = False) -> StreamingQuery:
+def question_stream(asked: DataFrame, analyses: DataFrame | Callable[[SparkSession], DataFrame], path: str,
+                    checkpoint: str, generator: GeneratorFactory | None = None,
+                    available_now: bool = False) -> StreamingQuery:
     """Answer questions about stored analyses; rejects are written with their reason.
 
-    Runs as its own query, so questions never wait for analyses.
+    Runs as its own query, so questions never wait for analyses.  Give ``analyses`` as a function of the session
+    where the table grows: it is called for every batch, whereas a frame lists its files only once.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            answers, rejects = questions.answer_questions(batch, analyses, generator)
+            known = analyses(batch.sparkSession) if callable(analyses) else analyses
+            answers, rejects = questions.answer_questions(batch, known, generator)
             write_batch(answers, f"{path}/answers", batch_id)
             write_batch(rejects, f"{path}/rejects", batch_id)
         finally:

@@ -140,6 +140,8 @@ def test_questions(spark):
                        "4": "No analysis found for flow_id: zz", "5": "Question is required"}
     no_model = questions.payload(questions.answer(good)).first()
     assert no_model["inference_time"] == 0.1 and not no_model["error"]
+    named = questions.payload(questions.answer(good.withColumn("requester_id", F.lit("r")))).first()
+    assert named["requester_id"] == "r" and "requester_id" not in no_model.asDict()
 
     def echo():
         return lambda prompts: [p.splitlines()[-4][:10] for p in prompts]

@@ -58,6 +58,23 @@ def test_profile_of_files_with_equal_names_and_blanks(spark, tmp_path):
         ("benign.csv", 3), ("benign.csv", 5), ("udpscan a+b.csv", 4)]
 
 
+def test_row_ids_of_files_with_equal_names_and_without_index(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    for name, n in (("mon/benign.csv", 3), ("tue/benign.csv", 5), ("wed/udpscan a+b.csv", 4)):
+        write_csv(str(tmp_path / name), [flow_row(rng, BENIGN, i) for i in range(n)])
+    ids = [r[0] for r in flow_csv.read_flow_csv(spark, str(tmp_path)).select("row_id").collect()]
+    assert len(set(ids)) == len(ids) == 12 and "mon/benign.csv:0" in ids
+    plain = tmp_path / "thu" / "synscan.csv"
+    plain.parent.mkdir()
+    plain.write_text("Proto,Dur\ntcp,1\nudp,2\ntcp,3\n")
+    ids = [r[0] for r in flow_csv.read_flow_csv(spark, str(tmp_path), layout="by_header").select("row_id").collect()]
+    assert len(set(ids)) == len(ids) == 15
+    only = flow_csv.read_flow_csv(spark, str(plain.parent), layout="by_header")
+    assert only.select("row_id").distinct().count() == 3 and "file_path" not in only.columns
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("flows")

@@ -111,6 +111,27 @@ def test_analyses_become_searchable_for_the_next_batch(spark, tmp_path):
     assert respond.recent_documents(docs, 2).count() == 2
 
 
+def test_analyses_stored_after_the_start_can_be_asked_about(spark, tmp_path):
+    schema = "question_id string, question string, flow_id string, timestamp string"
+    from pyspark.sql.types import _parse_datatype_string
+
+    from flowwarden.schemas import ANALYSIS
+
+    (tmp_path / "in").mkdir()
+    arriving = intake.read_files(spark, str(tmp_path / "in"), _parse_datatype_string(schema))
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ANALYSIS.fields])
+    known = lambda s: s.read.parquet(str(tmp_path / "known"))
+    for flow in ("a", "b"):
+        spark.createDataFrame([(flow,)], "flow_id string").withColumn("analysis", empty).write.mode("append").parquet(
+            str(tmp_path / "known"))
+        (tmp_path / "in" / f"{flow}.json").write_text(json.dumps(
+            {"question_id": flow, "question": "why?", "flow_id": flow, "timestamp": "t"}))
+        respond.question_stream(arriving, known, str(tmp_path / "out"), str(tmp_path / "cp"),
+                                available_now=True).awaitTermination()
+    out = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "answers"))
+    assert sorted(r["flow_id"] for r in out.collect()) == ["a", "b"]
+
+
 def test_throughput_windows(spark, tmp_path):
     batch = write_events(spark, str(tmp_path / "in"))
     rows = detect.throughput(batch, "1 hour").collect()
