@@ -358,15 +358,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text_col: str = "text", most_texts: int = MOST_TEXTS, most_windows: int = MOST_WINDOWS) -> Network:
     """Train on windows of at most ``most_texts`` texts that hold a digit or at sign, at most ``most_windows`` of them.
 
-    The labelled spans are those of the patterns.  Texts and windows of the smallest hashes are taken, so that the
-    same rows give the same network.
+    The labelled spans are those of the patterns.  Distinct texts and distinct windows of the smallest hashes are taken,
+    so that the same texts give the same network, however often each is repeated.
     """
+    marked = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     key = F.xxhash64("text")
-    texts = (docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-             .select(key.alias("k")).distinct().orderBy("k").limit(most_texts))
-    chosen = docs.select(F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(texts), F.col("k") == key, "left_semi")  # ``most_texts`` longs at most
-    rows = (chosen.select("text").mapInArrow(_examples, "x binary, y binary")
+    texts = marked.select(key.alias("k")).distinct().orderBy("k").limit(most_texts)
+    chosen = marked.join(F.broadcast(texts), F.col("k") == key, "left_semi").distinct()  # ``most_texts`` longs at most
+    rows = (chosen.mapInArrow(_examples, "x binary, y binary").distinct()
             .orderBy(F.xxhash64("x", "y"), "x", "y").limit(most_windows).collect())
     read = lambda c: np.array([np.frombuffer(r[c], np.uint8) for r in rows], np.int64).reshape(-1, WIDTH)
     return train(read("x"), read("y"))

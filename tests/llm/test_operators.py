@@ -115,6 +115,22 @@ def test_personal_data(docs, empty):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def test_network_learns_from_distinct_texts_and_windows(spark, monkeypatch):
+    """Copies of a text, and texts that share windows, take no places of the sample."""
+    rng = random.Random(12)
+    texts = [f"{''.join(rng.choices('a B/', k=9))} card {rng.randint(10 ** 15, 10 ** 16)}" for _ in range(40)]
+    texts += [f"{'a ' * 50}call +1 555 010 7788 {'b ' * 50}{tail}" for tail in "xyz"]
+    once = spark.createDataFrame([(t,) for t in texts], "text string")
+    often = spark.createDataFrame([(t,) for t in texts + texts[:2] * 400 + texts[-3:] * 200], "text string")
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda x, y: seen.append((x, y)))
+    pii.fit(often, most_windows=30)
+    pii.fit(once, most_windows=30)
+    (x, y), (single_x, single_y) = seen
+    assert len(x) == len({(a.tobytes(), b.tobytes()) for a, b in zip(x, y)}) == 30
+    assert np.array_equal(x, single_x) and np.array_equal(y, single_y)
+
+
 def test_patterns_like_regular_expressions():
     rng = random.Random(2)
 
