@@ -94,7 +94,7 @@ FROM p
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
-    return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.rebuild(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op6_order_minhash")

@@ -19,6 +19,8 @@ from flowwarden.session import materialize
 #: The base32 alphabet and the header lines of a record.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Records that one copy of a payload serves when records are rebuilt; a payload of more is sent as often as needed.
+SERVED = 256
 
 
 def base32(hex_digest: Column, digits: int = 40) -> Column:
@@ -33,7 +35,10 @@ def base32(hex_digest: Column, digits: int = 40) -> Column:
 
 @dataclass
 class Archive:
-    """Both tables of an archive: ``headers`` (page_id, sha256, header) and ``payloads`` (sha256, sha1, payload)."""
+    """Both tables of an archive: ``headers`` (page_id, sha256, header, copy) and ``payloads`` (sha256, sha1, payload, copies).
+
+    ``copies`` is how often a payload is sent when records are rebuilt, ``copy`` which of these serves the record.
+    """
 
     headers: DataFrame
     payloads: DataFrame
@@ -54,6 +59,10 @@ def _header(page: Column, url: Column, kind: Column, first: Column, sha1: Column
         line("Content-Length", block.cast("string")), F.lit(CRLF)).cast("binary")
 
 
+def _copies(n_records: Column) -> Column:
+    return F.ceil(n_records / SERVED)
+
+
 def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url",
                   payload_col: str = "html") -> Archive:
     """Archive one record per row; of records with equal payloads the smallest id holds it, the others revisit it.
@@ -68,7 +77,7 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
                         F.octet_length(payload).cast("long").alias("payload_bytes"))
     kept = (seen.groupBy("sha256").agg(
         F.min("page_id").alias("first"), F.min("hex").alias("hex"), F.min("payload_bytes").alias("payload_bytes"),
-        F.assert_true((F.min("hex") == F.max("hex")) & (F.min("payload_bytes") == F.max("payload_bytes")),
+        _copies(F.count("*")).alias("copies"), F.assert_true((F.min("hex") == F.max("hex")) & (F.min("payload_bytes") == F.max("payload_bytes")),
                       "payloads that differ share a SHA-256").alias("same"))
         .where("same is null").withColumn("payload_digest", base32(F.col("hex"))))
     records = materialize(seen.select("page_id", "url", "sha256").join(kept.drop("hex", "same"), "sha256").withColumn(
@@ -76,41 +85,70 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
         .otherwise("revisit")), "warc-records")
     headers = records.select("page_id", "sha256", _header(
         F.col("page_id"), F.col("url"), F.col("record_type"), F.col("first"), F.col("payload_digest"),
-        F.col("payload_bytes")).alias("header"))
+        F.col("payload_bytes")).alias("header"), F.pmod(F.monotonically_increasing_id(), F.col("copies")).alias("copy"))
     # one copy of each payload leaves a map task, whatever the number of records that share it
     stored = (pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).groupBy("sha256")
-              .agg(F.first("payload").alias("payload")).withColumn("sha1", F.sha1("payload")))
+              .agg(F.first("payload").alias("payload"), _copies(F.count("*")).alias("copies"))
+              .withColumn("sha1", F.sha1("payload")))
     return Archive(materialize(headers, "warc-headers"), materialize(stored, "warc-payloads"))
 
 
+def _parsed(archive: Archive) -> DataFrame:
+    """The fields of all header blocks."""
+    text = F.col("header").cast("string")
+    field = lambda name, what: F.regexp_extract(text, rf"\n{name}: {what}\r\n", 1)
+    page = lambda name: field(name, "<urn:page:(-?[0-9]*)[a-z]*>").try_cast("long")
+    return archive.headers.select(
+        "sha256", "header", "copy", page("WARC-Record-ID").alias("page_id"), field("WARC-Type", "([a-z]+)").alias("record_type"),
+        page("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]{32})").alias("payload_digest"),
+        field("WARC-Payload-Length", "([0-9]+)").cast("long").alias("payload_bytes"))
+
+
+def _sound() -> Column:
+    """Whether a stored payload has the digests under which it is kept."""
+    return (F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1"))
+
+
+def _agreeing(joined: DataFrame) -> DataFrame:
+    """The rows, each with a sound payload of the length and digest that its header block names, or an error."""
+    right = F.coalesce(F.col("sound") & (F.col("stored_bytes") == F.col("payload_bytes"))
+                       & (F.col("stored_digest") == F.col("payload_digest")), F.lit(False))
+    return joined.where(F.assert_true(right, "a record's payload is missing or damaged").isNull())
+
+
 def read_records(archive: Archive) -> DataFrame:
     """All records of an archive: page_id, header, payload_bytes, payload_digest, record_type, refers_to, sha256.
 
     Fields are parsed from the header blocks.  A payload whose digest is not its key, or a record whose payload is
     missing or of another digest or length, ends the job with an error.
     """
-    text = F.col("header").cast("string")
-    field = lambda name, what: F.regexp_extract(text, rf"\n{name}: {what}\r\n", 1)
-    page = lambda name: field(name, "<urn:page:(-?[0-9]*)[a-z]*>").try_cast("long")
-    parsed = archive.headers.select(
-        "sha256", "header", page("WARC-Record-ID").alias("page_id"), field("WARC-Type", "([a-z]+)").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]{32})").alias("payload_digest"),
-        field("WARC-Payload-Length", "([0-9]+)").cast("long").alias("payload_bytes"))
     checked = archive.payloads.select(
         "sha256", F.octet_length("payload").cast("long").alias("stored_bytes"), base32(F.col("sha1")).alias("stored_digest"),
-        ((F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1"))).alias("sound"))
-    joined = parsed.join(checked, "sha256", "left")
-    right = F.coalesce(F.col("sound") & (F.col("stored_bytes") == F.col("payload_bytes"))
-                       & (F.col("stored_digest") == F.col("payload_digest")), F.lit(False))
-    return joined.where(F.assert_true(right, "a record's payload is missing or damaged").isNull()).select(
+        _sound().alias("sound"))
+    return _agreeing(_parsed(archive).join(checked, "sha256", "left")).select(
         "page_id", "header", "payload_bytes", "payload_digest", "record_type", "refers_to", "sha256")
 
 
 def rebuild(archive: Archive) -> DataFrame:
-    """The original records: page_id, record (bytes) and payload, for revisits that of the response they refer to."""
-    content = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return (read_records(archive).join(archive.payloads.select("sha256", "payload"), "sha256")
-            .select("page_id", F.concat("header", content, F.lit(f"{CRLF}{CRLF}".encode())).alias("record"), "payload"))
+    """The original records: page_id, record (bytes), payload, payload_bytes, payload_digest, record_type, refers_to.
+
+    The payload of a response is cut out of its rebuilt record, that of a revisit is what the response it refers to
+    holds; length and digest are computed from it for every record.  A payload that many records share is sent several
+    times, so that no task has all of them.  What :func:`read_records` refuses ends this job as well.
+    """
+    sent = archive.payloads.select("sha256", F.col("payload").alias("stored"), _sound().alias("sound"),
+                                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    # headers are the small side: payloads stream past them without being sorted
+    joined = _parsed(archive).hint("shuffle_hash").join(sent, ["sha256", "copy"], "left")
+    end = F.lit(f"{CRLF}{CRLF}".encode())
+    response = F.col("record_type") == "response"
+    rebuilt = joined.withColumn("record", F.concat("header", F.when(response, F.col("stored")).otherwise(F.lit(b"")), end))
+    start = F.octet_length("header")
+    payload = F.when(response, F.substring("record", start + 1, F.octet_length("record") - start - 4)).otherwise(F.col("stored"))
+    found = rebuilt.withColumn("payload", payload).withColumn("hex", F.sha1("payload")).withColumns({
+        "stored_bytes": F.octet_length("payload").cast("long"), "stored_digest": base32(F.col("hex"))})
+    return _agreeing(found).select("page_id", "record", "payload", F.col("stored_bytes").alias("payload_bytes"),
+                                   F.col("stored_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive_at(spark: SparkSession, path: str) -> Archive:

@@ -241,6 +241,28 @@ def test_archive_finds_damage(spark):
         warc.read_records(bad).collect()
 
 
+def test_archive_query_rebuilds_records(spark, tmp_path, monkeypatch):
+    """Fields of the query come from the payloads of rebuilt records; one shared by many is sent several times."""
+    monkeypatch.setattr(warc, "SERVED", 4)
+    html = ["same"] * 30 + [None, "", "é", "other", "other"]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    used = []
+    monkeypatch.setattr(warc, "rebuild", lambda archive, real=warc.rebuild: used.append(archive) or real(archive))
+    got = {r.page_id: r for r in queries.QUERIES["op5_warc_archive"](spark, str(tmp_path)).collect()}
+    assert len(used) == 1 and len(got) == len(html)
+    for i, h in enumerate(html):
+        body = (h or "").encode()
+        assert got[i].payload_bytes == len(body)
+        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        assert got[i].record_type == ("response" if i == [x or "" for x in html].index(h or "") else "revisit")
+    served = used[0].headers.groupBy("sha256", "copy").count().collect()
+    assert max(r["count"] for r in served) < 30 and max(r["copy"] for r in served) == 7
+    damaged = warc.Archive(used[0].headers, used[0].payloads.where("payload <> 'same'"))
+    with pytest.raises(Exception, match="missing or damaged"):
+        warc.rebuild(damaged).collect()
+
+
 def test_fingerprints(docs, empty):
     got = {r.doc_id: r for r in order_minhash.fingerprints(docs).collect()}
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
