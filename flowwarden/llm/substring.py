@@ -1,12 +1,14 @@
-"""Remove passages that already occur earlier: relative Lempel-Ziv factors against indexed reference blocks.
+"""Remove passages that already occur earlier: winnowed fragments and window hashes against indexed reference blocks.
+
+They replace a relative Lempel-Ziv parse: no longest match is sought, as only the windows that occur earlier are asked for.
 
 The reference is the corpus itself in the order (id, position).  It is cut by content: the smallest k-word hash of a
 window is its anchor, equal windows have equal anchors, and all windows with one anchor go to one block.  So a text
 need not meet every block, only those that can hold a factor of it.
 
-1. Each text is parsed into fragments, the longest runs of windows with one anchor.  A fragment that equals an earlier
-   one of its block is a factor copied as a whole.  Adjacent factors together are the long copied factors.
-2. At factor boundaries a fragment may share only some windows with another: where a block has different fragments for
+1. Each text is cut into fragments, the longest runs of windows with one anchor.  A fragment that equals an earlier
+   one of its block is copied as a whole.  Adjacent fragments together are the long copied passages.
+2. At the ends of copied passages a fragment may share only some windows with another: where a block has different fragments for
    one anchor, their windows are looked up one by one, in blocks keyed by the 128-bit hash of the window.
 3. Words covered by a copied window go.
 
