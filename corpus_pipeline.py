@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden.llm import mixing, nbsvm, pii, segmentation, setsketch
-from flowwarden.llm.queries import MODEL
+from flowwarden.llm.queries import MODEL, SAMPLES
 from flowwarden.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -60,7 +60,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     vocabulary = segmentation.Vocabulary.read(MODEL)
-    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, keep=("lang", "source", "text_sha256"))
+    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, samples=SAMPLES,
+                                keep=("lang", "source", "text_sha256"))
     decoded = segmentation.decode(drawn, vocabulary)
     return decoded.select("doc_id", "lang", "source", "rank", "ids", "log_prob", "perturbed", "inclusion", (
         F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"))

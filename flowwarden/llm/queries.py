@@ -132,6 +132,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Vocabulary of the token queries; see the README of that folder.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Segmentations that the token queries draw of each text.
+SAMPLES = 2
 
 
 @query("op8_sampled_segmentations")
@@ -139,7 +141,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     vocabulary = segmentation.Vocabulary.read(MODEL)
-    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, keep=("text_sha256",))
+    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, samples=SAMPLES, keep=("text_sha256",))
     return segmentation.decode(drawn, vocabulary).select(
         "doc_id", "rank", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
