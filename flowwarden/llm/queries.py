@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import mixing, nbsvm, order_minhash, pii, segmentation, setsketch, sharding, substring, topk, warc
+from flowwarden.llm import (divergence, lines, mixing, nbsvm, order_minhash, pii, runs, segmentation, setsketch, sharding,
+                            substring, topk, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +163,82 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
                         "source", "copies")
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts of op11: of documents whose crc32 of the id ends in 0, a tail repeats its first words."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(code % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    g = F.call_function("div", F.col("code"), F.lit(10))
+    marked = docs.withColumn("code", code).withColumn("words", words).withColumn("n", F.size("words"))
+    placed = marked.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    period = (1 + F.call_function("div", F.col("n") - F.col("a"), 3 + g % 8)).cast("int")
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), 1, F.col("n") - F.col("a"))
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " "))
+    return placed.withColumn("p", period).withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+    def first(x, y):  # greatest exact length / period, then the smallest start and period
+        cross = y.length * x.period - x.length * y.period
+        return (F.when(cross != 0, F.signum(cross)).when(x.start != y.start, F.signum(x.start - y.start))
+                .otherwise(F.signum(x.period - y.period)).cast("int"))
+
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    best = found.withColumn("best", F.get(F.array_sort("runs", first), F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.call_function("div", 1000 * F.col("best.length"), F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words", "n_dropped")
+
+
+@query("op12_repeated_lines", r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, i, s[i] AS line, translate(regexp_replace(s[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM t)),
+r AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.doc_id, i, line, last IS NOT NULL AND last <> l.doc_id AS gone FROM l LEFT JOIN r ON r.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_source_divergence", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, lang, source, term, count(*) AS n FROM (SELECT doc_id, lang, source, unnest(w) AS term FROM d)
+      GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, sum(t.n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (coalesce(total.total, 0) + v.v) AS BIGINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (kept.n + 1) // (v.total + v.v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN total USING (lang, source)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
