@@ -23,7 +23,7 @@ from flowwarden.session import materialize
 #: Shares are counted in billionths.
 UNIT = 1_000_000_000
 #: (term, source) entries a block of the vocabulary is planned for.
-BLOCK_ENTRIES = 1 << 17
+BLOCK_ENTRIES = 1 << 18
 #: Groups of a tile: a task meets the groups of two tiles pair by pair, so that an array is sent once for each tile.
 TILE = 8
 #: Entries a map task gathers before it sends them on, and bytes of a text that are split at once.
@@ -192,10 +192,9 @@ def count_terms(docs: DataFrame, least_docs: int = 3, text_col: str = "text", la
 
 def pair_divergences(kept: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     """lang, source, item (every other source of the language) and value, the sum of gaps over all kept terms."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("entries") / BLOCK_ENTRIES)).cast("long")
-    sized = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("entries")).select("lang", blocks.alias("blocks"))
-    placed = kept.join(sized, "lang").select(
-        "lang", "source", "n", "term", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"))
+    # one number of blocks for all languages: nothing is joined by language, which would deal a language to one task
+    blocks = -(-kept.count() // BLOCK_ENTRIES) or 1
+    placed = kept.select("lang", "source", "n", "term", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
     block = Window.partitionBy("lang", "block")
     numbered = placed.withColumn("id", F.dense_rank().over(block.orderBy("term"))).withColumn("n_terms", F.max("id").over(block))
     entries = F.sort_array(F.collect_list(F.struct("id", "n")))
