@@ -168,14 +168,21 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), id_col: str
     empty result; other columns are left out.
     """
 
+    # the text goes to the workers once, also where it is kept
+    text_kept = text_col in keep
+    others = [c for c in keep if c not in (id_col, text_col)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, offsets = text_bytes(batch.column("text"))
             found = [model.score(slots(data[a:b]), b - a) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64()), batch.column("kept")],
-                                             ["id", "score", "kept"])
+            columns = [batch.column("id"), pa.array(found, pa.float64()), batch.column("kept")]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column("text")] * text_kept,
+                                             ["id", "score", "kept"] + ["text"] * text_kept)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.struct(*[F.col(c) for c in keep] or [F.lit(1).alias("one")]).alias("kept"))
-    scored = rows.mapInArrow(run, f"id long, score double, kept {rows.schema['kept'].dataType.simpleString()}")
-    return scored.select(F.col("id").alias(id_col), "score", *[F.col("kept")[c].alias(c) for c in keep if c != id_col])
+                       F.struct(*[F.col(c) for c in others] or [F.lit(1).alias("one")]).alias("kept"))
+    scored = rows.mapInArrow(run, f"id long, score double, kept {rows.schema['kept'].dataType.simpleString()}"
+                                  + (", text string" if text_kept else ""))
+    named = {text_col: F.col("text")} | {c: F.col("kept")[c] for c in others}
+    return scored.select(F.col("id").alias(id_col), "score", *[named[c].alias(c) for c in keep if c != id_col])

@@ -139,14 +139,9 @@ SAMPLES = 2
 
 @query("op8_sampled_segmentations")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    vocabulary = segmentation.Vocabulary.read(MODEL)
-    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, samples=SAMPLES, keep=("text_sha256",))
-    return segmentation.decode(drawn, vocabulary).select(
-        "doc_id", "rank", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        (F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"))
+    drawn = segmentation.encode(table(spark, sf_dir, "documents"), segmentation.Vocabulary.read(MODEL), samples=SAMPLES, verify=True)
+    return drawn.select("doc_id", "rank", F.size("ids").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion",
+                        "decoded_sha256", "lossless")
 
 
 @query("op9_quality")

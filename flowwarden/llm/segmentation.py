@@ -14,6 +14,7 @@ value left is the threshold from which the inclusion score of each path follows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from flowwarden.llm.words import BYTE_BASE, OTHER_BASE, WORD_BASE, mix, powers,
 SPACE = 0x2581
 _LITERAL = 0x110001  # the same character in a text, which must not become a space
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -405,15 +407,25 @@ def sample_texts(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, sam
     return out
 
 
+def _text_of(ids: np.ndarray, pieces: list[bytes]) -> bytes:
+    """Bytes that pieces spell; the space before the first piece goes."""
+    return b"".join([pieces[i] for i in ids.tolist()]).removeprefix(b" ")
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, samples: int = 2, seed: int = 1, keep: tuple[str, ...] = (),
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
     """``samples`` distinct segmentations of every row's whole text: id, rank, ids, log_prob, perturbed, inclusion, ``keep``.
 
     Drawn without replacement in proportion to probability, seeded by the id and the seed; ranks (from 1) follow the
     perturbed log-probability.  ``inclusion`` is the chance of a segmentation to exceed the highest value not drawn.
     A text with fewer segmentations gets those, all with inclusion 1; an empty or null text has one, without pieces.
     Rows of one id and text draw the same; a null id is an id of its own.  An empty table gives an empty result.
+    With ``verify`` every segmentation is decoded again where it was drawn, which adds ``decoded_sha256`` and
+    ``lossless`` (the pieces give the row's text back) without sending ids or texts anywhere.
     """
+    spark = docs.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1)):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))  # texts differ in length by orders of magnitude: batches are bound by bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES):
@@ -423,19 +435,30 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, samples: int = 2, seed: int
             every = [x for d in drawn for x in d]
             ids = [x[0] for x in every]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), pa.array([r for d in drawn for r in range(1, len(d) + 1)], pa.int32()),
-                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32())),
-                 *[pa.array([x[i] for x in every], pa.float64()) for i in (1, 2, 3)], batch.column("kept").take(row)],
-                ["id", "rank", "ids", "log_prob", "perturbed", "inclusion", "kept"])
+            columns = [
+                batch.column("id").take(row), pa.array([r for d in drawn for r in range(1, len(d) + 1)], pa.int32()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else [], pa.int32())),
+                *[pa.array([x[i] for x in every], pa.float64()) for i in (1, 2, 3)], batch.column("kept").take(row)]
+            names = ["id", "rank", "ids", "log_prob", "perturbed", "inclusion", "kept"]
+            if verify:
+                given = batch.column("text").cast(pa.binary())
+                digests, same = [], []
+                for r, x in zip(row.to_pylist(), ids):
+                    text = _text_of(x, vocabulary.pieces)
+                    digests.append(hashlib.sha256(text).hexdigest())
+                    same.append(text == given[r].as_py())
+                columns += [pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                names += ["decoded_sha256", "lossless"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.lit(seed), id_col).alias("key"),
                        F.struct(*[F.col(c) for c in keep] or [F.lit(1).alias("one")]).alias("kept"))
     kept_type = rows.schema["kept"].dataType.simpleString()
+    checks = ("decoded_sha256", "lossless") if verify else ()
     drawn = rows.mapInArrow(run, "id long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double, "
-                                 f"kept {kept_type}")
-    return drawn.select(F.col("id").alias(id_col), "rank", "ids", "log_prob", "perturbed", "inclusion",
+                                 f"kept {kept_type}" + (", decoded_sha256 string, lossless boolean" if verify else ""))
+    return drawn.select(F.col("id").alias(id_col), "rank", "ids", "log_prob", "perturbed", "inclusion", *checks,
                         *[F.col("kept")[c].alias(c) for c in keep])
 
 
@@ -454,8 +477,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: s
                 for ids in kept.field(ids_col):
                     raw = None
                     if ids.is_valid:
-                        raw = b"".join([pieces[i] for i in ids.values.to_numpy().tolist()])
-                        raw = raw[1:] if raw[:1] == b" " else raw
+                        raw = _text_of(ids.values.to_numpy(), pieces)
                     texts.append(raw)
                 yield pa.RecordBatch.from_arrays([kept, pa.array(texts, pa.binary()).cast(pa.string())], ["kept", "text"])
 
