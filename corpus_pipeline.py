@@ -40,31 +40,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes its kind in angle brackets; n_chars follows the new text."""
+    """Personal data in the texts becomes its kind in angle brackets; n_chars follows the new text.
+
+    Null texts stay null, with a null length; every row stays, repeated ones alike; other columns keep their values.
+    """
     found = pii.find(docs, pii.fit(docs), keep=("lang", "source"))
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source",
                         F.length("masked").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, no row if it does not."""
+    """Each document as often as the mix takes it, no row if it does not.
+
+    Null and empty texts have size 0: taken like others, they add no words.  Rows that repeat are mixed one by one; a
+    null source is a source.
+    """
     taken = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
     return taken.where("copies > 0").withColumn("copy", copies).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every text into vocabulary pieces, each decoded again.
+    """Sampled segmentations of every text into vocabulary pieces, each decoded again where it was drawn.
 
-    ``lossless`` tells that the pieces give the text back exactly.
+    ``lossless`` tells that the pieces give the text back exactly.  A null or empty text has one segmentation, without
+    pieces; rows that repeat draw the same; an empty table gives an empty result.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    vocabulary = segmentation.Vocabulary.read(MODEL)
-    drawn = segmentation.encode(docs.withColumn("text_sha256", digest), vocabulary, samples=SAMPLES,
-                                keep=("lang", "source", "text_sha256"))
-    decoded = segmentation.decode(drawn, vocabulary)
-    return decoded.select("doc_id", "lang", "source", "rank", "ids", "log_prob", "perturbed", "inclusion", (
-        F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"))
+    drawn = segmentation.encode(docs, segmentation.Vocabulary.read(MODEL), samples=SAMPLES, keep=("lang", "source"), verify=True)
+    return drawn.select("doc_id", "lang", "source", "rank", "ids", "log_prob", "perturbed", "inclusion", "lossless")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix),
