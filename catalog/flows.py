@@ -219,7 +219,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, row_id)
 def knn_exact(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     found = knn.knn_join(knn.query_rows(e, "vec_id", "embedding"), knn.reference_rows(e, "vec_id", "embedding"), 10,
-                         strategy="cells")
+                         strategy="blocks")
     return found.select("query_id", "row_id", "rank", r6(F.col("dist")).alias("dist"))
 
 
@@ -230,14 +230,53 @@ WHERE rank <= 10""")
 def knn_filtered(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     found = knn.knn_join(knn.query_rows(e, "vec_id", "embedding", "label"),
-                         knn.reference_rows(e, "vec_id", "embedding", "label"), 10)
+                         knn.reference_rows(e, "vec_id", "embedding", "label"), 10, strategy="blocks")
     return found.select("query_id", "grp", "row_id", "rank", r6(F.col("dist")).alias("dist"))
 
 
-@query("knn_clustered")
+def _lloyd_sql(rounds):
+    """Centres of every class after that many rounds, as CTEs c0, c1, ..."""
+    near = ("SELECT r.row_id, r.grp, first(c.cell ORDER BY (r.value - c.value) * (r.value - c.value) + (r.k - c.k) * (r.k - c.k) "
+            "+ (r.hr - c.hr) * (r.hr - c.hr), c.cell) AS cell FROM refs r JOIN c{i} c ON c.grp = r.grp GROUP BY r.row_id, r.grp")
+    out = []
+    for i in range(rounds):
+        out.append(f"a{i} AS MATERIALIZED ({near.format(i=i)})")
+        out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.grp, o.cell, coalesce(m.value, o.value) AS value, coalesce(m.k, o.k) AS k, coalesce(m.hr, o.hr) AS hr
+  FROM c{i} o LEFT JOIN (SELECT a.grp, a.cell, avg(value) AS value, avg(k) AS k, avg(hr) AS hr
+                         FROM a{i} a JOIN refs r ON r.row_id = a.row_id GROUP BY a.grp, a.cell) m
+  ON m.grp = o.grp AND m.cell = o.cell)""")
+    return ",\n".join([*out, f"a{rounds} AS MATERIALIZED ({near.format(i=rounds)})"])
+
+
+@query("knn_clustered", f"""
+WITH {FLOWS_SQL},
+refs AS MATERIALIZED (
+  SELECT flow_id AS row_id, traffic_class AS grp, value, k, hr,
+         row_number() OVER (PARTITION BY traffic_class, value, k, hr ORDER BY flow_id) AS copy
+  FROM halves WHERE split = 'index' QUALIFY copy <= 10),
+wanted AS (SELECT grp, CASE WHEN grp = 'benign' THEN least(100, greatest(10, count(*) // 50)) WHEN count(*) < 1000 THEN 1
+                            ELSE least(50, greatest(10, count(*) // 20)) END AS wanted FROM refs GROUP BY grp),
+c0 AS MATERIALIZED (
+  SELECT grp, value, k, hr, row_number() OVER (PARTITION BY grp ORDER BY md5('42|' || CAST(row_id AS VARCHAR)), row_id) AS cell
+  FROM refs JOIN wanted USING (grp) WHERE copy = 1 QUALIFY cell <= wanted),
+{_lloyd_sql(3)},
+queries AS (SELECT flow_id AS query_id, value, k, hr FROM halves WHERE split = 'test'),
+probed AS (
+  SELECT query_id, q.value, q.k, q.hr, c.grp, c.cell
+  FROM queries q, c3 c JOIN (SELECT DISTINCT grp, cell FROM a3) f ON f.grp = c.grp AND f.cell = c.cell
+  QUALIFY row_number() OVER (PARTITION BY query_id, c.grp ORDER BY (q.value - c.value) * (q.value - c.value)
+    + (q.k - c.k) * (q.k - c.k) + (q.hr - c.hr) * (q.hr - c.hr), c.cell) <= 10),
+pairs AS (
+  SELECT query_id, p.grp, r.row_id, (p.value - r.value) * (p.value - r.value) + (p.k - r.k) * (p.k - r.k)
+         + (p.hr - r.hr) * (p.hr - r.hr) AS dist
+  FROM probed p JOIN a3 a ON a.grp = p.grp AND a.cell = p.cell JOIN refs r ON r.row_id = a.row_id)
+SELECT query_id, grp, row_id, rank, round(dist, 6) AS dist
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY dist, row_id) AS rank FROM pairs) WHERE rank <= 10""")
 def knn_clustered(spark, sf_dir):
-    """Approximate: k-means cells, the class-size rule for their number, at most 10 probed."""
-    index = knn.build_cells(_raw_refs(spark, sf_dir), cells_for=calibration.clustered_cells("benign"), train="kmeans")
+    """Approximate: k-means cells after three rounds, the class-size rule for their number, at most 10 probed."""
+    index = knn.build_cells(_raw_refs(spark, sf_dir), cells_for=calibration.clustered_cells("benign"), train="kmeans",
+                            train_rounds=3)
     return knn.search_cells(index, _raw_queries(spark, sf_dir), 10, nprobe=10).withColumn("dist", r6(F.col("dist")))
 
 
@@ -268,7 +307,7 @@ WHERE rank <= 5 GROUP BY query_id""")
 def mean_distance_diagnostic(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     found = knn.knn_join(knn.query_rows(e, "vec_id", "embedding"), knn.reference_rows(e, "vec_id", "embedding"), 5,
-                         strategy="cells")
+                         strategy="blocks")
     mean = found.groupBy("query_id").agg(F.avg("dist").alias("m"))
     return mean.select("query_id", r6(F.col("m")).alias("mean_distance"),
                        r6(scoring.decay_similarity(F.col("m"))).alias("similarity"))

@@ -29,7 +29,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 WHERE rank <= 5""")
 def history_search(spark, sf_dir):
     docs = history(spark, sf_dir)
-    return _scored(hist.search(docs, _queries(docs), 5, strategy="cells"), "attack_type")
+    return _scored(hist.search(docs, _queries(docs), 5), "attack_type")
+
+
+@query("history_search_cells", f"""
+WITH {HISTORY_SQL}, {_SCORES}
+SELECT query_id, doc_index, rank, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index) AS rank FROM scores)
+WHERE rank <= 5""")
+def history_search_cells(spark, sf_dir):
+    """The same search through cells, as for vectors of few dimensions."""
+    docs = history(spark, sf_dir)
+    return _scored(hist.search(docs, _queries(docs), 5, strategy="cells", attach=False))
 
 
 @query("history_search_within_type", f"""
@@ -39,7 +50,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
       WHERE qtype = attack_type) WHERE rank <= 5""")
 def history_search_within_type(spark, sf_dir):
     docs = history(spark, sf_dir)
-    return _scored(hist.search_within_types(docs, _queries(docs), 5, strategy="cells"), "attack_type")
+    return _scored(hist.search_within_types(docs, _queries(docs), 5), "attack_type")
 
 
 @query("history_search_one_type", f"""

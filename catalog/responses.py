@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.standins import HISTORY_SQL, NETFLOWS_SQL, history, netflows, r6, table
+from catalog.standins import ALL_DOCS_SQL, HISTORY_SQL, NETFLOWS_SQL, all_documents, history, netflows, r6, table
 from flowwarden.functions import responses as resp
 from flowwarden.functions import text as txt
 from flowwarden.operators import history as hist
@@ -254,7 +254,7 @@ def prompt_context(spark, sf_dir):
 def _context(spark, sf_dir):
     docs = history(spark, sf_dir)
     queries = docs.select(F.col("doc_index").alias("query_id"), "embedding")
-    return analyze.context_of(hist.search(docs, queries, 3, strategy="cells", attach=False), docs)
+    return analyze.context_of(hist.search(docs, queries, 3, attach=False), docs)
 
 
 _SIMILAR_SQL = """CASE WHEN packets_count > 50 THEN 'Similar Attack Patterns:' || chr(10) || '- Pattern 1: similarity='
@@ -332,21 +332,76 @@ def standard_fields(spark, sf_dir):
     return analyze.standard_fields(e)
 
 
+# the stand-in embedder counts letters, so that SQL can say it
+_LETTERS_SQL = """list_prepend(1.0, list_transform(range(97, 123), lambda c:
+  CAST(length({text}) - length(replace(lower({text}), chr(CAST(c AS INTEGER)), '')) AS DOUBLE)))"""
+
+
+def _letter_embedder():
+    import numpy as np
+
+    def embed(texts):
+        return np.array([[1.0, *(t.lower().count(chr(c)) for c in range(97, 123))] for t in texts])
+
+    return embed
+
+
+def _length_generator():
+    import json
+
+    def generate(prompts):
+        return ["Assessment follows.\n" + json.dumps({
+            "threat_level": "LOW" if len(p) % 2 else "CRITICAL", "risk_score": len(p) % 120, "attack_vector": "Vector",
+            "potential_impact": "Impact", "immediate_actions": ["Review flow"], "investigation_steps": ["Collect logs"],
+            "prevention_measures": ["Review rules"], "technical_analysis": f"Prompt of {len(p)} characters",
+            "rag_assisted": "HISTORICAL" in p}) if len(p) % 7 else "no answer" for p in prompts]
+
+    return generate
+
+
 @query("analyze_threats", f"""
-WITH {NETFLOWS_SQL}
-SELECT event_id AS flow_id, 'HIGH' AS threat_level, 'Template answer' AS attack_vector, 'llm_parsed' AS response_source,
-       true AS rag_context_used, true AS rag_assisted, 'Block' IS NULL AS failed
-FROM netflows WHERE classification = 'malicious'""")
+WITH {NETFLOWS_SQL}, {ALL_DOCS_SQL},
+threats AS (SELECT *, {_template(txt.SEARCH_TEXT, _FLOW_VALUES)} AS search_text FROM netflows WHERE classification = 'malicious'),
+asked AS (SELECT DISTINCT search_text, {_LETTERS_SQL.format(text='search_text')} AS v FROM threats),
+q AS (SELECT search_text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM asked),
+vectors AS (SELECT doc_index, text, {_LETTERS_SQL.format(text='text')} AS v
+            FROM (SELECT doc_index, coalesce(text, '') AS text FROM docs)),
+r AS (SELECT doc_index, text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vectors),
+hits AS (SELECT *, row_number() OVER (PARTITION BY search_text ORDER BY score DESC, doc_index) AS rank
+         FROM (SELECT search_text, doc_index, text, round(list_dot_product(q.u, r.u), 9) AS score FROM q, r)),
+context AS (
+  SELECT search_text, {_quote(txt.CONTEXT_TITLE)} || string_agg(
+           '[Analysis ' || CAST(rank AS VARCHAR) || '] (Relevance: ' || printf('%.2f', score) || ') '
+           || replace(left(text, 400), chr(10), ' '), chr(10) ORDER BY rank) || chr(10) || chr(10) AS block,
+         string_agg(CAST(doc_index AS VARCHAR), ',' ORDER BY rank) AS context_ids, round(sum(score), 6) AS context_score
+  FROM hits WHERE rank <= 3 GROUP BY search_text),
+prompts AS (
+  SELECT event_id, context_ids, context_score, {_quote(txt.SYSTEM_ANALYST)} || {_template(txt.FLOW_BLOCK, _FLOW_VALUES)}
+         || coalesce(block, '') || CASE WHEN block IS NULL THEN {_quote(txt.JSON_CONTRACT % 'false')}
+                                        ELSE {_quote(txt.JSON_CONTRACT % 'true')} END AS prompt
+  FROM threats LEFT JOIN context USING (search_text))
+SELECT event_id AS flow_id, context_ids, context_score, sha256(prompt) AS prompt_sha256,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'HIGH' WHEN length(prompt) % 2 = 1 THEN 'LOW' ELSE 'CRITICAL' END AS threat_level,
+       CASE WHEN length(prompt) % 7 = 0 THEN 75 ELSE least(100, length(prompt) % 120) END AS risk_score,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'no answer' ELSE 'Prompt of ' || length(prompt) || ' characters' END AS technical_analysis,
+       CASE WHEN length(prompt) % 7 = 0 THEN 'fallback_parsed' ELSE 'llm_parsed' END AS response_source,
+       context_ids IS NOT NULL AS rag_context_used,
+       length(prompt) % 7 <> 0 AND contains(prompt, 'HISTORICAL') AS rag_assisted
+FROM prompts""")
 def analyze_threats(spark, sf_dir):
-    """Whole chain with the stand-in model: retrieve, render, call, parse."""
+    """Whole chain over all documents, with stand-in models: embed, retrieve, render, call, parse."""
     from flowwarden.functions.models import embed, spread
     from flowwarden.operators.threats import route
 
     threats = route(netflows(spark, sf_dir)).withColumnRenamed("event_id", "flow_id")
-    docs = spread(history(spark, sf_dir), "doc_index").withColumn("embedding", embed(F.col("text")))
-    out = analyze.analyze_threats(threats, docs, strategy="cells")
-    return out.select("flow_id", "analysis.threat_level", "analysis.attack_vector", "analysis.response_source",
-                      "rag_context_used", "analysis.rag_assisted", F.col("response").isNull().alias("failed"))
+    docs = spread(all_documents(spark, sf_dir), "doc_index").withColumn("embedding", embed(F.col("text"), _letter_embedder))
+    out = analyze.analyze_threats(threats, docs, embedder=_letter_embedder, generator=_length_generator)
+    ids = F.array_join(F.transform("context", lambda c: c["doc_index"].cast("string")), ",")
+    score = F.aggregate("context", F.lit(0.0), lambda total, c: total + F.round(c["score"], 9))
+    return out.select("flow_id", ids.alias("context_ids"), r6(score).alias("context_score"),
+                      F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"),
+                      *[F.col(f"analysis.{c}") for c in ("threat_level", "risk_score", "technical_analysis", "response_source")],
+                      "rag_context_used", "analysis.rag_assisted")
 
 
 @query("attach_similar", """

@@ -22,7 +22,7 @@ def of_type(docs: DataFrame, attack_type: str) -> DataFrame:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, attack_type: str | None = None,
-           recent_only: bool = False, strategy: str = "auto", attach: bool = True) -> DataFrame:
+           recent_only: bool = False, strategy: str = "blocks", attach: bool = True) -> DataFrame:
     """``(query_id, doc_index, rank, score[, text, ...])``: cosine top k of each query.
 
     A type filter is applied before the search and wins over ``recent_only``, which restricts the search to
@@ -42,7 +42,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, attack_type:
     return found.join(docs.drop("embedding"), "doc_index") if attach else found
 
 
-def search_within_types(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, strategy: str = "auto") -> DataFrame:
+def search_within_types(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, strategy: str = "blocks") -> DataFrame:
     """Each query searches the documents of its own ``attack_type``; an unknown type finds nothing."""
     key = type_key(F.col("attack_type"))
     refs = knn.reference_rows(docs, "doc_index", "embedding", key)

@@ -1,6 +1,6 @@
 """k-nearest-neighbour joins.
 
-Two plans, one result contract ``(query_id, grp, row_id, dist, rank)``:
+Three plans, one result contract ``(query_id, grp, row_id, dist, rank)``:
 
 * ``cells`` - both sides large.  The reference side is cut into Voronoi cells around sampled (or k-means)
   centres.  Each query gets an upper bound on its k-th distance from the centre table alone and visits only
@@ -9,6 +9,7 @@ Two plans, one result contract ``(query_id, grp, row_id, dist, rank)``:
   reference side and ``qsalt`` on the query side; sizes are measured first, so every work unit is bounded
   on both sides however skewed the data is, and emits only its own top k.  With ``nprobe`` the bound is
   replaced by "the nprobe nearest cells" (approximate).
+* ``blocks`` - both sides large, many dimensions: see :mod:`flowwarden.operators.blocks`.
 * ``scan`` - few queries (counted first).  The queries travel to every reference partition, which answers
   with its local top k; the reference side is never shuffled.
 
@@ -148,12 +149,14 @@ def default_cells(n: int, cap: int) -> int:
 
 
 def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str = "sample", seed: int = 42,
-                block_rows: int | None = None, metric: str = "l2") -> CellIndex:
+                block_rows: int | None = None, metric: str = "l2", train_rounds: int = 10,
+                rows_per_centre: int | None = None) -> CellIndex:
     """Build a :class:`CellIndex` from ``(grp, row_id, features)``.
 
-    ``cells_for(group, rows)`` sets the number of cells, capped by the budget.  ``train`` is ``"sample"``
-    (centres are hash-sampled vectors) or ``"kmeans"`` (MLlib k-means on a bounded sample).  Results of
-    exact searches do not depend on either.  With ``metric="cosine"`` vectors are scaled to length 1 wherever
+    ``cells_for(group, rows)`` sets the number of cells; more than the budget is an error, as a smaller number would
+    change what ``nprobe`` finds.  ``train`` is ``"sample"`` (centres are hash-sampled vectors) or ``"kmeans"``
+    (``train_rounds`` rounds of Lloyd's method over all rows, or about ``rows_per_centre`` of them per centre).
+    Results of exact searches do not depend on either.  With ``metric="cosine"`` vectors are scaled to length 1 wherever
     they are read, and neighbours rank by inner product.
     """
     if metric not in METRICS:
@@ -170,10 +173,18 @@ def build_cells(refs: DataFrame, copies: int = 10, cells_for=None, train: str =
                          copies, metric)
     dim = max(r["dim"] for r in groups)
     block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim))
-    cap = max(1, min(CELL_BUDGET, CENTRE_BYTES // (8 * dim)) // len(sizes))
-    wanted = {g: max(1, min(cap, n, (cells_for or (lambda _g, m: default_cells(m, cap)))(g, n)))
-              for g, n in sizes.items()}
-    centres = _train_centres(spark, kept, sizes, wanted, train, seed)
+    budget = min(CELL_BUDGET, CENTRE_BYTES // (8 * dim))
+    cap = max(1, budget // len(sizes))
+    wanted = {g: max(1, min(n, cells_for(g, n) if cells_for else default_cells(n, cap))) for g, n in sizes.items()}
+    if sum(wanted.values()) > max(budget, len(sizes)):
+        raise ValueError(f"{sum(wanted.values())} cells asked for, at most {budget} of {dim} dimensions")
+    if train == "kmeans":
+        from flowwarden.operators import lloyd
+
+        start = lloyd.first_centres(kept.where("copy = 1"), wanted, seed)
+        centres = lloyd.fit_centres(_thinned(kept, sizes, wanted, rows_per_centre, seed), start, train_rounds, metric)
+    else:
+        centres = _sample_centres(spark, kept, sizes, wanted, seed)
     if metric == "cosine":
         centres = {g: _unit(c) for g, c in centres.items()}
 
@@ -232,20 +243,21 @@ def _local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame
     return spark.createDataFrame(pa.table(columns))
 
 
-def _train_centres(spark, kept, sizes, wanted, train, seed) -> dict[str, np.ndarray]:
-    per_centre = {"sample": 8, "kmeans": 256}[train]
+def _thinned(kept: DataFrame, sizes: dict[str, int], wanted: dict[str, int], per_centre: int | None, seed: int) -> DataFrame:
+    """Rows with a small hash of their id, about ``per_centre`` for every centre of their group; all without a number."""
+    if per_centre is None:
+        return kept
     scale = 1 << 30
-    thresholds = _local_table(spark, {
+    thresholds = _local_table(kept.sparkSession, {
         "grp": pa.array(list(sizes)),
         "threshold": pa.array([int(min(1.0, per_centre * wanted[g] / n + 64 / n) * scale)
                                for g, n in sizes.items()], pa.int64())})
-    pool = (
-        kept.where("copy = 1").join(F.broadcast(thresholds), "grp")
-        .withColumn("h", F.xxhash64(F.col("row_id"), F.lit(seed)))
-        .where(F.pmod(F.col("h"), F.lit(scale)) < F.col("threshold"))
-    )
-    if train == "kmeans":
-        return _kmeans_centres(pool, wanted, seed)
+    return (kept.join(F.broadcast(thresholds), "grp").withColumn("h", F.xxhash64(F.col("row_id"), F.lit(seed)))
+            .where(F.pmod(F.col("h"), F.lit(scale)) < F.col("threshold")))
+
+
+def _sample_centres(spark, kept, sizes, wanted, seed) -> dict[str, np.ndarray]:
+    pool = _thinned(kept.where("copy = 1"), sizes, wanted, 8, seed)
     rank = Window.partitionBy("grp").orderBy("h", "row_id")
     rows = (pool.select("grp", "features", F.row_number().over(rank).alias("r"))
             .where(F.col("r") <= max(wanted.values())).collect())
@@ -263,26 +275,6 @@ def _train_centres(spark, kept, sizes, wanted, train, seed) -> dict[str, np.ndar
     return {g: _finite(np.array(v, dtype=float)) for g, v in out.items()}
 
 
-def _kmeans_centres(pool: DataFrame, wanted: dict[str, int], seed: int) -> dict[str, np.ndarray]:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    finite = F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), 0.0).when(
-        F.abs(x) == float("inf"), F.signum(x) * NOT_FINITE).otherwise(x))
-    pool = materialize(pool.select("grp", array_to_vector(finite).alias("v")), "kmeans")
-    out = {}
-    for g, k in sorted(wanted.items()):
-        part = pool.where(F.col("grp") == g)
-        if k == 1:
-            from pyspark.ml.stat import Summarizer
-
-            out[g] = np.array([part.select(Summarizer.mean(F.col("v"))).first()[0].toArray()])
-            continue
-        model = KMeans(k=k, featuresCol="v", seed=seed, maxIter=10).fit(part)
-        out[g] = np.array(model.clusterCenters(), dtype=float)
-    return out
-
-
 # -------------------------------------------------------------------------------------------- search
 
 
@@ -415,14 +407,15 @@ def search_scan(refs: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                    .mapInArrow(_scan_kernel(rows, by_group, k, metric, result), result), k)
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int = 10, metric: str = "l2", strategy: str = "auto",
+def knn_join(queries: DataFrame, refs: DataFrame, k: int = 10, metric: str = "l2", strategy: str = "cells",
              nprobe: int | None = None, **build) -> DataFrame:
-    """Exact k-NN join; ``auto`` counts the queries (up to the scan limit) to choose the plan."""
-    if strategy == "auto":
-        few = queries.select("query_id").limit(SCAN_QUERIES + 1).count() <= SCAN_QUERIES
-        strategy = "scan" if few and nprobe is None else "cells"
+    """Exact k-NN join by the named plan: ``cells``, ``blocks`` (many dimensions) or ``scan`` (few queries)."""
     if strategy == "scan":
         return search_scan(refs, queries, k, metric)
+    if strategy == "blocks":
+        from flowwarden.operators.blocks import search_blocks
+
+        return search_blocks(refs, queries, k, metric, **build)
     if strategy != "cells":
         raise ValueError(strategy)
     return search_cells(build_cells(refs, copies=k, metric=metric, **build), queries, k, nprobe)
@@ -475,6 +468,39 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by difference, dimension by dimension, so that ties are true ties."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        step = np.subtract.outer(a[:, j], b[:, j])
+        out += step * step
+    return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Position of the nearest centre of each row, the first of equally near ones.
+
+    A matrix product finds it; where its rounding leaves a choice, distances are taken by difference.
+    """
+    out = np.empty(len(x), np.int64)
+    norms = (centres * centres).sum(1)
+    for a, b in _steps(len(x), len(centres)):
+        d2 = norms - 2.0 * (x[a:b] @ centres.T)
+        out[a:b] = d2.argmin(1)
+        slack = 1e-11 * ((x[a:b] * x[a:b]).sum(1) + norms.max()) + 1e-300
+        close = np.flatnonzero((d2 <= (d2.min(1) + slack)[:, None]).sum(1) > 1)
+        for low, high in _steps(len(close), len(centres)):
+            rows = close[low:high]
+            out[a + rows] = _direct(x[a + rows], centres).argmin(1)
+    return out
+
+
+def group_codes(column) -> tuple[list[str], np.ndarray]:
+    """Distinct values of a string column and the position of each row's value among them."""
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _steps(rows: int, width: int):
     size = max(1, MATRIX_CELLS // max(1, width))
     for start in range(0, rows, size):
@@ -484,17 +510,15 @@ def _steps(rows: int, width: int):
 def _assign_kernel(centres, cell_ids, metric):
     def kernel(batches):
         for batch in batches:
-            groups = np.asarray(batch.column("grp").to_pylist(), dtype=object)
+            names, codes = group_codes(batch.column("grp"))
             x = _matrix(batch.column("features"), metric)
             cell, pd_ = np.zeros(len(x), np.int32), np.zeros(len(x))
-            for g in set(groups.tolist()):
-                rows = np.flatnonzero(groups == g)
-                for a, b in _steps(len(rows), len(centres[g])):
-                    part = x[rows[a:b]]
-                    nearest = _distances(part, centres[g]).argmin(1)
-                    cell[rows[a:b]] = cell_ids[g][nearest]
-                    # recomputed by difference: the radius must not carry cancellation error
-                    pd_[rows[a:b]] = np.sqrt(((part - centres[g][nearest]) ** 2).sum(1))
+            for code, g in enumerate(names):
+                rows = np.flatnonzero(codes == code)
+                at = nearest(x[rows], centres[g])
+                cell[rows] = cell_ids[g][at]
+                # recomputed by difference: the radius must not carry cancellation error
+                pd_[rows] = np.sqrt(((x[rows] - centres[g][at]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("grp"), batch.column("row_id"), batch.column("features"), batch.column("copy"),
                  pa.array(cell), pa.array(pd_)], names=["grp", "row_id", "features", "copy", "cell", "pd"])
@@ -524,7 +548,7 @@ class _Probe:
                 hit[np.arange(len(q)), np.where(filled, d, np.inf).argmin(1)] = filled.any()
                 bound = np.full(len(q), np.inf)
             elif limit is not None:
-                order = np.argsort(np.where(filled, d, np.inf), axis=1, kind="stable")[:, :limit]
+                order = np.argsort(np.where(filled, _direct(q, c), np.inf), axis=1, kind="stable")[:, :limit]
                 hit = np.zeros(d.shape, bool)
                 np.put_along_axis(hit, order, True, axis=1)
                 hit &= filled
@@ -567,8 +591,8 @@ class _Probe:
     def batches(self, batch, features):
         """Yield ``(group, query rows, cell positions, squared bounds)`` for an Arrow batch."""
         if "grp" in batch.schema.names:
-            groups = np.asarray(batch.column("grp").to_pylist(), dtype=object)
-            chosen = [(g, np.flatnonzero(groups == g)) for g in sorted(set(groups.tolist())) if g in self.centres]
+            names, codes = group_codes(batch.column("grp"))
+            chosen = [(g, np.flatnonzero(codes == code)) for code, g in enumerate(names) if g in self.centres]
         else:
             chosen = [(g, np.arange(len(features))) for g in sorted(self.centres)]
         found = self._found(batch) if self.mode == "rest" else {}

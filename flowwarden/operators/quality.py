@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from flowwarden.functions.vectors import all_zero
 from flowwarden.schemas import REQUIRED_COLUMNS
-from flowwarden.sources.flow_csv import list_csv_files
+from flowwarden.sources import csv_records
+from flowwarden.sources.flow_csv import list_csv_files, plain_path
 
 SMALL = 100
 FEW_FILES = 5
@@ -27,20 +28,14 @@ def _plain_path(path: Column) -> Column:
 def file_profile(spark: SparkSession, path: str, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
     """One row per CSV file: rows, columns, size, category, status, missing required columns.
 
-    One text scan; the header is the first line of the file's first block.  Files without any line are kept
-    through the (content-free) file listing.
+    Rows are records as a CSV parser counts them: line breaks in quotes do not end one, blank lines are none.  One text
+    scan that leaves one row per split; files without any line are kept through the (content-free) file listing.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-        .select("value", F.col("_metadata.file_path").alias("file_path"),
-                F.struct(F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("line")).alias("at"))
-    )
-    per_file = lines.groupBy("file_path").agg(
-        (F.count(F.lit(1)) - 1).alias("rows"), F.min_by("value", "at").alias("header"))
+    per_file = csv_records.count_records(csv_records.read_splits(csv_records.scan_lines(spark, path)))
     names = F.transform(F.split("header", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
     counted = per_file.select(
-        _plain_path(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))).alias("at"), "rows", F.size(names).alias("columns"),
+        _plain_path(plain_path(F.col("file_path"))).alias("at"),
+        F.greatest(F.col("records") - 1, F.lit(0)).alias("rows"), F.size(names).alias("columns"),
         F.slice(names, 1, 10).alias("sample_columns"),
         F.array_except(F.array(*[F.lit(c) for c in required]), names).alias("missing_columns"))
     listed = list_csv_files(spark, path).select(

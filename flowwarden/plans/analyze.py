@@ -44,7 +44,7 @@ def context_of(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_id", k: int = CONTEXT_K,
-                     embedder: EmbedderFactory = hashing_embedder, strategy: str = "auto") -> DataFrame:
+                     embedder: EmbedderFactory = hashing_embedder, strategy: str = "blocks") -> DataFrame:
     """Threats with ``context array<struct<rank, score, text, doc_index>>`` of the k closest past analyses.
 
     Flows that render the same search text share one embedding call and one search.
@@ -62,7 +62,7 @@ def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_i
 
 def analyze_threats(threats: DataFrame, docs: DataFrame | None = None, flow_id: str = "flow_id",
                     embedder: EmbedderFactory = hashing_embedder, generator: GeneratorFactory = template_generator,
-                    strategy: str = "auto") -> DataFrame:
+                    strategy: str = "blocks") -> DataFrame:
     """Prompt, model answer and validated analysis of each threat.
 
     ``threats`` carries the flow fields, ``attack_type``, ``confidence`` and optionally ``similar_flows``.
