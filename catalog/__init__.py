@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from catalog import features, flows, history, quality, questions, responses, streams  # noqa: F401
+    from catalog import features, files, flows, history, quality, questions, responses, streams  # noqa: F401

@@ -6,6 +6,7 @@ strings.  The default factories need no model and are deterministic, so pipeline
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,8 +56,8 @@ def template_generator() -> Callable[[list[str]], list[str]]:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows over all cores before model calls.
 
-    Calls cost far more than moving their input; a fixed partition count keeps the adaptive planner from
-    merging a small but expensive input into one task.
+    Calls cost far more than moving their input; a partition count keeps the adaptive planner from merging a small but
+    expensive input into one task.
     """
     spark = df.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -81,20 +82,64 @@ def embed(text: Column, factory: EmbedderFactory = hashing_embedder, batch: int
     return F.pandas_udf(run, "array<double>")(text)
 
 
-def generate(prompt: Column, factory: GeneratorFactory = template_generator, batch: int = BATCH) -> Column:
-    """Model text per prompt.  A failing batch yields nulls, which parse as the error analysis."""
+CALL = "struct<answer:string,seconds:double,attempts:int,error:string>"
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def call_batch(model, prompts: list[str], attempts: int, batch: int, clock=time.perf_counter) -> list[tuple]:
+    """(answer, seconds, attempts, error) of every prompt.
+
+    A batch that fails is tried again prompt by prompt, so that one bad prompt costs the others nothing; a prompt is called
+    ``attempts`` times in all before its error is kept instead of an answer.  Seconds are those spent on the prompt: its
+    share of a batch's call plus its own calls.
+    """
+    out: list[tuple] = []
+    for low in range(0, len(prompts), batch):
+        chunk = prompts[low:low + batch]
+        start = clock()
+        try:
+            answers = list(model(chunk))
+            if len(answers) != len(chunk):
+                raise ValueError(f"{len(answers)} answers to {len(chunk)} prompts")
+            share = (clock() - start) / len(chunk)
+            out += [(a, share, 1, None) for a in answers]
+            continue
+        except Exception as error:
+            share, failure = (clock() - start) / len(chunk), _said(error)
+        for prompt in chunk:
+            seconds, answer, problem, tries = share, None, failure, 1
+            while answer is None and tries < attempts:
+                start = clock()
+                tries += 1
+                try:
+                    answer, problem = list(model([prompt]))[0], None
+                except Exception as error:
+                    problem = _said(error)
+                seconds += clock() - start
+            out.append((answer, seconds, tries, problem))
+    return out
+
+
+def _said(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:500]
+
+
+def call(prompt: Column, factory: GeneratorFactory = template_generator, batch: int = BATCH, attempts: int = 3) -> Column:
+    """struct<answer, seconds, attempts, error> of each prompt: what the model said, how long it took, and what went wrong.
+
+    A null prompt is asked as an empty one.  A model that cannot be made (the factory fails) ends the job.
+    """
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for part in parts:
-            prompts, answers = part.fillna("").tolist(), []
-            for i in range(0, len(prompts), batch):
-                chunk = prompts[i:i + batch]
-                try:
-                    answers.extend(model(chunk))
-                except Exception:
-                    answers.extend([None] * len(chunk))
-            yield pd.Series(answers, index=part.index, dtype=object)
+            rows = call_batch(model, part.fillna("").tolist(), attempts, batch)
+            yield pd.DataFrame(rows, columns=["answer", "seconds", "attempts", "error"]).astype(
+                {"answer": object, "seconds": float, "attempts": "int32", "error": object})
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(prompt)
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, CALL)(prompt)
+
+
+def generate(prompt: Column, factory: GeneratorFactory = template_generator, batch: int = BATCH) -> Column:
+    """Model text per prompt; null where every attempt failed, which parses as the error analysis."""
+    return call(prompt, factory, batch)["answer"]

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.functions.hashing import stable_id
-from flowwarden.functions.models import GeneratorFactory, generate
+from flowwarden.functions.models import GeneratorFactory, call
 from flowwarden.functions.text import question_prompt
+from flowwarden.session import materialize
+from flowwarden.sources import response_log
 
 # Reasons and the answer given without a model.
 NO_QUESTION, NO_FLOW_ID = "Question is required", "Flow ID is required"
@@ -62,23 +64,34 @@ def served_order(work: DataFrame) -> DataFrame:
     return work.orderBy("priority", "ts", "id")
 
 
-def answer(admitted_questions: DataFrame, factory: GeneratorFactory | None = None) -> DataFrame:
-    """Add ``prompt``, ``answer``, ``response_source`` and ``error``; without a model a fixed answer."""
+def answer(admitted_questions: DataFrame, factory: GeneratorFactory | None = None, attempts: int = 3) -> DataFrame:
+    """Add ``prompt``, ``answer``, ``response_source``, ``inference_time`` and ``error``; without a model a fixed answer."""
     q = admitted_questions.withColumn("prompt", question_prompt(F.col("analysis"), F.col("question")))
     if factory is None:
         return q.withColumns({"answer": F.lit(NO_MODEL_ANSWER), "response_source": F.lit(FALLBACK_ANSWER),
                               "inference_time": F.lit(FALLBACK_SECONDS), "error": F.lit(False)})
-    q = q.withColumn("answer", generate(F.col("prompt"), factory))
-    failed = F.col("answer").isNull()
+    q = q.withColumn("_call", call(F.col("prompt"), factory, attempts=attempts))
+    failed = F.col("_call.answer").isNull()
     return q.withColumns({
-        "response_source": F.when(failed, FAILED).otherwise(ANSWERED), "inference_time": F.lit(None).cast("double"),
-        "error": failed, "answer": F.coalesce("answer", F.lit("Error processing question: model call failed"))})
+        "response_source": F.when(failed, FAILED).otherwise(ANSWERED), "inference_time": F.col("_call.seconds"),
+        "error": failed, "model_error": F.col("_call.error"),
+        "answer": F.coalesce("_call.answer", F.lit("Error processing question: model call failed"))}).drop("_call")
 
 
-def answer_questions(questions: DataFrame, analyses: DataFrame, factory: GeneratorFactory | None = None
-                     ) -> tuple[DataFrame, DataFrame]:
-    """Payloads of the admitted questions, and the rejected ones with their reason."""
-    return payload(answer(admitted(questions, analyses), factory)), rejected(questions, analyses)
+def answer_questions(questions: DataFrame, analyses: DataFrame, factory: GeneratorFactory | None = None,
+                     log_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Payloads of the admitted questions, and the rejected ones with their reason.
+
+    Answers of a model are written once, and with ``log_path`` every request is appended to the response log.
+    """
+    answers = answer(admitted(questions, analyses), factory)
+    if factory is not None:
+        answers = materialize(answers, "question-answers")
+    if log_path is not None:
+        logged = answers.withColumns({"parsed_result": response_log.logged_answer(), "response": F.col("answer"),
+                                      "logged": F.current_timestamp()})
+        response_log.append(response_log.log_records(logged, "question", "logged"), log_path)
+    return payload(answers), rejected(questions, analyses)
 
 
 def payload(answers: DataFrame) -> DataFrame:

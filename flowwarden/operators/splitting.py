@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowwarden.functions.hashing import digest, digest_int, draw
+from flowwarden.functions.hashing import digest, draw
 
-SAMPLED_GROUPS = 10_000  # most groups whose sizes are held on the driver
+SKETCH_ROWS = 50_000  # rows a task gathers beyond its sketch before it cuts them down
 
 
 def is_test_row(group: Column, row_id: Column, test_frac: float = 0.5, seed: int = 42) -> Column:
@@ -59,27 +63,44 @@ def read_split_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.union(grand)
 
 
+def _smallest(keep: int):
+    """Rows of the ``keep`` smallest ``(_h, _r)`` of each ``_g``, over everything a task reads."""
+
+    def compact(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).sort_by([("_g", "ascending"), ("_h", "ascending"), ("_r", "ascending")])
+        table = table.combine_chunks()
+        codes = table.column("_g").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        position = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+        return table.take(pa.array(np.flatnonzero(position < keep))).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows, kept = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                rows += batch.num_rows
+            if rows > 2 * kept + SKETCH_ROWS:
+                parts = [compact(parts)]
+                rows = kept = parts[0].num_rows
+        if parts:
+            yield compact(parts)
+
+    return run
+
+
 def sample_per_group(df: DataFrame, group: str, row_id: str, size: int = 3000, seed: int = 42) -> DataFrame:
-    """At most ``size`` rows per group without replacement, always the same ones: the smallest digests.
+    """At most ``size`` rows per group without replacement, always the same ones: those of the smallest digests.
 
-    Groups are counted first; a group much larger than ``size`` is then filtered by a digest threshold that
-    leaves about four times ``size`` rows, so ranking never sorts the table.  Should a threshold have left
-    too few (it is checked), the unfiltered table is ranked, so the result does not depend on it.
+    Every map task keeps the ``size`` smallest of each group, the map tasks are merged in lanes, and only what is left is
+    ranked; so neither the number of groups nor their sizes are needed beforehand, and no task receives a large group.  Rows of equal id take places of their own.
     """
     key = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
-    drawn = df.withColumns({"_h": digest(F.lit(str(seed)), F.col(row_id)), "_g": key})
-    counts = drawn.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).limit(SAMPLED_GROUPS + 1).collect()
-    large = {r["_g"]: r["n"] for r in counts if r["n"] > 8 * size}
-    if large and len(counts) <= SAMPLED_GROUPS:
-        limits = {g: int(4 * size / n * (1 << 32)) for g, n in large.items()}
-        table = df.sparkSession.createDataFrame(
-            pa.table({"_g": pa.array(list(limits)), "_limit": pa.array(list(limits.values()), pa.int64())}))
-        few = drawn.join(F.broadcast(table), "_g", "left").where(
-            F.col("_limit").isNull() | (digest_int(F.col("_h")) < F.col("_limit"))).drop("_limit")
-        left = {r["_g"]: r["n"] for r in few.where(F.col("_g").isin(list(limits)))
-                .groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if all(left.get(g, 0) >= size for g in limits):
-            drawn = few
-    w = Window.partitionBy("_g").orderBy("_h", row_id)
-    return (drawn.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= size)
-            .drop("_rank", "_h", "_g"))
+    drawn = df.withColumns({"_h": digest(F.lit(str(seed)), F.col(row_id)), "_g": key, "_r": F.col(row_id)})
+    local = drawn.mapInArrow(_smallest(size), drawn.schema)
+    # a map task's rows go to one lane; the tasks of a lane are merged before all lanes are
+    lanes = 1 + math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    merged = local.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes))).repartition("_g", "_lane").drop("_lane")
+    w = Window.partitionBy("_g").orderBy("_h", "_r")
+    return (merged.mapInArrow(_smallest(size), drawn.schema).withColumn("_rank", F.row_number().over(w))
+            .where(F.col("_rank") <= size).drop("_rank", "_h", "_g", "_r"))

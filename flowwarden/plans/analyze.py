@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.functions.hashing import stable_id
-from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, embed, generate, hashing_embedder,
-                                         spread, template_generator)
+from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, call, embed, hashing_embedder, spread,
+                                         template_generator)
 from flowwarden.functions.responses import parse_responses
 from flowwarden.functions.text import (FULL_TEXT, PREVIEW, SNIPPET, analysis_prompt, document_metadata, document_text,
                                        search_text, shorten)
 from flowwarden.functions.times import to_epoch
 from flowwarden.operators import history
 from flowwarden.session import materialize
+from flowwarden.sources import response_log
 
 CONTEXT_K = 3
+MODEL_NAME = "built-in"
+METHOD = "batched_generation"
 
 # Field names a flow may arrive under, with the value used when none is present.
 ALIASES = {
@@ -62,18 +65,28 @@ def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_i
 
 def analyze_threats(threats: DataFrame, docs: DataFrame | None = None, flow_id: str = "flow_id",
                     embedder: EmbedderFactory = hashing_embedder, generator: GeneratorFactory = template_generator,
-                    strategy: str = "blocks") -> DataFrame:
+                    strategy: str = "blocks", model_name: str = MODEL_NAME, attempts: int = 3,
+                    log_path: str | None = None) -> DataFrame:
     """Prompt, model answer and validated analysis of each threat.
 
     ``threats`` carries the flow fields, ``attack_type``, ``confidence`` and optionally ``similar_flows``.
-    The answers are written once before parsing: a model call is never repeated for a second reader.
+    The answers are written once before parsing: a model call is never repeated for a second reader.  Each result says how
+    it came about: ``model_name``, ``inference_method``, ``inference_time`` (seconds), ``attempts``, ``model_error`` and
+    ``analysis_timestamp``.  With ``log_path`` every request is appended to the response log.
     """
     work = threats if docs is None else retrieve_context(threats, docs, flow_id, embedder=embedder, strategy=strategy)
     context = F.col("context") if docs is not None else None
     similar = F.col("similar_flows") if "similar_flows" in threats.columns else None
     answered = spread(work.withColumn("prompt", analysis_prompt(context, similar)), flow_id)
-    answered = materialize(answered.withColumn("response", generate(F.col("prompt"), generator)), "answers")
+    called = answered.withColumn("_call", call(F.col("prompt"), generator, attempts=attempts)).withColumns({
+        "response": F.col("_call.answer"), "inference_time": F.col("_call.seconds"), "attempts": F.col("_call.attempts"),
+        "model_error": F.col("_call.error"), "model_name": F.lit(model_name), "inference_method": F.lit(METHOD),
+        "analysis_timestamp": F.current_timestamp()}).drop("_call")
+    answered = materialize(called, "answers")
     parsed = parse_responses(answered, error_source="error_fallback")
+    if log_path is not None:
+        response_log.append(response_log.log_records(
+            parsed.withColumn("parsed_result", response_log.logged_analysis()), "analysis", "analysis_timestamp"), log_path)
     return with_response_fields(parsed, F.size(context) > 0 if context is not None else F.lit(False))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _created: list[str] = []
+_scopes: dict[int, list[str]] = {}  # tables of the innermost block, by thread
 
 
 def build_session(app_name: str = "flowwarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,8 +54,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "flowwarden", f"{tag}-{uuid.uuid4().hex}")
+    _scopes.get(threading.get_ident(), _created).append(path)
     df.write.parquet(path)
-    _created.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,13 +69,36 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+@contextmanager
+def scoped_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`materialize` writes inside this block when it ends, however it ends.
+
+    For work that is repeated while a process runs, such as a micro-batch.  Blocks of other threads keep their tables.
+    """
+    thread = threading.get_ident()
+    outer, mine = _scopes.get(thread), []
+    _scopes[thread] = mine
+    try:
+        yield
+    finally:
+        if outer is None:
+            del _scopes[thread]
+        else:
+            _scopes[thread] = outer
+        _delete(spark, mine)
+
+
 def release_materialized(spark: SparkSession) -> int:
-    """Delete the tables this process wrote with :func:`materialize`."""
+    """Delete the tables this process wrote with :func:`materialize` outside of :func:`scoped_tables`."""
+    return _delete(spark, _created)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     hadoop_conf = spark.sparkContext._jsc.hadoopConfiguration()
     count = 0
-    while _created:
-        path = jvm.org.apache.hadoop.fs.Path(_created.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop_conf).delete(path, True)
         count += 1
     return count

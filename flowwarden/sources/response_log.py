@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden.functions.responses import quality
 from flowwarden.functions.text import shorten
 from flowwarden.functions.times import from_stamp, to_stamp
 from flowwarden.operators.recency import KEEP_LOGS, keep_newest
-from flowwarden.schemas import RESPONSE_LOG
+from flowwarden.schemas import ANALYSIS, RESPONSE_LOG
 
 REPORTED = 10
 
@@ -23,6 +23,21 @@ def log_records(answers: DataFrame, request_type: str, at: str = "ts") -> DataFr
         F.col("response").alias("full_response"), "parsed_result")
 
 
+def logged_analysis(analysis: str = "analysis") -> Column:
+    """An analysis as the log keeps it, with the time, model and method of its call."""
+    seconds = F.round("inference_time", 6).cast("string").alias("inference_time")
+    fields = [F.col(f"{analysis}.{f.name}").cast("string" if f.name == "risk_score" else f.dataType).alias(f.name)
+              for f in ANALYSIS.fields]
+    return F.struct(*fields, seconds, "model_name", to_stamp(F.col("analysis_timestamp")).alias("analysis_timestamp"),
+                    "inference_method", F.length("response").cast("string").alias("full_response_length"))
+
+
+def logged_answer() -> Column:
+    """An answer to a question as the log keeps it."""
+    return F.struct("question", "answer", F.col("flow_id").alias("original_analysis_id"), "response_source", "timestamp",
+                    F.round("inference_time", 6).cast("string").alias("inference_time"))
+
+
 def append(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("request_type").json(path)
 

@@ -1,12 +1,13 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowwarden.operators import knn
 from flowwarden.operators.threats import counters
 from flowwarden.plans.classify import classify_flows
-from flowwarden.sources import history_store
+from flowwarden.sources import history_store, response_log
 from flowwarden.streaming import detect, intake, respond
 
 SCHEMA = "flow_id bigint, ts timestamp, attack_type string, classification string, x double, y double"
@@ -56,7 +57,7 @@ def test_counters_and_first_of_type(spark, tmp_path):
 
     for name, df, mode in (
             ("counters", detect.running_counters(stream(spark, str(tmp_path / "in"))), "complete"),
-            ("first", detect.first_arrivals(stream(spark, str(tmp_path / "in")).where("attack_type IS NOT NULL")), "append")):
+            ("first", detect.first_arrivals(stream(spark, str(tmp_path / "in")).where("attack_type IS NOT NULL"), "flow_id"), "append")):
         intake.start_batches(df, keep(name), str(tmp_path / f"cp-{name}"), True, mode=mode).awaitTermination()
     want = {r["classification"]: r["flows"] for r in counters(batch).collect()}
     assert {r["classification"]: r["flows"] for r in latest["counters"]} == want
@@ -85,10 +86,81 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert intake.read_batches(spark, str(tmp_path / "out"), df.schema).count() == 5
 
 
-def test_fan_out_reaches_every_consumer(spark):
-    got = []
-    intake.fan_out(spark.range(3), 7, [lambda d, b: got.append((b, d.count())), lambda d, b: got.append((b, d.first()[0]))])
-    assert got == [(7, 3), (7, 0)]
+def test_a_failed_consumer_does_not_repeat_the_others(spark, tmp_path):
+    got, fail = [], [True]
+
+    def second(d, b):
+        if fail.pop() if fail else False:
+            raise OSError("full")
+        got.append(("second", b, d.count()))
+
+    consumers = intake.Consumers(str(tmp_path / "done"), {
+        "first": lambda d, b: got.append(("first", b, d.count())), "second": second,
+        "third": lambda d, b: got.append(("third", b, d.count()))})
+    with pytest.raises(RuntimeError, match="failed in: second"):
+        consumers(spark.range(3), 7)
+    consumers(spark.range(3), 7)
+    assert got == [("first", 7, 3), ("third", 7, 3), ("second", 7, 3)]
+    consumers(spark.range(3), 7)
+    assert len(got) == 3
+
+
+def test_bounded_parts_lose_nothing_and_keep_the_order(spark):
+    seen = []
+    run = intake.in_bounded_parts(lambda d, n: seen.append((n, [r[0] for r in d.orderBy("id").collect()])), 10, ["id"])
+    run(spark.range(47).repartition(5), 2)
+    assert [n for n, _ in seen] == [(2 << 20) + i for i in range(5)]
+    assert [x for _, rows in seen for x in rows] == list(range(47)) and max(len(r) for _, r in seen) == 10
+    run(spark.range(0), 3)
+    assert len(seen) == 5
+
+
+def test_the_store_does_not_grow_with_batches(spark, tmp_path):
+    import glob
+
+    from flowwarden.session import materialize, scoped_tables, shared_dir
+
+    tables = lambda: len(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/flowwarden/*"))
+    before = tables()
+    for i in range(10):
+        with scoped_tables(spark):
+            kept = materialize(spark.range(i), "inner").count()
+            assert kept == i and tables() == before + 1
+    assert tables() == before
+
+
+def test_results_of_a_failed_batch_are_not_asked_for_again(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model():
+        import json as j
+        import uuid
+
+        def generate(prompts):
+            (calls / uuid.uuid4().hex).write_text(str(len(prompts)))
+            return [j.dumps({"threat_level": "LOW"}) for _ in prompts]
+
+        return generate
+
+    row = {"flow_id": "f", "ts": "2024-01-01T00:00:00", "src_ip": "a", "src_port": 1, "dst_ip": "b", "dst_port": 2, "protocol": "tcp",
+           "bytes_count": 10, "packets_count": 2, "duration": 0.5, "tcp_flags": "SYN", "attack_type": "synscan", "confidence": 0.8}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps(row))
+    arriving = intake.read_files(spark, str(tmp_path / "in"), spark.read.json(str(tmp_path / "in")).schema).withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    run = lambda: respond.analysis_stream(
+        arriving, str(tmp_path / "history"), str(tmp_path / "results"), str(tmp_path / "cp"), generator=model, available_now=True,
+        log_path=str(tmp_path / "log")).awaitTermination()
+    with monkeypatch.context() as m:
+        m.setattr(history_store, "append", lambda *a: (_ for _ in ()).throw(OSError("no room")))
+        with pytest.raises(Exception, match="no room"):
+            run()
+    run()
+    assert [p.read_text() for p in calls.iterdir()] == ["1"]
+    assert history_store.load(spark, str(tmp_path / "history")).count() == 1
+    logged = response_log.read(spark, str(tmp_path / "log")).first()
+    assert logged.request_type == "analysis" and float(logged.parsed_result.inference_time) >= 0
 
 
 def test_analyses_become_searchable_for_the_next_batch(spark, tmp_path):
