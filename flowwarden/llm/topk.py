@@ -19,18 +19,27 @@ from pyspark.sql.window import Window
 #: Candidates of a block and queries of a chunk.  A block is sent once for each chunk, a chunk once for each block, so
 #: larger chunks move fewer bytes; a task holds one block, one chunk and a slab of scores.
 BLOCK_ROWS, CHUNK_ROWS = 4096, 2048
-#: Scaled components stay within this bound, so that sums of 2**19 products fit into 64 bits.
-LARGEST = 1 << 22
 _SLAB = 128
 
 
 def scaled(rows: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """``id`` and ``v``: floor(scale * x) of each component; rows with a null or non-finite component are left out."""
-    vector = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
+    """``id`` and ``v``: floor(scale * x) of each component; rows with a null or non-finite component are left out.
+
+    A scaled component beyond 64 bits ends the job with an error.
+    """
+    most = F.lit(float(1 << 62))
+    floor = lambda x: F.floor(F.when(F.abs(x) < most, x).otherwise(
+        F.raise_error(F.lit("a scaled component exceeds 64 bits")).cast("double")))
+    vector = F.transform(F.col(vector_col), lambda x: floor(x.cast("double") * scale).cast("long"))
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    bounded = F.transform(vector, lambda x: F.greatest(F.least(x, F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
     return (rows.where(F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False)))
-            .select(F.col(id_col).cast("long").alias("id"), bounded.alias("v")))
+            .select(F.col(id_col).cast("long").alias("id"), vector.alias("v")))
+
+
+def _extent(rows: DataFrame) -> tuple[int, int, int]:
+    """Rows, largest absolute component and largest number of components."""
+    r = rows.agg(F.count(F.lit(1)), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))), F.max(F.size("v"))).first()
+    return r[0], r[1] or 0, r[2] or 0
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,16 +117,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float =
           vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The k candidates of the highest inner product for each query: query_id, rank (from 1), id_col, score.
 
-    Components become floor(scale * x), so scores are exact integers (scaled components beyond +-2**22 count as that
-    bound).  Ties go to the smaller id; a query's own id is no candidate.  Vectors that are null or hold a null or
+    Components become floor(scale * x), so scores are exact integers; where a score might exceed 64 bits, by the largest
+    components of both sides, a ValueError says so.  Ties go to the smaller id; a query's own id is no candidate.  Vectors that are null or hold a null or
     non-finite component take no part, nor do null ids.  Missing trailing components count as zero.  Of query rows
     with the same id the smallest vector asks; candidate rows that repeat an id each count.  A query that finds fewer
     than k candidates gets those; empty tables give an empty result.  Other columns are left out.
     """
     asked = scaled(queries, scale, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     held = scaled(candidates, scale, id_col, vector_col)
-    chunks = 1 + asked.count() // chunk_rows
-    blocks = 1 + held.count() // block_rows
+    (n_asked, most_asked, width_asked), (n_held, most_held, width_held) = _extent(asked), _extent(held)
+    if most_asked * most_held * min(width_asked, width_held) >= 1 << 63:
+        raise ValueError(f"scores may exceed 64 bits: components up to {most_asked} and {most_held}")
+    # components of ordinary vectors travel as 32-bit numbers
+    asked, held = (side.withColumn("v", F.col("v").cast("array<int>")) if most < 1 << 31 else side
+                   for side, most in ((asked, most_asked), (held, most_held)))
+    chunks = 1 + n_asked // chunk_rows
+    blocks = 1 + n_held // block_rows
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
     left = asked.select("id", "v", dealt(chunks, 1).alias("chunk"), spread(blocks).alias("block"))
