@@ -37,10 +37,10 @@ CONTENTS = 4
 BLOCK_BYTES = 8 << 20
 
 #: A fragment or window on its way to a block, and a finding: ``kind`` 1 is copied, 2 goes to step 2.
-_RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("start", "<i4"), ("n", "<i4")])
-_MARKS = pa.schema([("doc", pa.int64()), ("text", pa.int32()), ("kind", pa.int32()), ("start", pa.int32()),
+_RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("n", "<i4")])
+_MARKS = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()),
                     ("n", pa.int32())])
-_MARKS_DDL = "doc long, text int, kind int, start int, n int"
+_MARKS_DDL = "doc long, text long, kind int, start int, n int"
 _SENT = pa.schema([("block", pa.int32()), ("records", pa.binary()), ("marks", pa.binary())])
 
 
@@ -68,7 +68,7 @@ def _contents(found: np.ndarray) -> np.ndarray:
 
 def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64),
-            batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int32))
+            batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def fragments(batch: pa.RecordBatch, window: int, anchor: int = ANCHOR) -> np.ndarray:
@@ -208,10 +208,10 @@ def copied_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id (null sorts last), a hash that tells texts of one id apart, text (null is empty)."""
+    """Id (null sorts last), a 64-bit hash that tells texts of one id, or without one, apart, text (null is empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-                       F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("hash"), text.alias("text"))
+                       F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def _per_text(marks: DataFrame) -> DataFrame:
