@@ -15,8 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one source partition, or one piece of a shard, holds on average.
-ROWS_PER_PARTITION = 20_000
+from flowwarden.session import materialize
+
+#: Source partitions for each root of the number of rows: their number and their size both grow with the root, so that
+#: neither the matrix on the driver nor a window grows with the rows.
+PARTS_PER_ROOT = 1.0
+#: Equal rows that are told apart in one task.
+_REPEATS = 10_000
 _BITS = 32
 
 
@@ -70,22 +75,35 @@ def _bucket(key: Column, n: int) -> Column:
     return F.floor(F.shiftrightunsigned(key, 64 - _BITS) * F.lit(n) / F.lit(1 << _BITS)).cast("int")
 
 
+def _told_apart(key: DataFrame) -> DataFrame:
+    """The rows with a number for each of those that are equal; a row that many others equal is numbered in several tasks.
+
+    Equal rows are counted before they are shuffled and then made again, as nothing but their number is needed.
+    """
+    counted = key.groupBy("id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _REPEATS).cast("long")))
+    chunks = counted.withColumn("chunk", chunk).repartition("id", "size", "text_crc32", "chunk")
+    first = F.col("chunk") * _REPEATS
+    number = F.explode(F.sequence(first, F.least(first + _REPEATS, F.col("n")) - 1))
+    return chunks.select("id", "size", "text_crc32", number.alias("number"))
+
+
 def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 7, id_col: str = "doc_id",
-                   text_col: str = "text", rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+                   text_col: str = "text", parts_per_root: float = PARTS_PER_ROOT) -> DataFrame:
     """Deal all rows into ``n_shards`` shards whose sizes differ by one at most, in random order.
 
     Returns id, size (UTF-8 bytes of the text plus 8), text_crc32, shard and slot (0, 1, ... in each shard).  The
-    result depends on the rows, the seed and ``rows_per_partition`` alone, not on files or partitions.  A null id is
-    a value like any other, a null text counts as no bytes; rows that repeat entirely get slots of their own.  An
-    empty table gives an empty result.  Other columns are left out.
+    result depends on the rows, the seed and ``parts_per_root`` alone, not on files or partitions.  A null id is
+    a value like any other, a null text counts as no bytes; rows that repeat entirely are numbered, dealt one by one and
+    get slots of their own.  An empty table gives an empty result.  Other columns are left out.
     """
     spark = rows.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = rows.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"),
-                      F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    key = key.withColumn("k", F.xxhash64(F.lit(seed), "id", "text_crc32", "size"))
-    n_rows = rows.count()
-    parts = 16 + n_rows // rows_per_partition
+    key = _told_apart(rows.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"),
+                                  F.crc32(text.cast("binary")).cast("long").alias("text_crc32")))
+    key = materialize(key.withColumn("k", F.xxhash64(F.lit(seed), "id", "text_crc32", "size", "number")), "shard-keys")
+    n_rows = key.count()
+    parts = 16 + int(math.isqrt(n_rows) * parts_per_root)
     key = key.withColumn("part", _bucket("k", parts))
     counted = {r["part"]: r["count"] for r in key.groupBy("part").count().collect()}
     counts = [counted.get(p, 0) for p in range(parts)]
@@ -99,7 +117,7 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 7, id_col: str =
             ends.append(at)
         bounds.append((p, ends))
     table = spark.createDataFrame(bounds, "part int, ends array<long>")
-    permuted = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "k"), "k", "id", "size")
+    permuted = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "k"), "k", "id", "size", "number")
     sent = (key.withColumn("at", F.row_number().over(permuted)).join(table, "part")
             .withColumn("shard", F.size(F.filter("ends", lambda end: end < F.col("at"))).cast("int"))
             .withColumn("k2", F.xxhash64(F.lit(seed + 2), "k", "shard"))
@@ -108,7 +126,7 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 7, id_col: str =
     begins = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sent.groupBy("shard", "piece").count()
                .select("shard", "piece", F.coalesce(F.sum("count").over(begins), F.lit(0)).alias("begin")))
-    again = Window.partitionBy("shard", "piece").orderBy("k2", "k", "id", "size")
+    again = Window.partitionBy("shard", "piece").orderBy("k2", "k", "id", "size", "number")
     return (sent.withColumn("within", F.row_number().over(again)).join(offsets, ["shard", "piece"])
             .select(F.col("id").alias(id_col), "size", "text_crc32", "shard",
                     (F.col("begin") + F.col("within") - 1).cast("long").alias("slot")))
