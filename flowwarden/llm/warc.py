@@ -44,18 +44,24 @@ class Archive:
     payloads: DataFrame
 
 
-def _header(page: Column, url: Column, kind: Column, first: Column, sha1: Column, length: Column) -> Column:
+#: The profile of a revisit to an equal payload, and the type of the payloads.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CONTENT_TYPE = "text/html; charset=utf-8"
+
+
+def _header(page: Column, url: Column, kind: Column, first: Column, sha1: Column, length: Column, date: str) -> Column:
     """The record's header block, up to and with the empty line before its content."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
     block = F.when(kind == "response", length).otherwise(F.lit(0))
     return F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind),
+        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Date", F.lit(date)),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))),
         F.when(url.isNotNull(), line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "%0A"))).otherwise(""),
         F.when(kind == "revisit", line("WARC-Refers-To", F.concat(
             F.lit("<urn:page:"), F.coalesce(first.cast("string"), F.lit("none")), F.lit(">")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         line("WARC-Payload-Length", length.cast("string")),
+        F.when(kind == "revisit", line("WARC-Profile", F.lit(PROFILE))).otherwise(line("Content-Type", F.lit(CONTENT_TYPE))),
         line("Content-Length", block.cast("string")), F.lit(CRLF)).cast("binary")
 
 
@@ -64,12 +70,12 @@ def _copies(n_records: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url",
-                  payload_col: str = "html") -> Archive:
+                  payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Archive one record per row; of records with equal payloads the smallest id holds it, the others revisit it.
 
     Payloads shorter than ``least`` bytes are responses in every record.  A null payload is empty, a null id sorts
     last, a null URL leaves its line out (line ends in a URL become %0A).  Rows that repeat the id of the holder are
-    responses too; their payload is still kept once.  An empty table gives an empty archive.  Other columns are left out.
+    responses too; their payload is still kept once.  ``date`` is the capture time of all records (the rows have none).  An empty table gives an empty archive.  Other columns are left out.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     seen = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -85,7 +91,7 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
         .otherwise("revisit")), "warc-records")
     headers = records.select("page_id", "sha256", _header(
         F.col("page_id"), F.col("url"), F.col("record_type"), F.col("first"), F.col("payload_digest"),
-        F.col("payload_bytes")).alias("header"), F.pmod(F.monotonically_increasing_id(), F.col("copies")).alias("copy"))
+        F.col("payload_bytes"), date).alias("header"), F.pmod(F.monotonically_increasing_id(), F.col("copies")).alias("copy"))
     # one copy of each payload leaves a map task, whatever the number of records that share it
     stored = (pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).groupBy("sha256")
               .agg(F.first("payload").alias("payload"), _copies(F.count("*")).alias("copies"))
