@@ -197,7 +197,7 @@ def test_shards_are_uniform(spark):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     seen = collections.Counter()
     for seed in range(12):
-        for r in sharding.uniform_shards(df, 4, seed=seed, rows_per_partition=20).where("doc_id < 4").collect():
+        for r in sharding.uniform_shards(df, 4, seed=seed, parts_per_root=2.0).where("doc_id < 4").collect():
             seen[r.shard] += 1
     assert min(seen[s] for s in range(4)) >= 3
 
