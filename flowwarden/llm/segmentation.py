@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.words import BYTE_BASE, OTHER_BASE, WORD_BASE, mix, powers, slices
+from flowwarden.llm.words import BYTE_BASE, MIX_1, MIX_2, OTHER_BASE, WORD_BASE, mix, powers, slices
 
 #: Fixed value: the character that stands for a space inside pieces.
 SPACE = 0x2581
 _LITERAL = 0x110001  # the same character in a text, which must not become a space
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
+_ALL = (1 << 64) - 1
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -211,7 +212,6 @@ class Lattice:
         At each node an edge has its probability less that of the excluded paths that go on through it.
         """
         at, path, log = int(self.begin[chunk]), [], 0.0
-        key = np.array([key], np.uint64)
         while at != self.last:
             edges = self._edges(at)
             alike = [x for x in excluded if list(x[:len(path)]) == path]
@@ -220,7 +220,7 @@ class Lattice:
                 rest = chance - sum(self._chance(at, x[len(path):]) for x in alike if x[len(path)] == piece)
                 if rest > 1e-15 * chance:
                     free[piece] = rest
-            u = float(_uniform(key, 1000 + len(path))[0]) * sum(free.values())
+            u = _uniform_of(key, 1000 + len(path)) * sum(free.values())
             for piece, rest in free.items():
                 u -= rest
                 if u < 0:
@@ -248,6 +248,14 @@ def _uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return ((mix(keys + np.uint64((step + 1) * BYTE_BASE & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _uniform_of(key: int, step: int) -> float:
+    """The same number for one key, without an array."""
+    x = (key + (step + 1) * BYTE_BASE) & _ALL
+    x = ((x ^ (x >> 30)) * MIX_1) & _ALL
+    x = ((x ^ (x >> 27)) * MIX_2) & _ALL
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
 def _gumbel_below(location: np.ndarray, top: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Gumbel variables of the given locations, none above ``top``."""
     with np.errstate(over="ignore", divide="ignore"):
@@ -366,11 +374,11 @@ def sample_texts(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, sam
     pieces, ends, log = lattice.sample(kind, chunk_keys)
     piece_start = np.r_[0, ends]
     state: list[_Text] = []
+    highest = -np.log(-np.log(_uniform(keys, 7000)))
     for i, key in enumerate(keys.tolist()):
         a, b = chunk_start[i], chunk_start[i + 1]
         own = pieces[piece_start[a]:piece_start[b]], ends[a:b] - piece_start[a], log[a:b]
-        first = float(-np.log(-np.log(_uniform(np.array([key], np.uint64), 7000)))[0])
-        state.append(_Text(kind[a:b], key, [own], [first], []))
+        state.append(_Text(kind[a:b], key, [own], [float(highest[i])], []))
     _split([(s, s.values[0], 0, []) for s in state if len(s.chunks)])
     for n in range(1, samples):
         taken = [(i, got) for i, s in enumerate(state) if len(s.paths) == n and (got := s.take())]
