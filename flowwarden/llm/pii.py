@@ -1,14 +1,19 @@
 """Personal data: fixed patterns, and spans that a character-level bidirectional LSTM with CRF transitions adds.
 
-The network is trained in numpy on windows around digits and at signs of a bounded sample of texts, whose labelled
-spans are those of the patterns.  It then reads overlapping windows of every text; each window is decoded with the
-Viterbi path and the posterior of its tags, and the findings of all windows are reconciled over the whole text by
-weighted interval scheduling.  All four kinds need a digit or an at sign, so windows without either hold nothing.
+The network is trained in numpy on windows around digits and at signs of a bounded sample of texts.  Labelled spans are
+those of the patterns, and the same data written in ways that the patterns do not know: other separators, spaced
+or bracketed points and at signs, no plus sign; look-alikes that are no personal data stay unlabelled.  The network then
+reads overlapping windows of every text; each window is decoded with the Viterbi path and the posterior of its tags, spans
+that cross windows are taken from the middles of neighbouring ones, and all findings are reconciled over the whole
+text by weighted interval scheduling.  All four kinds need a digit or an at sign, so windows without either hold nothing.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,12 +91,65 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+# -- the same data written otherwise
+
+#: How a span of each kind may be written; ``{0}`` and so on are its parts.
+_JOINS = {"email": (" @ ", "@", " @"), "ip": (" . ", "[.]", "(.)", ". "), "card": (".", "/", "_", " - "), "phone": ("", "00", "tel ", "(")}
+
+
+def _written_otherwise(kind: str, span: str) -> tuple[str, int, int]:
+    """A span in another way of writing, chosen by its digest, and where the data begins and ends in it.
+
+    An empty range marks a look-alike that is no personal data.
+    """
+    choice = zlib.crc32(span.encode())
+    join = _JOINS[kind][choice % len(_JOINS[kind])]
+    digits, fake = _only_digits(span), choice // 7 % 4 == 0
+    if kind == "email":
+        local, domain = span.rsplit("@", 1)
+        if fake:
+            text = f"@{local}"
+        else:
+            text = local + join + (domain if join != "@" else domain.replace(".", " . "))
+    elif kind == "ip":
+        parts = span.split(".")
+        text = ".".join(parts[:3]) if fake else join.join(parts)
+    elif kind == "card":
+        text = digits[:7] if fake else join.join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    elif fake:
+        text = digits[:8]
+    else:
+        rest = span[1:]
+        if join == "(":
+            text = f"({digits[:3]}) {digits[3:6]}-{digits[6:]}"
+        elif join == "tel ":
+            return f"tel {rest}", 4, 4 + len(rest)
+        else:
+            text = join + rest
+    return (text, 0, 0) if fake else (text, 0, len(text))
+
+
+def varied(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its spans written otherwise, and the spans of the result; overlapping ones are left out."""
+    out, found, at, size = [], [], 0, 0
+    for kind, start, end in spans:
+        if start >= at:
+            word, low, high = _written_otherwise(kind, text[start:end])
+            out += [text[at:start], word]
+            size += start - at
+            if high > low:
+                found.append((kind, size + low, size + high))
+            size += len(word)
+            at = end
+    return "".join([*out, text[at:]]), found
+
+
 # -- windows
 
 #: Characters of a window, distance of windows, characters around a digit or at sign that are read.
 WIDTH, STRIDE, AROUND = 64, 32, 24
 #: Bounds of the training sample: texts with a digit or at sign, and windows.
-MOST_TEXTS, MOST_WINDOWS = 1500, 600
+MOST_TEXTS, MOST_WINDOWS = 1500, 1200
 _SPECIAL = "@.-+() _%:/#,\n"
 _CLASS = np.full(129, 4, np.int64)  # 0 pads, 1 lower, 2 upper, 3 digit, 4 other, 5 beyond ASCII, then one each
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128] = 1, 2, 3, 5
@@ -258,7 +316,7 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 32, rate:
 # -- added spans
 
 #: Smallest posterior of any tag of an added span.
-SURE = 0.9
+SURE = 0.5
 
 
 def _plausible(kind: str, text: str) -> bool:
@@ -291,35 +349,81 @@ def _read(tags: np.ndarray, chance: np.ndarray, start: int, length: int) -> Iter
             t += 1
 
 
+def _across(parts: list[tuple[int, np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[float, Span]]:
+    """Spans that no window holds whole: of neighbouring windows each gives its middle, the outer ones their edges too."""
+    at = 0
+    while at < len(parts):
+        last = at
+        while last + 1 < len(parts) and parts[last + 1][0] == parts[last][0] + STRIDE:
+            last += 1
+        if last > at:
+            start, margin = parts[at][0], (WIDTH - STRIDE) // 2
+            cuts = [(0 if i == at else margin, WIDTH if i == last else WIDTH - margin) for i in range(at, last + 1)]
+            tags = np.concatenate([parts[i][1][low:high] for i, (low, high) in zip(range(at, last + 1), cuts)])
+            sure = np.concatenate([parts[i][2][np.arange(low, high), parts[i][1][low:high]]
+                                   for i, (low, high) in zip(range(at, last + 1), cuts)])
+            for t in np.flatnonzero(tags % 2 == 1).tolist():
+                end = t + 1
+                while end < len(tags) and tags[end] == tags[t] + 1:
+                    end += 1
+                whole = (t > 0 or start == 0) and (end < len(tags) or start + len(tags) >= length)
+                if whole and start + end <= length:
+                    yield float(sure[t:end].min()), (KINDS[tags[t] // 2], start + t, start + end)
+        at = last + 1
+
+
 def reconcile(found: dict[Span, float]) -> list[Span]:
     """The set of spans that do not overlap and whose lengths, weighted by certainty, add up highest."""
     spans = sorted(found, key=lambda s: (s[2], s[1], s[0]))
-    best: list[tuple[float, list[Span]]] = [(0.0, [])]
     ends = [s[2] for s in spans]
+    best, taken = [0.0], []
     for i, span in enumerate(spans):
-        with_it = best[int(np.searchsorted(ends[:i], span[1], "right"))]
-        value = with_it[0] + found[span] * (span[2] - span[1])
-        best.append((value, [*with_it[1], span]) if value > best[-1][0] else best[-1])
-    return best[-1][1]
+        before = bisect.bisect_right(ends, span[1], 0, i)
+        value = best[before] + found[span] * (span[2] - span[1])
+        taken.append(before if value > best[-1] else -1)
+        best.append(max(value, best[-1]))
+    out, i = [], len(spans)
+    while i:
+        if taken[i - 1] >= 0:
+            out.append(spans[i - 1])
+            i = taken[i - 1]
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def _beside(added: list[Span], base: list[Span]) -> list[Span]:
+    """Added spans that overlap no base span; base spans come by start and may overlap each other."""
+    starts = [b[1] for b in base]
+    reach = list(itertools.accumulate((b[2] for b in base), max))
+    return [s for s in added if (i := bisect.bisect_left(starts, s[2])) == 0 or reach[i - 1] <= s[1]]
 
 
 def all_spans(texts: list[str], net: Network, sure: float = SURE) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all spans: base ones and those that the network adds beside them."""
     where = [(i, s) for i, text in enumerate(texts) for s in windows_of(text)]
     found: list[dict[Span, float]] = [{} for _ in texts]
+    decoded: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+
+    def add(i: int, certain: float, span: Span) -> None:
+        if certain >= sure and _plausible(span[0], texts[i][span[1]:span[2]]):
+            found[i][span] = max(certain, found[i].get(span, 0.0))
+
     for low in range(0, len(where), 256):
         part = where[low:low + 256]
         e = net.emissions(np.stack([classes_of(texts[i], s) for i, s in part]))[0]
         paths, chance = net.paths(e), net.chances(e)[3]
         for (i, s), path, p in zip(part, paths, chance):
             if path.any():
+                decoded[i].append((s, path, p))
                 for certain, span in _read(path, p, s, len(texts[i])):
-                    if certain >= sure and _plausible(span[0], texts[i][span[1]:span[2]]):
-                        found[i][span] = max(certain, found[i].get(span, 0.0))
+                    add(i, certain, span)
     out = []
-    for text, more in zip(texts, found):
+    for i, (text, parts) in enumerate(zip(texts, decoded)):
+        for certain, span in _across(parts, len(text)):
+            add(i, certain, span)
         base = base_spans(text) if _MARK.search(text) else []
-        added = [s for s in reconcile(more) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        added = _beside(reconcile(found[i]), base)
         out.append((base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))))
     return out
 
@@ -350,15 +454,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
-            for s in windows_of(text):
-                rows.append((classes_of(text, s).astype(np.uint8).tobytes(), tags_of(spans, s).astype(np.uint8).tobytes()))
+            kinds = [(text, spans)]
+            if spans:
+                other, known = varied(text, spans)
+                known = sorted(known + _beside(base_spans(other), known), key=lambda s: s[1])
+                kinds.append((other, known))
+            for given, labels in kinds:
+                for s in windows_of(given):
+                    rows.append((classes_of(given, s).astype(np.uint8).tobytes(), tags_of(labels, s).astype(np.uint8).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["x", "y"])
 
 
 def fit(docs: DataFrame, text_col: str = "text", most_texts: int = MOST_TEXTS, most_windows: int = MOST_WINDOWS) -> Network:
     """Train on windows of at most ``most_texts`` texts that hold a digit or at sign, at most ``most_windows`` of them.
 
-    The labelled spans are those of the patterns.  Distinct texts and distinct windows of the smallest hashes are taken,
+    The labelled spans are those of the patterns, as written and written otherwise (see :func:`varied`).  Distinct texts and distinct windows of the smallest hashes are taken,
     so that the same texts give the same network, however often each is repeated.
     """
     marked = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
