@@ -1,13 +1,14 @@
 """Cases that once gave wrong results, and plain forms of two operators."""
 
 import collections
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowwarden.llm import nbsvm, sharding, substring, topk, warc
+from flowwarden.llm import nbsvm, pii, sharding, substring, topk, warc
 
 
 def test_scores_of_large_components(spark):
@@ -113,3 +114,41 @@ def test_header_blocks_hold_the_mandatory_fields(spark):
         names = [line.split(": ")[0] for line in bytes(r.header).decode().split("\r\n")[1:] if line]
         assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(names)
         assert ("WARC-Profile" in names) == (r.record_type == "revisit") != ("Content-Type" in names)
+
+
+def test_the_network_adds_spans_written_otherwise(spark, sf_dir):
+    """Trained on half of the texts, read on the other half: precision and recall of spans that the patterns do not know."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet").select("text").distinct()
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    net = pii.fit(docs.where(half == 0))
+    hit = missed = false = plain = 0
+    for r in docs.where((half == 1) & F.col("text").rlike("[0-9@]")).collect():
+        base = pii.base_spans(r.text)
+        (_, every), = pii.all_spans([r.text], net)
+        plain += len(every) - len(base)
+        text, known = pii.varied(r.text, base)
+        (own, every), = pii.all_spans([text], net)
+        want, got = set(pii._beside(known, own)), set(every) - set(own)
+        hit, missed, false = hit + len(want & got), missed + len(want - got), false + len(got - want)
+    assert hit > 50 and hit / (hit + missed) > 0.8 and hit / (hit + false) > 0.95 and plain <= 2
+
+
+def test_spans_across_windows_and_reconciliation():
+    tags, chance = np.zeros(160, np.int64), np.full((160, pii.N_TAGS), 0.01)
+    tags[20:130] = 2
+    tags[20] = 1
+    chance[np.arange(160), tags] = 0.8
+    parts = [(s, tags[s:s + 64].copy(), chance[s:s + 64]) for s in (0, 32, 64, 96)]
+    parts[1][1][0] = 0  # an edge of a window that its neighbour reads better
+    assert list(pii._across(parts, 160)) == [(0.8, ("email", 20, 130))]
+    rng = random.Random(3)
+    for _ in range(200):
+        found = {("ip", a, a + rng.randint(1, 9)): rng.random() for a in (rng.randrange(30) for _ in range(8))}
+        kept = pii.reconcile(found)
+        assert all(a[2] <= b[1] for a, b in zip(kept, kept[1:]))
+        best = max((sum(found[s] * (s[2] - s[1]) for s in c) for n in range(9) for c in itertools.combinations(sorted(found), n)
+                    if all(a[2] <= b[1] for a, b in zip(sorted(c, key=lambda s: s[1]), sorted(c, key=lambda s: s[1])[1:]))))
+        assert sum(found[s] * (s[2] - s[1]) for s in kept) == pytest.approx(best)
+        base = sorted((("ip", a, a + rng.randint(1, 9)) for a in (rng.randrange(30) for _ in range(4))), key=lambda s: s[1])
+        want = [s for s in kept if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        assert pii._beside(kept, base) == want
