@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.standins import (FLOWS_SQL, NETFLOWS_SQL, flows, halves, netflows, r6, table)
+from flowwarden.functions import records, times
 from flowwarden.functions.flow_features import feature_row, flow_features
+from flowwarden.functions.vectors import finite_or
 from flowwarden.operators import cleaning, encoding, scaling, splitting
 from flowwarden.plans import preprocessing
 
@@ -25,9 +27,9 @@ WITH {FLOWS_SQL}
 SELECT traffic_class, flow_id FROM (
   SELECT *, row_number() OVER (PARTITION BY traffic_class
                                ORDER BY md5('42|' || CAST(flow_id AS VARCHAR)), flow_id) AS rn FROM flows)
-WHERE rn <= 3000""")
+WHERE rn <= 100""")
 def sample_per_class(spark, sf_dir):
-    return splitting.sample_per_group(flows(spark, sf_dir), "traffic_class", "flow_id").select(
+    return splitting.sample_per_group(flows(spark, sf_dir), "traffic_class", "flow_id", 100).select(
         "traffic_class", "flow_id")
 
 
@@ -298,3 +300,65 @@ SELECT source AS traffic_class, count(*) AS rows FROM documents GROUP BY source"
 def non_empty_classes(spark, sf_dir):
     return cleaning.non_empty_classes(
         table(spark, sf_dir, "documents").withColumnRenamed("source", "traffic_class"))
+
+
+@query("featurize_selected", f"""
+WITH {FLOWS_SQL},
+codes AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS code
+          FROM (SELECT weekday AS word FROM halves WHERE split = 'index' UNION SELECT 'unknown')),
+enc AS (SELECT h.*, CAST(coalesce(code, (SELECT code FROM codes WHERE word = 'unknown')) AS DOUBLE) AS weekday_le
+        FROM halves h LEFT JOIN codes ON weekday = word),
+long AS (SELECT flow_id, split, traffic_class, unnest([0, 1, 2, 3]) AS pos, unnest([hr, k, value, weekday_le]) AS x FROM enc),
+whole AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n, sum(x * x) - sum(x) * sum(x) / count(*) AS total
+          FROM long WHERE split = 'index' GROUP BY pos),
+between_ AS (SELECT pos, sum(n * (cm - m) * (cm - m)) AS ssb, count(*) AS classes FROM (
+  SELECT l.pos, traffic_class, avg(x) AS cm, count(*) AS n FROM long l WHERE split = 'index' GROUP BY l.pos, traffic_class)
+  JOIN (SELECT pos, m FROM whole) USING (pos) GROUP BY pos),
+chosen AS (SELECT pos, m, s FROM whole JOIN between_ USING (pos)
+           QUALIFY row_number() OVER (ORDER BY (ssb / (classes - 1)) / ((total - ssb) / (n - classes)) DESC, pos) <= 2),
+out_ AS (SELECT flow_id, list(round((x - m) / s, 6) ORDER BY pos) AS f FROM long JOIN chosen USING (pos)
+         WHERE split = 'test' GROUP BY flow_id)
+SELECT flow_id, f[1] AS f0, f[2] AS f1, len(f) AS kept FROM out_""")
+def featurize_selected(spark, sf_dir):
+    """Two of four features are kept, those of the highest ANOVA F."""
+    both = halves(spark, sf_dir)
+    index = both.where("split = 'index'").drop("flow_id", "ts", "user_id")
+    space = preprocessing.fit(index, k=2, categorical=["weekday"])
+    out = space.featurize(both.where("split = 'test'"), ["flow_id"])
+    return out.select("flow_id", *[r6(F.col("features")[i]).alias(f"f{i}") for i in range(2)], F.size("features").alias("kept"))
+
+
+@query("finite_distances", """
+SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 1 THEN 1000000 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000 ELSE o_totalprice END, 6) AS dist
+FROM orders""")
+def finite_distances(spark, sf_dir):
+    """NaN and infinite distances read as a large one."""
+    rest = F.col("o_orderkey") % 4
+    odd = F.when(rest == 1, float("nan")).when(rest == 2, float("inf")).when(rest == 3, float("-inf")).otherwise(F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", r6(finite_or(odd)).alias("dist"))
+
+
+@query("time_conversions", """
+SELECT event_id, epoch(ts) AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN ''
+         ELSE strftime(ts, '.%f') END AS iso,
+       strftime(ts, '%Y%m%d_%H%M%S') AS stamp, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, true AS same FROM events""")
+def time_conversions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seconds = times.to_epoch(F.col("ts"))
+    return e.select("event_id", seconds.alias("seconds"), times.iso(F.col("ts")).alias("iso"), times.to_stamp(F.col("ts")).alias("stamp"),
+                    times.display(F.col("ts")).alias("shown"), (times.from_epoch(seconds) == F.col("ts")).alias("same"))
+
+
+@query("json_records", """
+SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0
+         THEN '' ELSE strftime(ts, '.%f') END || '","event_type":"' || event_type || '","odd":'
+       || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id AS VARCHAR) || '.5' END || ',"nested":{"list":['
+       || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE '1.0' END || ',2.0]},"none":null}' AS record
+FROM events""")
+def json_records(spark, sf_dir):
+    """Rows as JSON text, with what JSON has no form for."""
+    odd = F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("event_id") + 0.5)
+    pair = F.array(F.when(F.col("event_id") % 2 == 0, float("inf")).otherwise(1.0), F.lit(2.0))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", odd.alias("odd"),
+                                              F.struct(pair.alias("list")).alias("nested"), F.lit(None).cast("date").alias("none"))
+    return e.select("event_id", records.json_record(e.schema).alias("record"))

@@ -146,6 +146,27 @@ def classify_flows_two_rounds(spark, sf_dir):
     return _round_result(classify.classify_flows(index, _raw_queries(spark, sf_dir), rounds=2))
 
 
+_COARSE_SQL = "floor(q.k / 16) - floor(r.k / 16)", "floor(q.hr / 4) - floor(r.hr / 4)"
+
+
+@query("classify_flows_copies", f"""
+WITH {FLOWS_SQL},
+pairs AS (
+  SELECT q.flow_id AS query_id, r.traffic_class AS grp, r.flow_id AS row_id,
+         pow({_COARSE_SQL[0]}, 2) + pow({_COARSE_SQL[1]}, 2) AS dist
+  FROM halves q, halves r WHERE q.split = 'test' AND r.split = 'index'),
+top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY dist, row_id) AS rank FROM pairs)
+  WHERE rank <= 10), {CLASSIFY_SQL}
+SELECT query_id AS flow_id, classification, round(confidence, 6) AS confidence, attack_type FROM decided""")
+def classify_flows_copies(spark, sf_dir):
+    """Coarse vectors with about ten copies of each in every class: k neighbours that are all copies score 0."""
+    coarse = F.array(F.floor(F.col("k") / 16).cast("double"), F.floor(F.col("hr") / 4).cast("double"))
+    both = halves(spark, sf_dir)
+    index = knn.build_cells(knn.reference_rows(both.where("split = 'index'"), "flow_id", coarse, "traffic_class"))
+    return _round_result(classify.classify_flows(index, knn.query_rows(both.where("split = 'test'"), "flow_id", coarse)))
+
+
 _SIMILAR = f"""
 WITH {FLOWS_SQL},
 pairs AS (

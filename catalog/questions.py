@@ -113,3 +113,28 @@ SELECT flow_id, attack_vector AS attack_type, CASE WHEN ts = 1 THEN 'HIGH' ELSE
 FROM stored""")
 def available_analyses(spark, sf_dir):
     return qs.available(stored(spark, sf_dir))
+
+
+def _counting_model():
+    def generate(prompts):
+        if any(len(p) % 11 == 0 for p in prompts):
+            raise ValueError("cannot answer")
+        return [f"{len(p)} characters" for p in prompts]
+
+    return generate
+
+
+@query("question_answers_model", f"""
+WITH {QUESTIONS_SQL},
+prompts AS (SELECT *, length({_quote(txt.QUESTION_HEAD)} || {_ANALYSIS_JSON} || chr(10) || chr(10) || 'USER QUESTION: ' || question
+                             || {_quote(txt.QUESTION_TAIL)}) AS n FROM clean JOIN stored USING (flow_id) WHERE question <> '')
+SELECT id AS question_id, flow_id, question, 'r' || id AS requester_id, true AS timed, n % 11 = 0 AS error,
+       CASE WHEN n % 11 = 0 THEN 'Error processing question: model call failed' ELSE n || ' characters' END AS answer
+FROM prompts""")
+def question_answers_model(spark, sf_dir):
+    """Answers of a model that fails on some prompts, with their requester; the time of a call is kept."""
+    q = asked(spark, sf_dir).withColumns({"question_id": F.col("id"), "timestamp": F.col("turn").cast("string"),
+                                          "requester_id": F.concat(F.lit("r"), "id")})
+    answers, _ = qs.answer_questions(q, stored(spark, sf_dir), _counting_model)
+    return answers.select("question_id", "flow_id", "question", "requester_id", (F.col("inference_time") > 0).alias("timed"),
+                          "error", "answer")

@@ -10,25 +10,6 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-
-
-def unit(v: Column) -> Column:
-    """``v`` scaled to length 1; an all-zero vector stays zero."""
-    # the length is an argument, not part of the lambda, which would recompute it for every element
-    length = F.array_repeat(norm(v), F.size(v))
-    return F.zip_with(v, length, lambda x, n: F.when(n > 0, x / n).otherwise(x))
-
-
 def all_zero(v: Column) -> Column:
     return F.forall(v, lambda x: x == 0)
 

@@ -73,10 +73,6 @@ def clean_flows_legacy(df: DataFrame) -> DataFrame:
     return clean_flows(df, UNKNOWN, LEGACY_NUMERIC, LEGACY_CATEGORICAL)
 
 
-def drop_labels(df: DataFrame) -> DataFrame:
-    return df.drop(*LABELS, "Seq")
-
-
 def align(df: DataFrame, columns: list[str], fill: float = 0.0) -> DataFrame:
     """Exactly ``columns`` in that order: missing ones filled, extra ones dropped."""
     present = set(df.columns)

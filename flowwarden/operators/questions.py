@@ -59,11 +59,6 @@ def question_id(*columns: str):
     return stable_id("q", *[F.col(c) for c in columns])
 
 
-def served_order(work: DataFrame) -> DataFrame:
-    """Questions before analyses, then by time, then by id."""
-    return work.orderBy("priority", "ts", "id")
-
-
 def answer(admitted_questions: DataFrame, factory: GeneratorFactory | None = None, attempts: int = 3) -> DataFrame:
     """Add ``prompt``, ``answer``, ``response_source``, ``inference_time`` and ``error``; without a model a fixed answer."""
     q = admitted_questions.withColumn("prompt", question_prompt(F.col("analysis"), F.col("question")))

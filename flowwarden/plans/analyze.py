@@ -9,7 +9,7 @@ from flowwarden.functions.hashing import stable_id
 from flowwarden.functions.models import (EmbedderFactory, GeneratorFactory, call, embed, hashing_embedder, spread,
                                          template_generator)
 from flowwarden.functions.responses import parse_responses
-from flowwarden.functions.text import (FULL_TEXT, PREVIEW, SNIPPET, analysis_prompt, document_metadata, document_text,
+from flowwarden.functions.text import (FULL_TEXT, PREVIEW, SNIPPET, analysis_prompt, document_metadata, document_text, fill,
                                        search_text, shorten)
 from flowwarden.functions.times import to_epoch
 from flowwarden.operators import history
@@ -30,6 +30,14 @@ ALIASES = {
 }
 
 
+# What a payload shows where an analysis lacks a field; ``{kind}`` is the attack type, ``{src_ip}`` the source.
+PAYLOAD_LEVEL, PAYLOAD_RISK, PAYLOAD_CONFIDENCE = "HIGH", 75, 0.8
+PAYLOAD_VECTOR = "{kind} attack detected"
+PAYLOAD_IMPACT = "Potential {kind} attack detected"
+PAYLOAD_ANALYSIS = "Detailed analysis of {kind} attack pattern"
+PAYLOAD_ACTIONS = ["Block source IP {src_ip}", "Monitor for similar patterns", "Alert security team"]
+
+
 def standard_fields(df: DataFrame, keep: list[str] = ("flow_id", "attack_type", "ts")) -> DataFrame:
     """Flow fields under one naming, whatever alias they arrive under."""
     present = set(df.columns)
@@ -101,25 +109,23 @@ def analysis_payload(results: DataFrame) -> DataFrame:
     """Nested record for consumers, with the defaults of an incomplete analysis."""
     a = F.col("analysis")
     kind = F.col("attack_type")
-    default_actions = F.array(F.concat(F.lit("Block source IP "), F.col("src_ip")),
-                              F.lit("Monitor for similar patterns"), F.lit("Alert security team"))
+    shown = {"kind": kind, "src_ip": F.col("src_ip")}
+    default_actions = F.array(*[fill(text, shown) for text in PAYLOAD_ACTIONS])
     rag = F.coalesce(a["rag_assisted"], F.lit(False))
     seconds = F.coalesce("inference_time", F.lit(0.0)) if "inference_time" in results.columns else F.lit(0.0)
     details = F.struct(
-        F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.col("protocol").alias("protocol"),
+        F.coalesce("confidence", F.lit(PAYLOAD_CONFIDENCE)).alias("confidence"), F.col("protocol").alias("protocol"),
         seconds.alias("analysis_time"), rag.alias("rag_assisted"), F.coalesce("rag_context_used", F.lit(False)).alias("rag_context_used"))
     return results.select(
         F.struct(F.col("flow_id").alias("id"), "src_ip", "dst_ip", "protocol", "attack_type", "timestamp").alias("flow"),
         F.struct(
-            F.col("flow_id"), F.coalesce(a["threat_level"], F.lit("HIGH")).alias("threat_level"),
-            F.coalesce(a["risk_score"], F.lit(75)).alias("risk_score"), kind.alias("attack_type"),
-            F.coalesce(a["attack_vector"], F.concat(kind, F.lit(" attack detected"))).alias("attack_vector"),
-            F.coalesce(a["potential_impact"], F.concat(F.lit("Potential "), kind, F.lit(" attack detected")))
-            .alias("description"),
+            F.col("flow_id"), F.coalesce(a["threat_level"], F.lit(PAYLOAD_LEVEL)).alias("threat_level"),
+            F.coalesce(a["risk_score"], F.lit(PAYLOAD_RISK)).alias("risk_score"), kind.alias("attack_type"),
+            F.coalesce(a["attack_vector"], fill(PAYLOAD_VECTOR, shown)).alias("attack_vector"),
+            F.coalesce(a["potential_impact"], fill(PAYLOAD_IMPACT, shown)).alias("description"),
             F.coalesce(a["immediate_actions"], default_actions).alias("recommendations"),
             details.alias("technical_details"),
-            F.coalesce(a["technical_analysis"], F.concat(F.lit("Detailed analysis of "), kind,
-                                                         F.lit(" attack pattern"))).alias("technical_analysis"),
+            F.coalesce(a["technical_analysis"], fill(PAYLOAD_ANALYSIS, shown)).alias("technical_analysis"),
             F.col("analysis_number"), rag.alias("rag_assisted")).alias("analysis"))
 
 

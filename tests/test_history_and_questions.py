@@ -156,11 +156,6 @@ def test_available(spark):
         ("b", "Unknown", "Unknown"), ("a", "Unknown", "2024")]
 
 
-def test_served_order(spark):
-    work = spark.createDataFrame([(1, 1, "a"), (0, 9, "b"), (0, 9, "a"), (0, 2, "z")], "priority int, ts int, id string")
-    assert [(r["priority"], r["id"]) for r in questions.served_order(work).collect()] == [(0, "z"), (0, "a"), (0, "b"), (1, "a")]
-
-
 def test_newest_analysis_of_a_flow_counts(spark):
     asked = spark.createDataFrame([("f1", "why?")], "flow_id string, question string")
     stored = spark.createDataFrame([("f1", "new", 2), ("f1", "old", 1), ("f2", "x", 1)],
