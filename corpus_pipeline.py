@@ -14,8 +14,9 @@ from flowwarden.llm.queries import MODEL, SAMPLES
 from flowwarden.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose quality score is below this go.
-REJECTED_BELOW = 0.2
+#: Documents whose quality score is below this go.  Of 990 held-out labelled documents this loses none of 854 good ones and
+#: keeps 2 of 136 bad ones (0.2: none and 5; 0.5: 3 and 2).
+REJECTED_BELOW = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
