@@ -11,6 +11,7 @@ of each k-mer and the repeats part there, so that only repeats need their runs c
 
 from __future__ import annotations
 
+import collections
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -92,15 +93,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(same / F.greatest(either, F.lit(1)))
 
 
-def _bucket(bounds: list[int], key: Column) -> Column:
-    """How many sorted bounds are below the key, looked up in two steps."""
+def _range(tie: Column, n: Column) -> Column:
+    """The range of equal width, of ``n``, into which a signed 64-bit hash falls, in ascending order."""
+    upper = _shift("shiftrightunsigned", tie.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 32)
+    return F.floor(upper * n / F.lit(1 << 32)).cast("long")
+
+
+def _bucket(cuts: list[int], parts: int, key: Column, tie: Column) -> Column:
+    """Ranges of (id, tie) in ascending order, nulls lowest, from the sorted quantiles of the ids.
+
+    The bounds are looked up in two steps.  An id that several quantiles hit is as many ranges of the hash ``tie``; all
+    rows without an id are ``parts`` of them.
+    """
+    bounds, often = sorted(set(cuts)), {c: n for c, n in collections.Counter(cuts).items() if n > 1}
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i:i + step] for i in range(0, len(bounds), step)] or [[]]
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
     below = lambda values: F.size(F.filter(values, lambda b: b < key))
     group = below(longs([g[-1] for g in groups if g]))
     inner = F.coalesce(below(F.get(F.array(*map(longs, groups)), group)), F.lit(0))
-    return F.when(key.isNull(), -1).otherwise(group * step + F.greatest(inner, F.lit(0)))
+    primary, width = group * step + F.greatest(inner, F.lit(0)), parts + 2
+    second = F.lit(0).cast("long")
+    if often:
+        times = F.try_element_at(F.map_from_arrays(longs(list(often)), longs(list(often.values()))), key)
+        second = F.when(times.isNotNull(), 1 + _range(tie, times)).otherwise(second)
+    return F.when(key.isNull(), _range(tie, F.lit(parts)) - width).otherwise(primary * F.lit(width).cast("long") + second)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,8 +135,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_rows = rows.count()
     parts = 2 + math.isqrt(n_rows)
     cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"]
-    bucketed = rows.withColumn("bucket", _bucket(sorted(set(cuts or [])), F.col("id")).cast("int"))
-    # the first row of each bucket follows the last row of the bucket before; there are ``parts`` of them at most
+    bucketed = rows.withColumn("bucket", _bucket(sorted(cuts or []), parts, F.col("id"), F.col("tie")))
+    # the first row of each bucket follows the last row of the bucket before; there are 3 * ``parts`` of them at most
     order = [F.col("id").desc_nulls_last(), F.col("tie").desc()]
     heads = bucketed.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("head"))
     cycle = Window.orderBy(F.col("bucket").desc())
