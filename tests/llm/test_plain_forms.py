@@ -70,6 +70,25 @@ def test_order_minhash_in_plain_python(spark):
     assert fingerprint("a b c " * 30) != fingerprint("a b c") != ""
 
 
+def test_hot_ids_are_cut_into_ranges(spark):
+    """A third of the rows without an id, a third with one id: the same neighbours as in one sorted list, no large bucket."""
+    rows = [(None, f"none {i} {i * 7} x") for i in range(150)] + [(5, f"five {i} {i * 3} y") for i in range(150)] + [
+        (i, f"own {i} z") for i in range(-70, 80) if i != 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tied = {(r.doc_id, r.text): r.tie for r in df.withColumn("tie", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tied[r]))
+    want = set()
+    for at, (i, text) in enumerate(order):
+        after, cut = order[(at + 1) % len(order)][1], len(text) // 3
+        want.add((i, text[:len(text) - cut] + after[:cut]))
+    got = order_minhash.fingerprints(df).select("doc_id", "edited").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+    parts = 2 + math.isqrt(len(rows))
+    cuts = df.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    bucket = order_minhash._bucket(sorted(cuts), parts, F.col("doc_id"), F.xxhash64("text"))
+    assert df.groupBy(bucket).count().agg(F.max("count")).first()[0] < 70
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     """Rows that repeat entirely and rows without an id stay, each with the result of its text."""
     text = "the quick brown fox calls +1 555 010 7788 or a.b@example.com about 10.0.0.1 today"
