@@ -174,7 +174,42 @@ def planted_periods(docs: DataFrame) -> DataFrame:
     return placed.withColumn("p", period).withColumn("text", F.coalesce(text, F.col("text"))).select(*docs.columns)
 
 
-@query("op11_periodic_runs")
+_CRC32_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda z:
+  CAST(0 AS BIGINT))), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query("op11_periodic_runs", rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {_CRC32_SQL} AS h,
+         CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+e AS (SELECT doc_id, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 END AS g FROM d),
+t AS (SELECT doc_id, n, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM e),
+word AS MATERIALIZED (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+x AS MATERIALIZED (
+  SELECT q.doc_id, n, q.i, word FROM (SELECT *, unnest(range(n)) AS i FROM t) q JOIN word s
+  ON s.doc_id = q.doc_id AND s.i = CASE WHEN q.i >= a THEN a + (q.i - a) % p ELSE q.i END),
+equal AS (SELECT b.doc_id, b.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i
+          WHERE 4 * (b.i - a.i) <= b.n),
+stretch AS MATERIALIZED (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM equal)
+  GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (
+  SELECT * FROM stretch r WHERE NOT EXISTS (
+    SELECT 1 FROM stretch s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start
+    AND s.start + s.length >= r.start + r.length)),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+           FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, start, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM run),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE gone.i IS NULL) AS text, count(gone.i) AS n_dropped
+         FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, n AS n_words,
+       coalesce(n_dropped, 0) AS n_dropped
+FROM e LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
