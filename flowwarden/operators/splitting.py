@@ -94,13 +94,15 @@ def sample_per_group(df: DataFrame, group: str, row_id: str, size: int = 3000, s
 
     Every map task keeps the ``size`` smallest of each group, the map tasks are merged in lanes, and only what is left is
     ranked; so neither the number of groups nor their sizes are needed beforehand, and no task receives a large group.  Rows of equal id take places of their own.
+    Rows without a group are a group of their own; rows without an id come last in theirs.
     """
-    key = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
-    drawn = df.withColumns({"_h": digest(F.lit(str(seed)), F.col(row_id)), "_g": key, "_r": F.col(row_id)})
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))  # never null, and no group has that of null
+    order = F.when(F.col(row_id).isNotNull(), digest(F.lit(str(seed)), F.col(row_id)))
+    drawn = df.withColumns({"_h": order, "_g": key, "_r": F.col(row_id)})
     local = drawn.mapInArrow(_smallest(size), drawn.schema)
     # a map task's rows go to one lane; the tasks of a lane are merged before all lanes are
     lanes = 1 + math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = local.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes))).repartition("_g", "_lane").drop("_lane")
-    w = Window.partitionBy("_g").orderBy("_h", "_r")
+    w = Window.partitionBy("_g").orderBy(F.asc_nulls_last("_h"), "_r")
     return (merged.mapInArrow(_smallest(size), drawn.schema).withColumn("_rank", F.row_number().over(w))
             .where(F.col("_rank") <= size).drop("_rank", "_h", "_g", "_r"))

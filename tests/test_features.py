@@ -95,6 +95,51 @@ def test_sampling_threshold_does_not_change_the_sample(spark):
     assert got == want
 
 
+def test_sample_per_class_takes_three_thousand_rows_of_a_class(spark, tmp_path):
+    """The size of the reference's calibration sample, in the query and in its SQL alike; smaller classes stay whole."""
+    import catalog
+    import duckdb
+    import hashlib
+
+    catalog.load_all()
+    sizes = {"view": 3500, "click": 3000, "error": 150}
+    kinds = [c for c, n in sizes.items() for _ in range(n)]
+    spark.createDataFrame(enumerate(kinds), "event_id bigint, event_type string").selectExpr(
+        "event_id", "timestamp'2024-01-01 00:00:00' AS ts", "event_id AS user_id", "event_type", "1.0D AS value",
+        "'{\"k\": 1}' AS props").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    want = set()
+    for c in sizes:
+        ids = [i for i, kind in enumerate(kinds) if kind == c]
+        ranked = sorted(ids, key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+        want |= {("benign" if c == "view" else c, i) for i in ranked[:3000]}
+    assert len(want) == 3000 + 3000 + 150
+    got = [(r["traffic_class"], r["flow_id"]) for r in catalog.QUERIES["sample_per_class"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert set(connection.sql(catalog.ORACLES["sample_per_class"]).fetchall()) == want
+
+
+def test_sample_per_class_keeps_rows_without_class_apart_and_rows_without_id_last(spark, tmp_path):
+    from collections import Counter
+
+    import catalog
+    import duckdb
+
+    catalog.load_all()
+    kinds = [None] * 3200 + ["unknown"] * 3100 + [""] * 3050 + ["signup"] * 4000
+    rows = [(None if kind == "signup" and i % 8 < 3 else i, kind) for i, kind in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id bigint, event_type string").selectExpr(
+        "event_id", "timestamp'2024-01-01 00:00:00' AS ts", "event_id AS user_id", "event_type", "1.0D AS value",
+        "'{\"k\": 1}' AS props").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    got = Counter((r["traffic_class"], r["flow_id"]) for r in catalog.QUERIES["sample_per_class"](spark, str(tmp_path)).collect())
+    assert Counter(c for c, _ in got.elements()) == {None: 3000, "unknown": 3000, "": 3000, "signup": 3000}
+    assert got["signup", None] == 500  # 2,500 rows have an id
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert Counter(connection.sql(catalog.ORACLES["sample_per_class"]).fetchall()) == got
+
+
 def test_split_summary_roundtrip(spark, tmp_path):
     df = spark.range(100).withColumn("c", F.when(F.col("id") % 4 == 0, "x").otherwise("y"))
     counts = splitting.split_counts(splitting.split(df, "c", "id"), "c")
