@@ -208,3 +208,24 @@ def test_throughput_windows(spark, tmp_path):
     batch = write_events(spark, str(tmp_path / "in"))
     rows = detect.throughput(batch, "1 hour").collect()
     assert sum(r["flows"] for r in rows) == 60 and len(rows) == 24
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_a_table_streams_as_a_folder_and_as_a_single_file(spark, tmp_path, folder):
+    import catalog
+
+    catalog.load_all()
+    turns = [(i // 3, i % 3, ["user", "assistant", "user"][i % 3], f"turn {i}") for i in range(30)] + [(99, 0, "user", "who?")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    (df.repartition(4) if folder else df.coalesce(1)).write.parquet(str(tmp_path / "written"))
+    target = tmp_path / "conversations.parquet"
+    if folder:
+        (tmp_path / "written").rename(target)
+    else:
+        next((tmp_path / "written").glob("*.parquet")).rename(target)
+    got = catalog.QUERIES["stream_questions"](spark, str(tmp_path)).collect()
+    assert {(r.outcome, r.questions) for r in got} == {("answered", 20), ("rejected", 1)}
+
+
+def test_no_batch_reads_as_no_rows(spark, tmp_path):
+    assert intake.read_batches(spark, str(tmp_path / "none"), "a long").count() == 0
