@@ -18,6 +18,8 @@ from flowwarden.operators import knn
 
 #: Vector bytes of a block, on either side of a product.
 BLOCK_BYTES = 16 << 20
+#: Pairs from which a task of its own pays off: smaller tables than cores have blocks are cut further on the side of the queries.
+TASK_PAIRS = 1 << 24
 
 
 def plan_blocks(refs: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -36,7 +38,10 @@ def plan_blocks(refs: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BY
         raise ValueError(f"more than {knn.CELL_BUDGET} groups; search groups with an equi-join instead")
     rows = [max(1, block_bytes // (8 * max(1, r["dim"]))) for r in groups]
     blocks = [-(-r["n"] // size) for r, size in zip(groups, rows)]
-    qblocks = [max(1, -(-r["m"] // size)) for r, size in zip(groups, rows)]
+    pairs = sum(r["n"] * r["m"] for r in groups)
+    tasks = min(3 * refs.sparkSession.sparkContext.defaultParallelism, pairs // TASK_PAIRS)
+    qblocks = [max(1, -(-r["m"] // size), min(r["m"], tasks * r["n"] * r["m"] // max(1, pairs) // b))
+               for r, size, b in zip(groups, rows, blocks)]
     return knn._local_table(refs.sparkSession, {
         "grp": pa.array([r["grp"] for r in groups], pa.string()),
         "first": pa.array(np.r_[0, np.cumsum(blocks)][:-1].astype(np.int32) if groups else [], pa.int32()),
@@ -76,8 +81,16 @@ def search_blocks(refs: DataFrame, queries: DataFrame, k: int = 10, metric: str
     plan = plan_blocks(refs, queries, block_bytes)
     left, right = query_blocks(queries, plan), reference_blocks(refs, plan)
     key = ["block", "qblock"]
-    local = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_product_kernel(k, metric, result), result)
-    return knn._ranked(local, k)
+    parts = _partitions(plan)
+    left, right = (side.repartition(parts, *key).groupBy(*key) for side in (left, right))
+    return knn._ranked(left.cogroup(right).applyInArrow(_product_kernel(k, metric, result), result), k)
+
+
+def _partitions(plan: DataFrame) -> int:
+    """Partitions of the products.  A number, as the adaptive planner merges by bytes, and a product costs far more than its input."""
+    spark = plan.sparkSession
+    most = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(most, 2 * sum(r["blocks"] * r["qblocks"] for r in plan.collect())))
 
 
 def _product_kernel(k: int, metric: str, result: T.StructType):

@@ -44,6 +44,7 @@ NOT_FINITE = 1e6
 SCAN_QUERIES = 1000  # most queries the scan plan broadcasts
 DENSE = 0.1  # share of candidate pairs from which a block is computed as a whole
 MATRIX_CELLS = 2_000_000  # largest distance block held by one kernel step
+TILE, CHUNK = 256, 4096  # queries and references of one product of a top k
 
 
 # --------------------------------------------------------------------------------------------- input
@@ -681,15 +682,15 @@ def _pack_kernel(plan: _Probe, splits: dict[int, int]):
 def _exact(q: np.ndarray, r: np.ndarray, qi: np.ndarray, ri: np.ndarray, metric: str) -> np.ndarray:
     """Distances of chosen pairs, summed dimension by dimension: exact copies are at 0 and ties are true ties."""
     out = np.zeros(len(qi))
-    for j in range(q.shape[1]):
-        x, y = np.take(np.ascontiguousarray(q[:, j]), qi), np.take(np.ascontiguousarray(r[:, j]), ri)
+    for a, b in _steps(len(qi), q.shape[1]):
+        x, y = q[qi[a:b]], r[ri[a:b]]
         if metric == "l2":
             x -= y
             x *= x
-            out += x
         else:
-            x *= y
-            out -= x
+            x *= -y
+        for j in range(x.shape[1]):
+            out[a:b] += x[:, j]
     return out
 
 
@@ -707,47 +708,100 @@ def _exact_all(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal rows side by side, earlier rows first, and the number of each row's run in that order."""
+    weights = np.random.default_rng(5).uniform(1, 2, x.shape[1])
+    order = np.argsort((x * weights).sum(1), kind="stable")
+    apart = (x[order[1:]] != x[order[:-1]]).any(1)  # rows that differ with the same sum only make more runs
+    return order, np.r_[0, np.cumsum(apart)] if len(x) else np.zeros(0, int)
+
+
 def _block_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric: str):
-    """Top-k of each row of ``q`` among ``r``: positions in q, positions in r, distances.
+    """Top-k of each row of ``q`` among ``r``, which is sorted by id: positions in q, positions in r, distances.
 
-    Matrix products pick candidates with a slack for rounding; only those are computed exactly.  Where ties
-    make most pairs candidates, the block is computed exactly as a whole.
+    Equal rows of ``q`` are searched once, and of equal rows of ``r`` the k first can be in a result.
+    """
+    order, run = _runs(r)
+    kept = np.sort(order[_position(run) < k])
+    order, run = _runs(q)
+    first = np.flatnonzero(_position(run) == 0)
+    at, ri, dist = _distinct_topk(q[order[first]], r[kept], np.maximum.reduceat(bounds[order], first), k, metric)
+    # every row of q gets the rows found for its run
+    of = np.empty(len(q), int)
+    of[order] = run
+    start = np.searchsorted(at, np.arange(len(first) + 1))
+    n = (start[1:] - start[:-1])[of]
+    qi = np.repeat(np.arange(len(q)), n)
+    pick = np.arange(len(qi)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[of], n)
+    return qi, kept[ri[pick]], dist[pick]
+
+
+def _distinct_topk(q: np.ndarray, r: np.ndarray, bounds: np.ndarray, k: int, metric: str):
+    """Matrix products pick candidates with a slack for rounding; only those are computed exactly.
+
+    A product is taken of a tile of queries and a chunk of references; the first chunk bounds the k-th distance, so that
+    of all others only a comparison is left.
     """
-    centre = r.mean(0)
-    qc, rc = q - centre, r - centre
-    qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
     kk = min(k, len(r))
-    out = []
-    flipped = -2.0 * rc.T
-    for a, b in _steps(len(q), len(r)):
-        d2 = qc[a:b] @ flipped
-        d2 += rn
-        d2 += qn[a:b, None]
-        slack = 1e-11 * (qn[a:b] + rn.max()) + 1e-300
-        near = d2 <= (bounds[a:b] + slack)[:, None]
-        if np.count_nonzero(near) > kk * (b - a):  # the bounds alone leave more than k per query
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            near &= d2 <= (kth + slack)[:, None]
-        if np.count_nonzero(near) > DENSE * near.size + 64:
-            dist = _exact_all(q[a:b], r, metric)
-            cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
-            below, tied = dist < cut, dist == cut
-            tied &= tied.cumsum(1) <= kk - below.sum(1, keepdims=True)  # r is sorted by id: first ties win
-            qi, ri = np.nonzero(below | tied)
-            dist = dist[qi, ri]
-            order = np.lexsort((ri, dist, qi))
-            out.append((qi[order] + a, ri[order], dist[order]))
-            continue
-        qi, ri = np.nonzero(near)
-        qi = qi + a
-        dist = _exact(q, r, qi, ri, metric)
-        order = np.lexsort((ri, dist, qi))
-        qi, ri, dist = qi[order], ri[order], dist[order]
-        keep = _position(qi) < kk
-        out.append((qi[keep], ri[keep], dist[keep]))
+    qn, rn = (q * q).sum(1), (r * r).sum(1)
+    if metric == "cosine":
+        # of unit vectors, half the squared distance less one; a vector of length 0 is no unit vector
+        bounds = bounds / 2 - 1 if qn.all() and rn.all() else np.full(len(q), np.inf)
+        left, right = q, np.ascontiguousarray(-r.T)
+    else:
+        centre = r.mean(0)
+        q_, r_ = q - centre, r - centre
+        qn, rn = (q_ * q_).sum(1), (r_ * r_).sum(1)
+        bounds = bounds - qn
+        left, right = np.c_[q_, np.ones(len(q))], np.ascontiguousarray(np.c_[-2.0 * r_, rn].T)
+    slack = 1e-11 * (qn + rn.max()) + 1e-300
+    out, buffer = [], np.empty(TILE * CHUNK)
+    for a in range(0, len(q), TILE):
+        b = min(a + TILE, len(q))
+        limit, found, held = bounds[a:b] + slack[a:b], [], 0
+        for low in range(0, len(r), CHUNK):
+            wide = min(CHUNK, len(r) - low)
+            near = np.matmul(left[a:b], right[:, low:low + wide], out=buffer[:(b - a) * wide].reshape(b - a, wide))
+            if not low:
+                limit = np.minimum(limit, _kth_at_most(near, kk) + slack[a:b])
+            at = np.flatnonzero(near <= limit[:, None])
+            found.append((at // wide, at % wide + low, near.ravel()[at]))
+            held += len(at)
+            if held > MATRIX_CELLS // 4:  # ties: what is held stays bounded
+                found = [_best_of(q[a:b], r, *map(np.concatenate, zip(*found)), slack[a:b], kk, metric)[:3]]
+                held = len(found[0][0])
+                full = np.flatnonzero(np.bincount(found[0][0], minlength=b - a) == kk)
+                last = np.searchsorted(found[0][0], full, "right") - 1
+                limit[full] = np.minimum(limit[full], found[0][2][last] + 2 * slack[a:b][full])
+        qi, ri, _, dist = _best_of(q[a:b], r, *map(np.concatenate, zip(*found)), slack[a:b], kk, metric)
+        out.append((qi + a, ri, dist))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def _kth_at_most(near: np.ndarray, k: int) -> np.ndarray:
+    """An upper bound on the k-th smallest value of each row: that of the minima over parts of the columns."""
+    width = near.shape[1] // 8
+    if width >= 2 * k:
+        near = near[:, :8 * width].reshape(len(near), 8, width).min(1)
+    return np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] >= k else np.full(len(near), np.inf)
+
+
+def _best_of(q, r, qi, ri, near, slack, k: int, metric: str):
+    """The k first of each query's candidates by exact distance and id: query, reference, ``near``, distance."""
+    order = np.lexsort((near, qi))
+    qi, ri, near = qi[order], ri[order], near[order]
+    position = _position(qi)
+    cut = np.full(len(q), np.inf)
+    last = position == k - 1
+    cut[qi[last]] = near[last]
+    keep = near <= (cut + 2 * slack)[qi]
+    qi, ri, near = qi[keep], ri[keep], near[keep]
+    dist = _exact(q, r, qi, ri, metric)
+    order = np.lexsort((ri, dist, qi))
+    keep = order[_position(qi[order]) < k]
+    return qi[keep], ri[keep], near[keep], dist[keep]
+
+
 def _position(keys: np.ndarray) -> np.ndarray:
     """0-based position of each element within its run of equal keys."""
     if not len(keys):

@@ -135,3 +135,45 @@ def test_more_cells_than_the_budget_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(knn, "CELL_BUDGET", 20)
     with pytest.raises(ValueError, match="cells asked for"):
         knn.build_cells(knn.reference_rows(r, "id", "v", "g"), cells_for=lambda g, n: n)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_equal_rows_are_compared_once(monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    q, r = rng.integers(1, 4, (600, 5)).astype(float)[rng.integers(0, 4, 5000)], rng.integers(1, 4, (3, 5)).astype(float)[rng.integers(0, 3, 9000)]
+    pairs = []
+    exact = knn._exact
+    monkeypatch.setattr(knn, "_exact", lambda q, r, qi, ri, m: (pairs.append(len(qi)), exact(q, r, qi, ri, m))[1])
+    monkeypatch.setattr(knn, "_exact_all", lambda *a: pytest.fail("the whole block was compared"))
+    qi, ri, dist = knn._block_topk(q, r, np.full(len(q), np.inf), 4, metric)
+    monkeypatch.undo()
+    all_pairs = knn._exact_all(q[:50], r, metric)
+    want = np.argsort(all_pairs, axis=1, kind="stable")[:, :4]
+    assert np.array_equal(qi, np.repeat(np.arange(5000), 4)) and sum(pairs) <= 4 * 3 * 4
+    assert np.array_equal(ri[:200].reshape(50, 4), want)
+    assert np.array_equal(dist[:200].reshape(50, 4), np.take_along_axis(all_pairs, want, 1))
+
+
+def test_many_ties_beside_vectors_of_length_zero():
+    """Distances of equal size by the thousand in several chunks, and vectors without a direction."""
+    rng = np.random.default_rng(8)
+    for metric, k in (("l2", 10), ("cosine", 3)):
+        r, q = rng.integers(0, 2, (2, 9500, 14)).astype(float)
+        q = q[:300]
+        if metric == "cosine":
+            r[::7], q[3] = 0, 0
+            r, q = knn._unit(r), knn._unit(q)
+        qi, ri, dist = knn._block_topk(q, r, np.full(len(q), np.inf), k, metric)
+        all_pairs = knn._exact_all(q, r, metric)
+        want = np.argsort(all_pairs, axis=1, kind="stable")[:, :k]
+        assert np.array_equal(ri.reshape(-1, k), want) and np.array_equal(dist, np.take_along_axis(all_pairs, want, 1).ravel())
+
+
+def test_a_narrow_table_is_searched_by_more_than_one_task(spark):
+    """20,000 rows of 4 dimensions are far less than a block, yet 400 million pairs."""
+    df = spark.range(20000).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (F.xxhash64("id", j) % 1000) / 1000.0).alias("v"))
+    rows, asked = knn.reference_rows(df, "id", "v"), knn.query_rows(df, "id", "v")
+    plan = blocks.plan_blocks(rows, asked).first()
+    assert plan.blocks == 1 and plan.qblocks >= spark.sparkContext.defaultParallelism
+    found = blocks.search_blocks(rows, asked, 2, "l2")
+    assert found.where("rank = 1 and query_id = row_id and dist = 0").count() == 20000
