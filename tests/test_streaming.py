@@ -229,3 +229,16 @@ def test_a_table_streams_as_a_folder_and_as_a_single_file(spark, tmp_path, folde
 
 def test_no_batch_reads_as_no_rows(spark, tmp_path):
     assert intake.read_batches(spark, str(tmp_path / "none"), "a long").count() == 0
+
+
+def test_a_part_reads_its_own_rows_only(spark):
+    df, seen = spark.range(95).select(F.col("id").alias("n"), F.lit("x").alias("text")), []
+
+    def take(part, number):
+        seen.append((number, [r.n for r in part.collect()], {f.split("part=")[1].split("/")[0] for f in part.inputFiles()}, part.columns))
+
+    intake.in_bounded_parts(take, 10, ["n"])(df.repartition(7), 3)
+    assert [s[0] - (3 << 20) for s in seen] == list(range(10)) and [i for s in seen for i in s[1]] == list(range(95))
+    assert [s[2] for s in seen] == [{str(i)} for i in range(10)] and {tuple(s[3]) for s in seen} == {("n", "text")}
+    intake.in_bounded_parts(take, 10, ["n"])(df.limit(0), 0)
+    assert len(seen) == 10
