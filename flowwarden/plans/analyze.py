@@ -58,15 +58,17 @@ def retrieve_context(threats: DataFrame, docs: DataFrame, flow_id: str = "flow_i
                      embedder: EmbedderFactory = hashing_embedder, strategy: str = "blocks") -> DataFrame:
     """Threats with ``context array<struct<rank, score, text, doc_index>>`` of the k closest past analyses.
 
-    Flows that render the same search text share one embedding call and one search.
+    Flows that render the same search text share one embedding call, texts with the same embedding one search and one context.
     """
     asked = threats.withColumn("search_text", search_text()).withColumn("search_key", F.md5("search_text"))
     texts = spread(asked.select("search_key", "search_text").distinct(), "search_key")
-    queries = materialize(texts.select(F.col("search_key").alias("query_id"),
-                                       embed(F.col("search_text"), embedder).alias("embedding")), "queries")
-    context = context_of(history.search(docs, queries, k, strategy=strategy, attach=False), docs).withColumnRenamed(
-        "query_id", "search_key")
-    joined = asked.join(context, "search_key", "left").drop("search_key")
+    vector_key = F.concat_ws(":", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))
+    embedded = materialize(texts.select("search_key", embed(F.col("search_text"), embedder).alias("embedding"))
+                           .withColumn("query_id", vector_key), "queries")
+    queries = embedded.select("query_id", "embedding").dropDuplicates(["query_id"])
+    context = context_of(history.search(docs, queries, k, strategy=strategy, attach=False), docs)
+    joined = asked.join(embedded.drop("embedding"), "search_key", "left").join(context, "query_id", "left").drop(
+        "search_key", "query_id")
     empty = F.array().cast("array<struct<rank:int,score:double,text:string,doc_index:bigint>>")
     return joined.withColumn("context", F.coalesce("context", empty))
 
@@ -85,7 +87,7 @@ def analyze_threats(threats: DataFrame, docs: DataFrame | None = None, flow_id:
     work = threats if docs is None else retrieve_context(threats, docs, flow_id, embedder=embedder, strategy=strategy)
     context = F.col("context") if docs is not None else None
     similar = F.col("similar_flows") if "similar_flows" in threats.columns else None
-    answered = spread(work.withColumn("prompt", analysis_prompt(context, similar)), flow_id)
+    answered = spread(work, flow_id).withColumn("prompt", analysis_prompt(context, similar))
     called = answered.withColumn("_call", call(F.col("prompt"), generator, attempts=attempts)).withColumns({
         "response": F.col("_call.answer"), "inference_time": F.col("_call.seconds"), "attempts": F.col("_call.attempts"),
         "model_error": F.col("_call.error"), "model_name": F.lit(model_name), "inference_method": F.lit(METHOD),

@@ -161,3 +161,26 @@ def test_newest_analysis_of_a_flow_counts(spark):
     stored = spark.createDataFrame([("f1", "new", 2), ("f1", "old", 1), ("f2", "x", 1)],
                                    "flow_id string, analysis string, timestamp long")
     assert [r.analysis for r in questions.admitted(asked, stored).collect()] == ["new"]
+
+
+def test_texts_with_one_embedding_share_a_search(spark, monkeypatch):
+    """Six flows of two attack types differ in their numbers only, which this embedder does not see."""
+    import numpy as np
+
+    from flowwarden.operators import history
+    from flowwarden.plans import analyze
+
+    def embedder():
+        return lambda texts: np.array([[1.0, t.count("synscan"), t.count("udpscan")] for t in texts])
+
+    rows = [(f"f{i}", "a", i, "b", 2, "tcp", 10 + i, 2, 0.5, "SYN", ["synscan", "udpscan"][i % 2], 0.8) for i in range(6)]
+    threats = spark.createDataFrame(rows, "flow_id string, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, "
+                                          "bytes_count long, packets_count long, duration double, tcp_flags string, attack_type string, confidence double")
+    docs = spark.createDataFrame([(0, "x", [1.0, 9.0, 0.0]), (1, "y", [1.0, 0.0, 9.0]), (2, "z", [1.0, 0.0, 0.0])],
+                                 "doc_index long, text string, embedding array<double>")
+    asked, search = [], history.search
+    monkeypatch.setattr(history, "search", lambda d, q, *a, **b: (asked.append(q.count()), search(d, q, *a, **b))[1])
+    out = analyze.retrieve_context(threats, docs, k=1, embedder=embedder).collect()
+    assert asked == [2]
+    assert {r.flow_id: [c.doc_index for c in r.context] for r in out} == {f"f{i}": [i % 2] for i in range(6)}
+    assert "query_id" not in out[0] and "search_key" not in out[0]
