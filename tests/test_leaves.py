@@ -86,3 +86,20 @@ def test_packed_batches_are_bounded(spark, monkeypatch):
         [pa.array(range(500)), pa.array(q.tolist()), pa.array(range(500))], names=["query_id", "features", "h"])
     sizes = [sum(map(len, b.column("ids").to_pylist())) for b in knn._pack_kernel(plan, dict.fromkeys(range(len(plan.salts)), 1))([batch])]
     assert max(sizes) <= 100 and sum(sizes) >= 4 * 450
+
+
+@pytest.mark.parametrize("units", [1, 6])
+def test_two_rounds_visit_other_units_only_where_there_are_any(spark, monkeypatch, units):
+    r, q = points("normal", 7000, 3, 13), points("normal", 300, 3, 14)
+    refs = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(r)], "grp string, row_id long, features array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, features array<double>")
+    monkeypatch.setattr(knn, "UNIT_ROWS", 7000 if units == 1 else 1200)
+    modes, run = [], knn._run_units
+    monkeypatch.setattr(knn, "_run_units", lambda i, q, plan, *a: (modes.append(plan.mode), run(i, q, plan, *a))[1])
+    index = knn.build_cells(refs)
+    want = np.argsort(knn._exact_all(q, r, "l2"), axis=1, kind="stable")[:, :10]
+    found = knn.search_cells(index, asked, 10, rounds=2).orderBy("query_id", "rank").collect()
+    assert [x.row_id for x in found] == want.ravel().tolist()
+    least = {x.query_id: x.nearest_positive for x in knn.nearest_summary(index, asked, 10, rounds=2).collect()}
+    assert least == {i: pytest.approx(((r[w[0]] - v) ** 2).sum()) for i, (w, v) in enumerate(zip(want, q))}
+    assert modes == (["home"] if units == 1 else ["home", "rest"]) * 2
